@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm.common import table
+from folia.llm.jaccard import op8_jaccard_join
 from folia.llm.languages import op2_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": lambda spark, sf_dir: op2_language_id(table(spark, sf_dir, "documents")),
+    "op8_jaccard_join": lambda spark, sf_dir: op8_jaccard_join(table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
