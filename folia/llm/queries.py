@@ -12,6 +12,7 @@ from folia.llm.jaccard import op8_jaccard_join
 from folia.llm import mixing
 from folia.llm.languages import op2_language_id
 from folia.llm.mixing import op7_mixing
+from folia.llm.privacy import op4_pii
 
 #: Folder of the public tokenizer files; only their path is used.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,6 +20,7 @@ TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": lambda spark, sf_dir: op1_bpe(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"),
     "op2_language_id": lambda spark, sf_dir: op2_language_id(table(spark, sf_dir, "documents")),
+    "op4_pii": lambda spark, sf_dir: op4_pii(table(spark, sf_dir, "documents")),
     "op7_mixing": lambda spark, sf_dir: op7_mixing(table(spark, sf_dir, "documents")),
     "op8_jaccard_join": lambda spark, sf_dir: op8_jaccard_join(table(spark, sf_dir, "documents")),
 }
