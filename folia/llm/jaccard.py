@@ -5,8 +5,9 @@ features in which two sets differ, so when the feature domain (64-bit hashes) is
 two linked sets agree on at least n - k whole parts. The parts form n/2 first-level partitions of
 two second-level ones each; the enumerated subsets are the single second-level parts, as at most one
 of a pair may differ in some first-level partition. Each set has one signature per subset, in its
-own band and in the next. Linked sets therefore always share a signature; candidates are verified
-on whole sets.
+own band and in the next. With more parts than k + 1 linked sets agree on several; each set then leaves
+out its thinnest parts and its most common signatures, as many as still let one shared signature stay.
+Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from folia.llm.common import connected_components, hash_words, mix, stage, text_
 WORDS, PERCENT = 4, 85
 #: Ranges of the hash domain in which verified sets are counted beforehand.
 HISTOGRAM = 64
+#: Turns of one candidate per node before groups are compared whole.
+TURNS = 3
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -52,35 +55,35 @@ def bands(percent: int, up_to: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(last)
 
 
-def parts_of(band: int, percent: int) -> tuple[int, int]:
-    """(k, n): the most features in which linked sets of a band differ, and the number of parts.
+def parts_of(band: int, percent: int) -> tuple[int, int, int, int]:
+    """(k, n, thin, common) of a band.
 
-    |A| + |B| - 2 |A and B| <= (|A| + |B|) (100 - p) / (100 + p). A few parts more than k + 1 leave
-    room for parts that hold no feature.
+    k: the most features in which linked sets of the band differ, as |A| + |B| - 2 |A and B| <=
+    (|A| + |B|) (100 - p) / (100 + p). n: the number of parts, of which linked sets share at least
+    n - k = 1 + thin + common. Each set may therefore leave out its ``thin`` parts with the fewest
+    features, and of what is left the ``common`` signatures that most sets have: both orders depend on
+    what a part holds only, so the last of the shared parts in such an order stays on both sides.
     """
     k = 2 * int(bands(percent)[1][band]) * (100 - percent) // (100 + percent)
-    n = k + 1 + max(1, -(-6 * k // 100))
-    return k, n + n % 2
+    thin, common = -(-8 * k // 100), k // 5
+    if not k:
+        return 0, 2, 1, 0
+    odd = (k + 1 + thin + common) % 2
+    return k, k + 1 + thin + common + odd, thin + odd, common
 
 
-def signatures(h: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set in its own band and the next.
-
-    Parts without features are left out where the rest must hold an agreeing part; else they count.
-    """
-    if not len(h):
-        return np.zeros(0, np.uint64)
+def signatures(h: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, common, signatures) of a set in its own band and the next."""
     own = int(np.searchsorted(bands(percent)[1], len(h)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
     out = []
     for band in (own, own + 1):
-        k, n = parts_of(band, percent)
+        _, n, thin, common = parts_of(band, percent)
         edges = np.concatenate([[0], np.searchsorted(h, np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)), [len(h)]])
-        full = edges[1:] > edges[:-1]
         part = np.arange(n, dtype=np.uint64) + np.uint64(band << 32)
         found = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ mix(part + np.uint64(1)))
-        out.append(found[full] if n - int(full.sum()) < n - k else found)
-    return np.concatenate(out)
+        out.append((band, common, found[np.lexsort((found, np.diff(edges)))[thin:]]))
+    return out
 
 
 def set_id(h: np.ndarray) -> int:
@@ -105,29 +108,19 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(f, "doc_id long, n_shingles long, node long")
 
 
-def _rows(sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
-    sigs = [signatures(h, percent).view(np.int64) for h in sets]
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs], dtype=np.int64)]).astype(np.int32)
-    values = np.concatenate([np.zeros(0, np.int64), *sigs])
-    return pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "sigs"])
-
-
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, sig) of every set; the arrays are unfolded on the JVM side."""
+    """(node, band, common, sig) of every set; the arrays are unfolded on the JVM side."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_slices(batches):
-            yield _rows([h for h in (shingle_set(t, words) for t in texts) if len(h)], percent)
-
-    return docs.select("text").mapInArrow(f, "node long, sigs array<long>").select("node", F.explode("sigs").alias("sig"))
-
-
-def _signed_again(sets: DataFrame, percent: int) -> DataFrame:
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes in text_slices(batches, "hashes"):
-            yield _rows([np.frombuffer(h, np.uint64) for h in hashes], percent)
+            rows = [(set_id(h), *r) for h in (shingle_set(t, words) for t in texts) if len(h) for r in signatures(h, percent)]
+            offsets = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *(r[3].view(np.int64) for r in rows)])
+            columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "band", "common", "sigs"])
 
-    return sets.select("hashes").mapInArrow(f, "node long, sigs array<long>").select("node", F.explode("sigs").alias("sig"))
+    signed = docs.select("text").mapInArrow(f, "node long, band int, common int, sigs array<long>")
+    return signed.select("node", "band", "common", F.explode("sigs").alias("sig"))
 
 
 def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -175,6 +168,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(f, "src long, dst long")
 
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """(sig, node) of the signatures that several nodes have, less those that a node may leave out."""
+    over = "over (partition by sig)"
+    several = signed.withColumn("low", F.expr(f"min(node) {over}")).withColumn("high", F.expr(f"max(node) {over}")).withColumn("many", F.expr(f"count(*) {over}"))
+    several = several.where("low <> high").select("sig", "node", "band", "common", "many").distinct()
+    ranked = several.withColumn("rank", F.expr("row_number() over (partition by node, band order by many desc, sig)"))
+    return ranked.where("rank > common").select("sig", "node")
+
+
+def _candidates(shared: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
+    """At most one pair (a, b) for each node b: a stands for another component under one of b's signatures.
+
+    Each signature has one such node, and each node one such signature, by hashes that differ each turn.
+    """
+    rows = shared.withColumn("joined", F.col("node")) if joined is None else shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    rows = rows.withColumn("center", F.expr(f"min(struct(xxhash64(node, {turn}) AS key, node, joined)) over (partition by sig)"))
+    best = rows.where("joined <> center.joined").groupBy("node").agg(F.min("center").alias("center"))
+    return best.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles and component_id.
 
@@ -184,9 +197,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Equal sets are one node from the start, so copies cost nothing further; a repeated doc_id is one
     vertex that has the links of all its texts. Other columns are not read.
 
-    Candidates under a signature are first its smallest node with each other one. Where nodes of one
-    signature are then in several components, all its pairs across components are compared, so no
-    link that joins components is missed whatever the size of the group.
+    A few turns of one candidate per node join most of what belongs together. Where nodes of one
+    signature are in several components after that, all its pairs across components are compared, so
+    no link that joins components is missed whatever the size of the group.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = stage(_sets(docs, words), "jaccard-sets")
@@ -195,34 +208,34 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     same = named.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("dst")).where("src <> dst")
     same = named.join(same.select("doc_id", "src"), "doc_id").where("node <> src").select("src", F.col("node").alias("dst"))
 
-    signed = _signed(docs.where("doc_id IS NOT NULL"), words, percent).withColumn("least", F.expr("min(node) over (partition by sig)"))
-    stars = stage(signed.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
-
-    involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = involved.join(first, "node").select(F.col("first").alias("doc_id"))
-    sets = stage(_whole_sets(docs.join(wanted.distinct(), "doc_id", "left_semi"), words).dropDuplicates(["node"]), "jaccard-whole")
-    links = stage(_verified(stars, sets, percent).unionByName(same), "jaccard-links")
-
-    joined = connected_components(links)
-    signed = _signed_again(sets, percent).join(joined.toDF("node", "joined"), "node", "left")
-    signed = signed.join(sets.select("node", "n"), "node").select("sig", "node", "n", F.coalesce("joined", "node").alias("joined"))
-    mixed = signed.groupBy("sig").agg(F.min("joined").alias("low"), F.max("joined").alias("high")).where("low <> high").select("sig")
-    signed = stage(signed.join(mixed, "sig"), "jaccard-mixed")
-    across = signed.alias("x").join(
-        signed.alias("y"),
+    shared = stage(_shared(_signed(docs.where("doc_id IS NOT NULL"), words, percent)), "jaccard-shared")
+    wanted = shared.select("node").distinct().join(first, "node").select(F.col("first").alias("doc_id")).distinct()
+    sets = stage(_whole_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]), "jaccard-whole")
+
+    links, tried, joined = stage(same, "jaccard-links"), None, None
+    for turn in range(TURNS):
+        pairs = _candidates(shared, joined, turn)
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = links.unionByName(stage(_verified(pairs, sets, percent), "jaccard-links"))
+        joined = connected_components(links)
+
+    rows = shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    mixed = rows.withColumn("low", F.expr("min(joined) over (partition by sig)")).withColumn("high", F.expr("max(joined) over (partition by sig)")).where("low <> high")
+    mixed = stage(mixed.select("sig", "node", "joined").join(sets.select("node", "n"), "node"), "jaccard-mixed")
+    across = mixed.alias("x").join(
+        mixed.alias("y"),
         F.expr(f"x.sig = y.sig AND x.node < y.node AND x.joined <> y.joined AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
     )
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(across, sets, percent), "jaccard-links")
     if not more.isEmpty():
         joined = connected_components(links.unionByName(more))
 
     component = first.join(joined.toDF("node", "joined"), "node", "left").select("node", "first", F.coalesce("joined", "node").alias("joined"))
     least = component.groupBy("joined").agg(F.min("first").alias("component_id"))
-    component = component.join(least, "joined").select("node", "component_id")
-    return found.join(component, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    component = named.join(component.join(least, "joined"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def op8_jaccard_join(docs: DataFrame) -> DataFrame:
