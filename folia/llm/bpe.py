@@ -11,6 +11,7 @@ import json
 import mmap
 import os
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -227,7 +228,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEXI
 def compiled(spark: SparkSession, vocabulary: Vocabulary, words: list[bytes]) -> str:
     """Compiles the lexicon and gives its file to every executor; returns the file's name."""
     content = Transducer.compile({w: vocabulary.merge(w) for w in words if len(w) <= LEXICON_BYTES})
-    name = f"lexicon-{hashlib.sha256(content).hexdigest()}"
+    name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(), name)
     with open(path, "wb") as file:
         file.write(content)
@@ -301,7 +302,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False, words: list[b
     with open(tokenizer, encoding="utf-8") as file:
         source = file.read()
     folder = tempfile.mkdtemp()
-    vocabulary_name = f"vocabulary-{hashlib.sha256(source.encode()).hexdigest()}.json"
+    vocabulary_name = f"vocabulary-{uuid.uuid4().hex}.json"
     with open(os.path.join(folder, vocabulary_name), "w", encoding="utf-8") as file:
         file.write(source)
     spark.sparkContext.addFile(os.path.join(folder, vocabulary_name))
