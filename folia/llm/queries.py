@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm.bpe import op1_bpe
 from folia.llm.common import table
+from folia.llm.fingerprints import op5_fingerprints
 from folia.llm.jaccard import op8_jaccard_join
 from folia.llm import mixing
 from folia.llm.languages import op2_language_id
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": lambda spark, sf_dir: op1_bpe(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"),
     "op2_language_id": lambda spark, sf_dir: op2_language_id(table(spark, sf_dir, "documents")),
     "op4_pii": lambda spark, sf_dir: op4_pii(table(spark, sf_dir, "documents")),
+    "op5_fingerprints": lambda spark, sf_dir: op5_fingerprints(table(spark, sf_dir, "documents")),
     "op7_mixing": lambda spark, sf_dir: op7_mixing(table(spark, sf_dir, "documents")),
     "op8_jaccard_join": lambda spark, sf_dir: op8_jaccard_join(table(spark, sf_dir, "documents")),
 }
