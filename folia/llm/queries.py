@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm.bpe import op1_bpe
+from folia.llm.classlm import op6_class_lm
 from folia.llm.common import table
 from folia.llm.fingerprints import op5_fingerprints
 from folia.llm.jaccard import op8_jaccard_join
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": lambda spark, sf_dir: op2_language_id(table(spark, sf_dir, "documents")),
     "op4_pii": lambda spark, sf_dir: op4_pii(table(spark, sf_dir, "documents")),
     "op5_fingerprints": lambda spark, sf_dir: op5_fingerprints(table(spark, sf_dir, "documents")),
+    "op6_class_lm": lambda spark, sf_dir: op6_class_lm(table(spark, sf_dir, "documents")),
     "op7_mixing": lambda spark, sf_dir: op7_mixing(table(spark, sf_dir, "documents")),
     "op8_jaccard_join": lambda spark, sf_dir: op8_jaccard_join(table(spark, sf_dir, "documents")),
 }
