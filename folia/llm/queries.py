@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm.bpe import op1_bpe
+from folia.llm.capfilters import op3_near_vectors
 from folia.llm.classlm import op6_class_lm
 from folia.llm.common import table
 from folia.llm.fingerprints import op5_fingerprints
@@ -22,6 +23,7 @@ TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": lambda spark, sf_dir: op1_bpe(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"),
     "op2_language_id": lambda spark, sf_dir: op2_language_id(table(spark, sf_dir, "documents")),
+    "op3_near_vectors": lambda spark, sf_dir: op3_near_vectors(table(spark, sf_dir, "embeddings")),
     "op4_pii": lambda spark, sf_dir: op4_pii(table(spark, sf_dir, "documents")),
     "op5_fingerprints": lambda spark, sf_dir: op5_fingerprints(table(spark, sf_dir, "documents")),
     "op6_class_lm": lambda spark, sf_dir: op6_class_lm(table(spark, sf_dir, "documents")),
