@@ -20,7 +20,7 @@ from folia.llm.common import connected_components, stage
 
 COSINE = 0.98
 #: Directions that a vector exceeds on average, and unrelated vectors with which it shares one.
-FILTERS, UNRELATED = 25, 0.2
+FILTERS, UNRELATED = 100, 0.2
 #: Vectors of a block; the pairs of a shared direction are compared block by block.
 BLOCK = 1024
 #: Vectors shorter than this are padded with zeros before they are rotated.
