@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folia.llm import mixing, toolcalls
 from folia.llm.bpe import op1_bpe
 from folia.llm.capfilters import op3_near_vectors
 from folia.llm.classlm import op6_class_lm
 from folia.llm.common import table
 from folia.llm.fingerprints import op5_fingerprints
 from folia.llm.jaccard import op8_jaccard_join
-from folia.llm import mixing
 from folia.llm.languages import op2_language_id
 from folia.llm.mixing import op7_mixing
 from folia.llm.privacy import op4_pii
+from folia.llm.toolcalls import op10_tool_calls
+from folia.llm.urls import op9_url_filter
 
 #: Folder of the public tokenizer files; only their path is used.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_class_lm": lambda spark, sf_dir: op6_class_lm(table(spark, sf_dir, "documents")),
     "op7_mixing": lambda spark, sf_dir: op7_mixing(table(spark, sf_dir, "documents")),
     "op8_jaccard_join": lambda spark, sf_dir: op8_jaccard_join(table(spark, sf_dir, "documents")),
+    "op9_url_filter": lambda spark, sf_dir: op9_url_filter(table(spark, sf_dir, "pages")),
+    "op10_tool_calls": lambda spark, sf_dir: op10_tool_calls(table(spark, sf_dir, "conversations")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL, "op10_tool_calls": toolcalls.ORACLE_SQL}
