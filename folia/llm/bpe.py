@@ -15,6 +15,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ LEXICON_WORDS, LEXICON_COUNT = 1 << 15, 4
 #: Words longer than this many bytes are never compiled.
 LEXICON_BYTES = 32
 #: Distinct words that a task remembers beside the lexicon; more start it anew.
-MEMO_WORDS = 1 << 17
+MEMO_WORDS = 1 << 18
 #: Distinct words that a counting task holds before it passes its counts on.
 COUNTED_WORDS = 1 << 18
 
@@ -264,23 +265,27 @@ class Encoder:
             out += [self.vocabulary.special[part]] if part in self.vocabulary.special else self.vocabulary.words.findall(part)
         return out
 
-    def learn(self, pieces: list[str | int]) -> None:
-        new = [w for w in set(pieces).difference(self.memo) if isinstance(w, str)]
+    def learn(self, pieces: set[str | int]) -> None:
+        """Puts the ids of all pieces in the memo; the lexicon is asked for all new words at once."""
+        new = [w for w in pieces if w not in self.memo]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = [w for w in set(pieces) if isinstance(w, str)]
-        spelled = [w.encode() for w in new]
-        found = self.lexicon.find(spelled).tolist() if self.lexicon else [-1] * len(new)
-        for word, b, index in zip(new, spelled, found, strict=True):
-            self.memo[word] = tuple(self.lexicon.ids_of(index) if index >= 0 else self.vocabulary.merge(b))
-
-    def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        self.learn(pieces)
-        memo, out = self.memo, []
-        for w in pieces:
-            out += memo[w] if w in memo else (w,)
-        return out
+            new = list(pieces)
+        spelled = [w.encode() for w in new if isinstance(w, str)]
+        found = iter(self.lexicon.find(spelled).tolist() if self.lexicon else [-1] * len(spelled))
+        for word in new:
+            if isinstance(word, int):
+                self.memo[word] = (word,)
+            else:
+                index = next(found)
+                self.memo[word] = tuple(self.lexicon.ids_of(index) if index >= 0 else self.vocabulary.merge(word.encode()))
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        pieces = [self.pieces(t) for t in texts]
+        self.learn(set().union(*pieces))
+        ids_of = self.memo.__getitem__
+        for p in pieces:
+            yield list(chain.from_iterable(map(ids_of, p)))
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text; bytes that are no UTF-8 become replacement characters."""
@@ -312,11 +317,10 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False, words: list[b
         encoder = Encoder(_vocabulary(vocabulary_name), _mapped(lexicon_name))
         for piece, texts in text_slices(batches):
             if not digests:
-                new = [pa.array([encoder.encode(t.decode()) for t in texts], pa.list_(pa.int32()))]
+                new = [pa.array(list(encoder.encode([t.decode() for t in texts])), pa.list_(pa.int32()))]
             else:
                 rows = []
-                for text in texts:
-                    ids = encoder.encode(text.decode())
+                for ids in encoder.encode([t.decode() for t in texts]):
                     rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
                 new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*piece.columns, *new], [*columns, *names])
