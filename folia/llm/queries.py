@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm import mixing, toolcalls
@@ -35,4 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tool_calls": lambda spark, sf_dir: op10_tool_calls(table(spark, sf_dir, "conversations")),
 }
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL, "op10_tool_calls": toolcalls.ORACLE_SQL}
