@@ -26,8 +26,8 @@ from folia.llm.common import connected_components, hash_words, mix, stage, text_
 WORDS, PERCENT = 4, 85
 #: Ranges of the hash domain in which verified sets are counted beforehand.
 HISTOGRAM = 64
-#: Turns of one candidate per node before groups are compared whole.
-TURNS = 3
+#: Turns of comparing each signature's nodes with one of them before groups are compared whole.
+TURNS = 2
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -154,13 +154,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["src", "dst"])
 
-    apart = "aggregate(zip_with(histogram_a, histogram_b, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
     bound = sets.select("node", "n", "histogram")
     close = (
         pairs.join(bound.toDF("a", "n_a", "histogram_a"), "a")
         .join(bound.toDF("b", "n_b", "histogram_b"), "b")
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .where(f"{apart} * {100 + percent} <= (n_a + n_b) * {100 - percent}")
+        .where(f"{_far('histogram_a', 'histogram_b')} * {100 + percent} <= (n_a + n_b) * {100 - percent}")
         .select("a", "b")
     )
     whole = sets.select("node", "hashes")
@@ -178,14 +177,18 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
-    """At most one pair (a, b) for each node b: a stands for another component under one of b's signatures.
+    """Pairs (a, b) of each signature's center with its nodes of other components: no more than there are rows.
 
-    Each signature has one such node, and each node one such signature, by hashes that differ each turn.
+    A signature's center is the node with the least hash, which differs each turn.
     """
     rows = shared.withColumn("joined", F.col("node")) if joined is None else shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
-    rows = rows.withColumn("center", F.expr(f"min(struct(xxhash64(node, {turn}) AS key, node, joined)) over (partition by sig)"))
-    best = rows.where("joined <> center.joined").groupBy("node").agg(F.min("center").alias("center"))
-    return best.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+    rows = rows.withColumn("center", F.expr(f"min(struct(xxhash64(node, {turn}) AS key, node, joined)) over (partition by sig)")).where("joined <> center.joined")
+    return rows.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+
+
+def _far(x: str, y: str) -> str:
+    """SQL for the least number of features in which two sets differ, from their counts by range."""
+    return f"aggregate(zip_with({x}, {y}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -197,9 +200,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Equal sets are one node from the start, so copies cost nothing further; a repeated doc_id is one
     vertex that has the links of all its texts. Other columns are not read.
 
-    A few turns of one candidate per node join most of what belongs together. Where nodes of one
-    signature are in several components after that, all its pairs across components are compared, so
-    no link that joins components is missed whatever the size of the group.
+    A few turns of comparing each signature's nodes with one of them join most of what belongs together.
+    Where nodes of one signature are in several components after that, all its pairs across components
+    are compared, so no link that joins components is missed whatever the size of the group.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = stage(_sets(docs, words), "jaccard-sets")
@@ -222,10 +225,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     rows = shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
     mixed = rows.withColumn("low", F.expr("min(joined) over (partition by sig)")).withColumn("high", F.expr("max(joined) over (partition by sig)")).where("low <> high")
-    mixed = stage(mixed.select("sig", "node", "joined").join(sets.select("node", "n"), "node"), "jaccard-mixed")
+    mixed = stage(mixed.select("sig", "node", "joined").join(sets.select("node", "n", "histogram"), "node"), "jaccard-mixed")
     across = mixed.alias("x").join(
         mixed.alias("y"),
-        F.expr(f"x.sig = y.sig AND x.node < y.node AND x.joined <> y.joined AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
+        F.expr(
+            f"x.sig = y.sig AND x.node < y.node AND x.joined <> y.joined AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+            f" AND {_far('x.histogram', 'y.histogram')} * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+        ),
     )
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(across, sets, percent), "jaccard-links")
