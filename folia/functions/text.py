@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that normalisation removes.
 STRIPPED = r"\s\x1c-\x1f\u2000-\u206f\u2e00-\u2e7f\u3000-\u303f\uff00-\uffef!-/:-@\[-`{-~"
@@ -17,7 +18,7 @@ STRIP_PATTERN = f"(?U)[{STRIPPED}]+"
 LEAST_QUERY, LEAST_FUZZY, MOST_ERRORS = 2, 10, 2
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from folia.functions.text import LEAST_QUERY, allowed_errors, disjoint_count, normalize, normalize_query, overlapping_count, positions
 from folia.operators.corpus import NO_CHAPTER, segments, with_lookahead, with_offsets
@@ -174,7 +175,7 @@ def _seed_starts(rows: DataFrame) -> DataFrame:
     return rows.select("source_file", "pdf_page", "probe").mapInArrow(f, "source_file string, pdf_page int, keys array<long>")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _seed_key(texts: pd.Series) -> pd.Series:
     return pd.Series(pd.util.hash_array(texts.str[:SEED].to_numpy(dtype=object), categorize=False).view(np.int64))
 
