@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import text_slices, with_fields
+from folia.llm.common import most_frequent, stage, text_slices, with_fields
 
 #: Words in the lexicon at most, and their least count in the corpus.
 LEXICON_WORDS, LEXICON_COUNT = 1 << 15, 4
@@ -222,7 +222,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEXI
         yield rows()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where(f"n >= {least}").orderBy(F.desc("n"), "word").limit(most)
+    top = most_frequent(stage(counted.where(f"n >= {least}"), "bpe-words"), most)
     return [b" " + r["word"].encode() for r in top.select("word").collect()]
 
 
