@@ -40,7 +40,7 @@ def volume_from_name(name: Column) -> Column:
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """title, link, published and description of feed items, in the order of each file, at most 25 of it."""
-    documents = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("xml"))
+    documents = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("xml"))
     items = documents.select("path", F.posexplode(F.slice(F.regexp_extract_all("xml", F.lit("(?s)<item\\b.*?</item>"), F.lit(0)), 1, ITEMS)).alias("n", "item"))
     tag = lambda name: F.trim(F.regexp_replace(F.regexp_extract("item", f"(?s)<{name}\\b[^>]*>(.*?)</{name}>", 1), r"^<!\[CDATA\[|\]\]>$", ""))
     return items.select("path", "n", tag("title").alias("title"), tag("link").alias("link"), tag("pubDate").alias("published"), tag("description").alias("description"))
