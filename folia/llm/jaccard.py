@@ -225,15 +225,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     rows = shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
     mixed = rows.withColumn("low", F.expr("min(joined) over (partition by sig)")).withColumn("high", F.expr("max(joined) over (partition by sig)")).where("low <> high")
-    mixed = stage(mixed.select("sig", "node", "joined").join(sets.select("node", "n", "histogram"), "node"), "jaccard-mixed")
+    mixed = mixed.select("sig", "node", "joined")
+    # each pair comes up once, under the least of the signatures that it shares
+    own = mixed.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    mixed = stage(mixed.join(own, "node").join(sets.select("node", "n", "histogram"), "node"), "jaccard-mixed")
     across = mixed.alias("x").join(
         mixed.alias("y"),
         F.expr(
             f"x.sig = y.sig AND x.node < y.node AND x.joined <> y.joined AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
             f" AND {_far('x.histogram', 'y.histogram')} * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+            " AND x.sig = array_min(array_intersect(x.sigs, y.sigs))"
         ),
     )
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(across, sets, percent), "jaccard-links")
     if not more.isEmpty():
         joined = connected_components(links.unionByName(more))
