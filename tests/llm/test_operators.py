@@ -248,6 +248,15 @@ def test_likeness_follows_shared_text():
     assert near[0] == 1 and near == sorted(near, reverse=True) and near[-1] < 0.1
 
 
+def test_joined_windows_are_those_of_the_whole():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = (bytes(rng.choice(b"abcdef gh") for _ in range(rng.choice([0, 1, 40, 63, 64, 65, 130, 900]))) for _ in range(2))
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        got, want = fingerprints.joined_windows(a[:i], b[:j], fingerprints.windows(a), fingerprints.windows(b)), fingerprints.windows(a[:i] + b[:j])
+        assert (got.starts == want.starts).all() and (got.kinds == want.kinds).all() and (got.hashes == want.hashes).all()
+
+
 def test_one_row_is_its_own_next(spark, empty):
     one = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
     row = fingerprints.op5_fingerprints(one).first()
