@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.functions.text import LEAST_QUERY, normalize_query
+from folia.functions.text import LEAST_QUERY, normalize_query, strip
 from folia.operators.corpus import segments, with_offsets, with_sections
 from folia.operators.search import exact_hits, match_spans
 
@@ -99,8 +99,6 @@ def chapter_focused(pages: DataFrame, contents: DataFrame, chapter_keywords: lis
         lambda s, x: F.when(s["go"] & (x["level"] > F.col("level")), F.struct(F.lit(True).alias("go"), x["norm_end"].alias("end"))).otherwise(F.struct(F.lit(False).alias("go"), s["end"].alias("end"))),
         lambda s: s["end"],
     )
-    from folia.functions.text import strip
-
     title = strip(F.col("title"))
     hit = F.get(F.filter(F.array(*[F.lit(t) for t in titles]), lambda t: F.contains(title, t)), F.lit(0)) if titles else F.lit(None).cast("string")
     found = rows.withColumn("until", stop).withColumn("keyword", hit).where("keyword IS NOT NULL")
@@ -155,8 +153,6 @@ def locate(pages: DataFrame, contents: DataFrame, quotes: list[str], keywords: l
         rows = rows.unionByName(part)
     merged = _at_page(rows, pages).groupBy("book", "volume", "source_file", "first_page").agg(F.max("score").alias("base"), F.count_distinct("evidence").alias("evidence"))
     sections = with_sections(pages.select("source_file", "pdf_page"), contents).select("source_file", F.col("pdf_page").alias("first_page"), "section")
-    from folia.functions.text import strip
-
     titles = unique_terms(chapter_keywords)
     matched: Column = sum((F.contains(strip(F.col("section")), F.lit(t)).cast("int") for t in titles), F.lit(0))
     boost = F.least(F.lit(18), 6 * F.coalesce(matched, F.lit(0)))

@@ -7,6 +7,8 @@ by containment first, and matches page by page with look-ahead, so volumes are n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -211,7 +213,7 @@ def fuzzy_pages(pages: DataFrame, query: str) -> DataFrame:
         return rows.limit(0).select("book", "volume", "pdf_page", F.lit(0).alias("errors"), F.lit(0).alias("score"))
     size = -(-len(q) // (errors + 1))
     pieces = [(i, q[i : i + size]) for i in range(0, len(q), size)]
-    rows = rows.where(F.expr(" OR ".join(["false"])) | F.greatest(*[F.contains("probe", F.lit(p)).cast("int") for _, p in pieces]).cast("boolean")) if len(pieces) > 1 else rows.where(F.contains("probe", F.lit(pieces[0][1])))
+    rows = rows.where(reduce(or_, [F.contains("probe", F.lit(p)) for _, p in pieces]))
     starts = F.array_distinct(F.flatten(F.array(*[F.transform(positions(F.col("probe"), p), lambda s, i=i: s - i) for i, p in pieces])))
     windows = F.flatten(
         F.transform(
