@@ -134,28 +134,29 @@ def _at_page(hits: DataFrame, pages: DataFrame) -> DataFrame:
 
 def locate(pages: DataFrame, contents: DataFrame, quotes: list[str], keywords: list[str], fragments: list[str], chapter_keywords: list[str], most: int = CANDIDATES) -> DataFrame:
     """All evidence merged by volume and first page: the best base score, +3 for each further piece of
-    evidence, up to +18 for chapter keywords in the section's title, at most 100; best first."""
-    columns = ["book", "volume", "source_file", "start", "score", "evidence"]
+    evidence, up to +18 for chapter keywords in the section's title, at most 100; best first. Equal scores of
+    a volume come in the order of their first kind of evidence: quotes, fragments, chapters, keywords."""
+    columns = ["book", "volume", "source_file", "start", "score", "evidence", "kind"]
     parts: list[DataFrame] = []
     pool = list(fragments)
-    for quote in quotes[:QUOTES]:
+    for n_quote, quote in enumerate(quotes[:QUOTES]):
         hits = exact_hits(pages, quote[:120], 5)
-        parts.append(hits.withColumn("score", F.lit(100)).withColumn("evidence", F.lit(f"quote:{quote[:24]}")).select(columns))
+        parts.append(hits.withColumn("score", F.lit(100)).withColumn("evidence", F.lit(f"quote:{quote[:24]}")).withColumn("kind", F.lit(n_quote)).select(columns))
         text = normalize_query(quote)
         pool += list(dict.fromkeys(text[i : i + n] for n in (5, 6, 8) for i in range(len(text) - n + 1)))[:8]
     if unique_terms(pool, FRAGMENT_LENGTHS[0], FRAGMENTS, FRAGMENT_LENGTHS[1]):
-        parts.append(fragment_search(pages, pool).withColumn("evidence", F.concat(F.lit("frag:"), "fragment")).select(columns))
+        parts.append(fragment_search(pages, pool).withColumn("evidence", F.concat(F.lit("frag:"), "fragment")).withColumn("kind", F.lit(QUOTES)).select(columns))
     if unique_terms(chapter_keywords):
-        parts.append(chapter_focused(pages, contents, chapter_keywords, keywords).withColumn("evidence", F.concat(F.lit("chapter:"), "keyword")).select(columns))
-    parts.append(keyword_cooccurrence(pages, keywords).withColumn("evidence", F.lit("kw")).select(columns))
+        parts.append(chapter_focused(pages, contents, chapter_keywords, keywords).withColumn("evidence", F.concat(F.lit("chapter:"), "keyword")).withColumn("kind", F.lit(QUOTES + 1)).select(columns))
+    parts.append(keyword_cooccurrence(pages, keywords).withColumn("evidence", F.lit("kw")).withColumn("kind", F.lit(QUOTES + 2)).select(columns))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    merged = _at_page(rows, pages).groupBy("book", "volume", "source_file", "first_page").agg(F.max("score").alias("base"), F.count_distinct("evidence").alias("evidence"))
+    merged = _at_page(rows, pages).groupBy("book", "volume", "source_file", "first_page").agg(F.max("score").alias("base"), F.count_distinct("evidence").alias("evidence"), F.min("kind").alias("kind"))
     sections = with_sections(pages.select("source_file", "pdf_page"), contents).select("source_file", F.col("pdf_page").alias("first_page"), "section")
     titles = unique_terms(chapter_keywords)
     matched: Column = sum((F.contains(strip(F.col("section")), F.lit(t)).cast("int") for t in titles), F.lit(0))
     boost = F.least(F.lit(18), 6 * F.coalesce(matched, F.lit(0)))
     score = F.least(F.lit(100), F.col("base") + 3 * (F.col("evidence") - 1) + boost).cast("int")
-    out = merged.join(sections, ["source_file", "first_page"], "left").select("book", "volume", "source_file", "first_page", score.alias("score"), "evidence")
-    return out.orderBy(F.desc("score"), "book", "volume", "first_page").limit(most)
+    out = merged.join(sections, ["source_file", "first_page"], "left").select("book", "volume", "source_file", "first_page", score.alias("score"), "evidence", "kind")
+    return out.orderBy(F.desc("score"), "book", "volume", "kind", "first_page").limit(most).drop("kind")
