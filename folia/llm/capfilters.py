@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,8 @@ from folia.llm.common import connected_components, stage
 COSINE = 0.98
 #: Directions that a vector exceeds on average, and unrelated vectors with which it shares one.
 FILTERS, UNRELATED = 100, 0.2
+#: Share of pairs at the least cosine that must meet, trial pairs that measure it, and rotations at most.
+RECALL, TRIALS, ROTATIONS = 0.995, 2000, 16
 #: Vectors of a block; the pairs of a shared direction are compared block by block.
 BLOCK = 1024
 #: Vectors shorter than this are padded with zeros before they are rotated.
@@ -28,39 +29,82 @@ LEAST_DIMENSIONS = 16
 SEED = 7
 
 
-def plan(vectors: int) -> tuple[float, int]:
-    """(threshold in standard deviations of a random score, words of each half's code) for so many vectors."""
+def _padded(dimensions: int) -> int:
+    return max(LEAST_DIMENSIONS, dimensions + dimensions % 2)
+
+
+def threshold(share: float, dimensions: int) -> float:
+    """The inner product that this share of all unit vectors exceeds, by the surface of spherical caps."""
+    # in logarithms: the sine's power underflows where dimensions are many
+    angle = np.linspace(0, np.pi / 2, 200_001)[1:]
+    density = np.exp((dimensions - 2) * np.log(np.sin(angle)))
+    caps = np.cumsum(density) / (2 * density.sum())
+    return float(np.cos(np.interp(share, caps, angle)))
+
+
+@lru_cache(64)
+def plan(vectors: int, dimensions: int, cosine: float = COSINE) -> tuple[float, int, int]:
+    """(threshold of scores, words of each half's code, rotations) for so many vectors of so many dimensions.
+
+    Rotations are added until trial pairs at ``cosine`` share a direction often enough.
+    """
     share = min(1e-3, UNRELATED / max(vectors, 1))
-    return NormalDist().inv_cdf(1 - share), int(np.ceil(np.sqrt(FILTERS / share)))
+    least, words = threshold(share, _padded(dimensions)), int(np.ceil(np.sqrt(FILTERS / share)))
+    if vectors < 2 or dimensions < 2:
+        return least, words, 1
+    rng = np.random.default_rng(SEED + 1)
+    first, aside = rng.standard_normal((2, TRIALS, dimensions))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    aside -= (aside * first).sum(1, keepdims=True) * first
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    apart = np.arange(TRIALS)
+    second = cosine * first + np.sqrt(max(0.0, 1 - cosine * cosine)) * aside
+    for rotation in range(ROTATIONS):
+        apart = np.array([i for at in range(0, len(apart), 256) for i in _apart(first, second, apart[at : at + 256], least, words, rotation)], np.int64)
+        if len(apart) <= (1 - RECALL) * TRIALS:
+            break
+    return least, words, rotation + 1
+
+
+def _apart(first: np.ndarray, second: np.ndarray, rows: np.ndarray, least: float, words: int, rotation: int) -> list[int]:
+    """Those rows whose two vectors share no direction of a rotation."""
+    pairs = zip(rows, _exceeded(first[rows], least, words, rotation), _exceeded(second[rows], least, words, rotation), strict=True)
+    return [i for i, a, b in pairs if not len(np.intersect1d(a, b, assume_unique=True))]
 
 
-@lru_cache(8)
-def _code(dimensions: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """A rotation and the code words of both halves, the same in every process."""
-    rng = np.random.default_rng(SEED)
-    padded = max(LEAST_DIMENSIONS, dimensions + dimensions % 2)
+@lru_cache(32)
+def _code(dimensions: int, words: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """A numbered rotation and the code words of both halves, the same in every process."""
+    rng = np.random.default_rng([SEED, number])
+    padded = _padded(dimensions)
     rotation = np.linalg.qr(rng.standard_normal((padded, padded)))[0][:dimensions]
     halves = rng.standard_normal((2, words, padded // 2))
     return rotation, halves / np.linalg.norm(halves, axis=2, keepdims=True) / np.sqrt(2)
 
 
-def decode(unit: np.ndarray, sigmas: float, words: int) -> list[np.ndarray]:
-    """For each row the numbers of all directions that it exceeds; its best one where there is none."""
-    rotation, halves = _code(unit.shape[1], words)
+def _exceeded(unit: np.ndarray, least: float, words: int, number: int) -> list[np.ndarray]:
+    """For each row the numbers of a rotation's directions that it exceeds; its best one where there is none."""
+    rotation, halves = _code(unit.shape[1], words, number)
     turned = unit @ rotation
     half = turned.shape[1] // 2
     left, right = turned[:, :half] @ halves[0].T, turned[:, half:] @ halves[1].T
-    threshold = sigmas / np.sqrt(turned.shape[1])
     out = []
     for a, b in zip(left, right, strict=True):
-        order = np.argsort(-b, kind="stable")
-        held = np.searchsorted(-b[order], a - threshold, side="right")
-        rows = np.flatnonzero(held)
-        found = [i * words + order[: held[i]] for i in rows] or [np.array([a.argmax() * words + b.argmax()])]
-        out.append(np.sort(np.concatenate(found)))
+        # only words that exceed the threshold with the other half's best
+        rows, columns = np.flatnonzero(a >= least - b.max()), np.flatnonzero(b >= least - a.max())
+        order = columns[np.argsort(-b[columns], kind="stable")]
+        held = np.searchsorted(-b[order], a[rows] - least, side="right")
+        found = [i * words + order[:n] for i, n in zip(rows, held, strict=True) if n] or [np.array([a.argmax() * words + b.argmax()])]
+        out.append(np.sort(np.concatenate(found)) + number * words * words)
     return out
 
 
+def decode(unit: np.ndarray, least: float, words: int, rotations: int) -> list[np.ndarray]:
+    """For each row the numbers of all directions that it exceeds, of all rotations in order."""
+    turns = [_exceeded(unit, least, words, number) for number in range(rotations)]
+    return [np.concatenate(found) for found in zip(*turns, strict=True)]
+
+
 def _units(column: pa.Array) -> np.ndarray:
     vectors = np.array(column.to_pylist(), np.float64)
     vectors /= np.abs(vectors).max(axis=1, keepdims=True)
@@ -137,8 +181,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     valid = rows.where(fine)
     reps = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     reps = stage(reps, "cap-vectors")
-    sizes = reps.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    sigmas, words = plan(sizes)
+    sizes = reps.groupBy("label", F.size("embedding").alias("length")).count().groupBy("length").agg(F.max("count").alias("most")).collect()
+    plans = {r["length"]: plan(r["most"], r["length"], cosine) for r in sizes}
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +192,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lengths)
                 for length in np.unique(lengths):
                     own = np.flatnonzero(lengths == length)
-                    for i, filters in zip(own, decode(_units(piece.column("embedding").take(pa.array(own))), sigmas, words), strict=True):
+                    for i, filters in zip(own, decode(_units(piece.column("embedding").take(pa.array(own))), *plans[length]), strict=True):
                         found[i] = filters
                 yield pa.RecordBatch.from_arrays([piece.column("label"), piece.column("rep"), pa.array(lengths, pa.int32()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["label", "rep", "length", "filters"])
 

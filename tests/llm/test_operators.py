@@ -171,6 +171,19 @@ def test_no_vectors(spark):
     assert capfilters.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("number", "dimensions"), [(1_000, 16), (100_000, 64), (1_000_000, 64)])
+def test_near_pairs_share_a_direction_at_every_size(number, dimensions):
+    rng = np.random.default_rng(99)
+    first, aside = rng.standard_normal((2, 400, dimensions))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    aside -= (aside * first).sum(1, keepdims=True) * first
+    second = 0.98 * first + np.sqrt(1 - 0.98**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    planned = capfilters.plan(number, dimensions)
+    found = [[set(f.tolist()) for f in capfilters.decode(x, *planned)] for x in (first, second)]
+    assert np.mean([len(f) for f in found[0]]) >= 0.9 * capfilters.FILTERS
+    assert np.mean([bool(a & b) for a, b in zip(*found, strict=True)]) >= 0.985
+
+
 # -- 4 -------------------------------------------------------------------------------------------------
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
