@@ -22,7 +22,7 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Labelled urls that the trees learn from, at most about so many, by hash of the url.
+#: Labelled rows that the trees learn from, at most about so many.
 SAMPLE = 20_000
 TREES, DEPTH = 10, 3
 FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "domain_rate", "path_rate")
@@ -81,7 +81,7 @@ class Filter:
 
     def features(self, rows: DataFrame) -> DataFrame:
         for name, column in (("suffix_rate", "suffix"), ("domain_rate", "domain"), ("path_rate", "head")):
-            rows = rows.join(F.broadcast(self.rates[column]), column, "left").withColumn(name, F.coalesce("__rate", F.lit(self.rate))).drop("__rate")
+            rows = rows.join(self.rates[column], column, "left").withColumn(name, F.coalesce("__rate", F.lit(self.rate))).drop("__rate")
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -93,26 +93,30 @@ class Filter:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
-    """Learns from rows of _lexical() with a label of 0 or 1; at most about ``sample`` of them, by hash of the url.
+    """Learns from rows of _lexical() with a label of 0 or 1.
 
-    The rate tables have a row for each suffix, domain or path head of the sample, so no more than it.
+    Block rates are counted over all of them. The trees learn from about ``sample`` rows: each url stands for
+    its share of the rows, rounded up or down by its hash, and that number is its weight.
     With labels of one kind only there are no trees and the rate decides; with none urls are allowed.
     """
-    number = labelled.count()
-    below = min(1.0, sample / max(number, 1)) * 1_000_000
-    taken = stage(labelled.where(F.expr(f"pmod(xxhash64(url), 1000000L) < {below!r}D")), "url-sample")
-    total = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
-    rates = {
-        c: taken.groupBy(c).agg(((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("__rate")).where(F.col(c).isNotNull()) for c in ("suffix", "domain", "head")
-    }
-    rate = float(total["blocked"] / total["n"]) if total["n"] else 0.0
-    found = Filter(rates, rate, None)
-    if 0 < total["blocked"] < total["n"]:
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, featuresCol="features", labelCol="label")
-        found.trees = trees.fit(found.features(taken).select("features", "label"))
+    counted = stage(labelled.groupBy(*labelled.columns).agg(F.count("*").alias("__n")), "url-counts")
+    total = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("label") * F.col("__n")), F.lit(0.0)).alias("blocked")).first()
+    rate = (F.sum(F.col("label") * F.col("__n")) + 1.0) / (F.sum("__n") + 2.0)
+    rates = {c: stage(counted.where(F.col(c).isNotNull()).groupBy(c).agg(rate.alias("__rate")), f"url-rates-{c}") for c in ("suffix", "domain", "head")}
+    found = Filter(rates, float(total["blocked"] / total["n"]) if total["n"] else 0.0, None)
+    taken = stage(weighed(counted, sample / max(total["n"], 1)), "url-sample")
+    if taken.select("label").distinct().count() == 2:
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, featuresCol="features", labelCol="label", weightCol="weight")
+        found.trees = trees.fit(found.features(taken).select("features", "label", "weight"))
     return found
 
 
+def weighed(counted: DataFrame, share: float) -> DataFrame:
+    """The urls that stand for this share of the rows, with the number of rows that each stands for."""
+    weight = F.floor(F.col("__n") * min(1.0, share) + F.expr("pmod(xxhash64(url), 1000000L) / 1000000D"))
+    return counted.withColumn("weight", weight.cast("double")).where("weight > 0").drop("__n")
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
     """pages (page_id, url) with host, path, rule (null where none fits), verdict and score.
 
@@ -125,7 +129,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, sam
     labelled = rows.where("__verdict IS NOT NULL").withColumn("label", F.when(F.col("__verdict") == "block", 1.0).otherwise(0.0))
     trained = fit(labelled.select("url", "suffix", "domain", "head", "label", *(f for f in FEATURES if not f.endswith("_rate"))), sample)
     verdict = F.coalesce("__verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return trained.score(rows).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return trained.score(rows.drop("url")).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op9_url_filter(pages: DataFrame) -> DataFrame:

@@ -460,6 +460,20 @@ def test_url_parts_and_rules(spark):
     assert {r.verdict for r in urls.op9_url_filter(df.where("page_id = 5")).collect()} == {"allow"}
 
 
+def test_rates_count_all_labelled_urls(spark):
+    rows = [f"http://d{i % 300}.net/{i}" for i in range(900)] + [f"http://d{i % 300}.org/fr/{i}" for i in range(900)] + ["http://hot.net/"] * 900
+    pages = urls.with_parts(spark.createDataFrame([(u,) for u in rows], "url string"))
+    label = F.when(F.col("host").endswith(".net"), 1.0).otherwise(0.0)
+    labelled = urls._lexical(pages).withColumn("label", label).select("url", "suffix", "domain", "head", "label", *(f for f in urls.FEATURES if not f.endswith("_rate")))
+    found = urls.fit(labelled, 90)
+    rates = {r.domain: r["__rate"] for r in found.rates["domain"].collect()}
+    assert rates == pytest.approx({"hot.net": 901 / 902} | {f"d{i}.{s}": (4 if s == "net" else 1) / 5 for i in range(300) for s in ("net", "org")})
+    assert found.rate == pytest.approx(2 / 3)
+    counted = labelled.groupBy(*labelled.columns).agg(F.count("*").alias("__n"))
+    weight = {r.url: r.weight for r in urls.weighed(counted, 90 / 2700).collect()}
+    assert 60 <= sum(weight.values()) <= 130 and weight["http://hot.net/"] in (30, 31)
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(3)
     rows = [(i, f"http://{rng.choice(['ads', 'win', 'free'])}{rng.randrange(10**6)}.bad.net/{i}" if i % 2 else f"http://news.site.org/fr/{rng.choice('abc')}") for i in range(400)]
