@@ -58,11 +58,18 @@ def mix_documents(
     size: words of the text (null: 0). taken: words that the mix takes of the document, repeats counted,
     at most ``most`` times its size. Sources are shuffled by a hash of doc_id, so reruns agree; rows of
     one doc_id and size are interchangeable. Null doc_ids are shuffled like any other. A source without
-    words, or an empty table, has target 0 and takes nothing.
+    words, or an empty table, has target 0 and takes nothing. A column __row, where docs has one, is kept and
+    orders rows of one doc_id and size; docs then have __mark too, by which rows without doc_id are shuffled.
     """
+    keys = [c for c in docs.columns if c == "__row"]
+    name = F.coalesce(F.col("doc_id").cast("string"), *(F.col("__mark") for _ in keys), F.lit(""))
     sized = stage(
-        docs.select("doc_id", "source", F.coalesce(F.expr(f"regexp_count(text, r'{WORDS}')"), F.lit(0)).cast("long").alias("size")).withColumn(
-            "place", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+        docs.select(
+            "doc_id",
+            *keys,
+            "source",
+            F.coalesce(F.expr(f"regexp_count(text, r'{WORDS}')"), F.lit(0)).cast("long").alias("size"),
+            F.md5(F.concat(F.lit("mix:"), name).cast("binary")).alias("place"),
         ),
         "mix-sizes",
     )
@@ -100,17 +107,17 @@ def mix_documents(
     placed = sized.withColumn("range", F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % RANGES)
     offset = placed.groupBy("source", "range").agg(F.sum("size").alias("n"))
     offset = offset.select("source", "range", F.expr("coalesce(sum(n) over (partition by source order by range rows between unbounded preceding and 1 preceding), 0)").alias("offset"))
-    within = placed.withColumn("start", F.expr("sum(size) over (partition by source, range order by place, doc_id, size rows between unbounded preceding and current row) - size"))
+    within = placed.withColumn("start", F.expr(f"sum(size) over (partition by source, range order by {', '.join(['place', 'doc_id', 'size', *keys])} rows between unbounded preceding and current row) - size"))
     within = within.alias("d").join(offset.alias("o"), F.expr("d.source <=> o.source AND d.range = o.range"))
-    within = within.select("d.doc_id", "d.source", "d.size", "d.place", (F.col("start") + F.col("offset")).alias("start"))
+    within = within.select("d.doc_id", *keys, "d.source", "d.size", "d.place", (F.col("start") + F.col("offset")).alias("start"))
 
     pieces = within.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}L, (start + size - 1) div {block}L)")))
     pieces = pieces.withColumn("part", F.expr(f"least(start + size, (block + 1) * {block}L) - greatest(start, block * {block}L)"))
     pieces = pieces.alias("d").join(taken.alias("t"), F.expr("d.source <=> t.source AND d.block = t.block"), "left")
-    pieces = pieces.select("d.source", "d.start", "d.doc_id", "d.size", F.expr("part * coalesce(times, 0)").alias("words"))
-    mixed = pieces.groupBy("source", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
-    mixed = mixed.unionByName(within.where("size = 0").select("source", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
-    return mixed.alias("m").join(F.broadcast(sources).alias("s"), F.expr("m.source <=> s.source")).select("doc_id", "size", "source_size", "target", "taken")
+    pieces = pieces.select("d.source", "d.start", "d.doc_id", *keys, "d.size", F.expr("part * coalesce(times, 0)").alias("words"))
+    mixed = pieces.groupBy("source", "start", "doc_id", *keys, "size").agg(F.sum("words").alias("taken"))
+    mixed = mixed.unionByName(within.where("size = 0").select("source", "start", "doc_id", *keys, "size", F.lit(0).cast("long").alias("taken")))
+    return mixed.alias("m").join(F.broadcast(sources).alias("s"), F.expr("m.source <=> s.source")).select("doc_id", *keys, "size", "source_size", "target", "taken")
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
@@ -120,18 +127,34 @@ def op7_mixing(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it, rounded to whole documents.
 
-    Rows of one doc_id share its number of copies; documents without words or doc_id hold nothing to
-    mix and are left out.
+    Each row has its own number of copies, with a doc_id or without; documents without words hold nothing
+    to mix and are left out.
     """
-    taken = mix_documents(docs).where("size > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("cast(floor(sum(taken) / sum(size) + 0.5D) AS INT)").alias("copies"))
-    rows = docs.join(taken.where("copies > 0").withColumnRenamed("copies", "__copies"), "doc_id")
-    return rows.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(docs.columns)
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    named = rows.where("doc_id IS NOT NULL").select("doc_id", "__row", "text", "source", F.lit(None).cast("string").alias("__mark"))
+    taken = mix_documents(named.unionByName(_marked(rows.where("doc_id IS NULL")))).where("size > 0")
+    taken = taken.select("__row", F.expr("cast(floor(taken / size + 0.5D) AS INT)").alias("__copies")).where("__copies > 0")
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(docs.columns)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """rows with __mark: the hash of the text, and a number among the rows of one text and source.
+
+    Ranked in two levels, so that a text of many rows isn't one task's.
+    """
+    rows = rows.select("doc_id", "__row", "text", "source", F.sha2("text", 256).alias("hash"), F.expr("__row div 8192").alias("stripe"))
+    before = rows.groupBy("source", "hash", "stripe").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.expr("coalesce(sum(n) over (partition by source, hash order by stripe rows between unbounded preceding and 1 preceding), 0)"))
+    ranked = rows.withColumn("r", F.expr("row_number() over (partition by source, hash, stripe order by __row)"))
+    ranked = ranked.alias("d").join(before.alias("b"), F.expr("d.source <=> b.source AND d.hash <=> b.hash AND d.stripe = b.stripe"))
+    return ranked.select("d.doc_id", "d.__row", "d.text", "d.source", F.concat_ws(":", "d.hash", F.col("r") + F.col("before")).alias("__mark"))
 
 
 #: The same mix in DuckDB. Saturated sources are those whose limit over weight is least.
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size,
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
   FROM documents
 ), totals AS (

@@ -38,3 +38,20 @@ def test_stages_end_to_end(spark, tmp_path):
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert ran.count() == tokens.count() and re.fullmatch(r"bigint", dict(ran.dtypes)["doc_id"])
     assert ran.where(F.size("ids") == 0).count() == 0
+
+
+def test_mixture_keeps_rows_without_id_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i, f"word number {i} of the text", "s") for i in range(300)]
+    rows += [(None, "the same words again", "s")] * 200 + [(1000, f"one id of text {i} here", "s") for i in range(20)] + [(None, " ", "s"), (None, None, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    got = mixed.collect()
+    words = lambda found: sum(len((r[1] or "").split()) for r in found)
+    for part in (lambda r: r[0] is None and r[1] and r[1].startswith("word"), lambda r: r[1] == "the same words again", lambda r: r[0] is not None and r[0] < 1000):
+        assert 1.2 * words(filter(part, rows)) <= words(filter(part, got)) <= 1.8 * words(filter(part, rows))
+    # rows of one id lie side by side in the shuffle, and the schedule may be in either round there
+    assert {r.text for r in got if r.doc_id == 1000} == {r[1] for r in rows if r[0] == 1000}
+    assert {r.text for r in got} <= {r[1] for r in rows if r[1] and r[1].strip()}
+    again = mixing.mixed_documents(df.repartition(5)).where("doc_id IS NULL")
+    assert sorted(r.text for r in again.collect()) == sorted(r.text for r in got if r.doc_id is None)
