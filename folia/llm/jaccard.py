@@ -1,13 +1,13 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
-Sets of similar size share a band. Within a band a Jaccard bound is a bound k on the number of
-features in which two sets differ, so when the feature domain (64-bit hashes) is cut into n parts,
-two linked sets agree on at least n - k whole parts. The parts form n/2 first-level partitions of
-two second-level ones each; the enumerated subsets are the single second-level parts, as at most one
-of a pair may differ in some first-level partition. Each set has one signature per subset, in its
-own band and in the next. With more parts than k + 1 linked sets agree on several; each set then leaves
-out its thinnest parts and its most common signatures, as many as still let one shared signature stay.
-Candidates are verified on whole sets.
+Sets of similar size share a band. Within a band a Jaccard bound is a bound k on the number of features in
+which two sets differ. The feature domain (64-bit hashes) is cut into first-level partitions, more than half
+as many as k, so in some of them linked sets differ in one feature at most; each of these is cut into
+second-level parts, and the enumerated subsets leave out one of them. A set has a signature for each subset,
+in its own band and in the next. There are more partitions than linked sets need, so they share several
+signatures; each set may then leave out its thinnest and its most common ones, as many as still let one
+shared signature stay. What shares a signature is compared by parity sketches, which never tell linked sets
+apart, and verified on whole sets.
 """
 
 from __future__ import annotations
@@ -20,27 +20,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import connected_components, hash_words, mix, stage, text_slices, words_of
+from folia.llm.common import connected_components, free, hash_words, key_runs, mix, stage, text_slices
 
 #: Words of a shingle in the contract's query; pipelines' stages take five words and 80.
 WORDS, PERCENT = 4, 85
-#: Ranges of the hash domain in which verified sets are counted beforehand.
-HISTOGRAM = 64
-#: Turns of comparing each signature's nodes with one of them before groups are compared whole.
-TURNS = 2
-
-
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; fewer words make one shingle, none an empty set."""
-    tokens = words_of(text)
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = hash_words(tokens)
-    size = min(words, len(tokens))
-    total = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        total = mix(total + np.uint64(0x9E3779B97F4A7C15)) ^ h[i : len(h) - size + 1 + i]
-    return np.unique(mix(total))
+#: Signatures of a part of the shuffle, about: what a task sorts at a time.
+PART = 1 << 21
+#: Turns of verifying one center for each node before all that is left is verified.
+TURNS = 3
+#: Nodes of a block; the nodes of a signature are compared block by block.
+BLOCK = 2048
+_HALF = np.uint64(0x5851F42D4C957F2D)
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; fewer words make one shingle, none an empty set."""
+    h, at = hash_words(texts)
+
+    def shingled(h: np.ndarray, size: int) -> np.ndarray:
+        total = np.full(max(0, len(h) - size + 1), size, np.uint64)
+        for i in range(size):
+            total = mix(total + np.uint64(0x9E3779B97F4A7C15)) ^ h[i : len(h) - size + 1 + i]
+        return mix(total)
+
+    full = shingled(h, words)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out.append(np.unique(full[a : b - words + 1] if b - a >= words else shingled(h[a:b], b - a) if b > a else h[a:a]))
+    return out
 
 
 @lru_cache
@@ -55,34 +62,46 @@ def bands(percent: int, up_to: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(last)
 
 
-def parts_of(band: int, percent: int) -> tuple[int, int, int, int]:
-    """(k, n, thin, common) of a band.
+@lru_cache(4096)
+def plan(band: int, percent: int) -> tuple[int, int, int, int, int]:
+    """(k, first, second, thin, common) of a band.
 
     k: the most features in which linked sets of the band differ, as |A| + |B| - 2 |A and B| <=
-    (|A| + |B|) (100 - p) / (100 + p). n: the number of parts, of which linked sets share at least
-    n - k = 1 + thin + common. Each set may therefore leave out its ``thin`` parts with the fewest
-    features, and of what is left the ``common`` signatures that most sets have: both orders depend on
-    what a part holds only, so the last of the shared parts in such an order stays on both sides.
+    (|A| + |B|) (100 - p) / (100 + p). Of ``first`` partitions linked sets differ in at most one feature in
+    first - k // 2 = 1 + thin + common or more, and share a signature in each. Each set may therefore leave
+    out its ``thin`` signatures with the fewest features, and of what is left the ``common`` ones that most
+    sets have: both orders depend on what a signature holds only, so the last of the shared signatures in
+    such an order stays on both sides. Where k is 0 only equal sets link, which need no signature.
     """
     k = 2 * int(bands(percent)[1][band]) * (100 - percent) // (100 + percent)
-    thin, common = -(-8 * k // 100), k // 5
     if not k:
-        return 0, 2, 1, 0
-    odd = (k + 1 + thin + common) % 2
-    return k, k + 1 + thin + common + odd, thin + odd, common
+        return 0, 0, 0, 0, 0
+    thin, common = -(-k // 10), -(-k // 16)
+    return k, k // 2 + 1 + thin + common, 4 if k < 8 else 3, thin, common
 
 
 def signatures(h: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
     """(band, common, signatures) of a set in its own band and the next."""
     own = int(np.searchsorted(bands(percent)[1], len(h)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ _HALF), out=sums[1:])
     out = []
     for band in (own, own + 1):
-        _, n, thin, common = parts_of(band, percent)
-        edges = np.concatenate([[0], np.searchsorted(h, np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)), [len(h)]])
-        part = np.arange(n, dtype=np.uint64) + np.uint64(band << 32)
-        found = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ mix(part + np.uint64(1)))
-        out.append((band, common, found[np.lexsort((found, np.diff(edges)))[thin:]]))
+        _, first, second, thin, common = plan(band, percent)
+        if not first:
+            continue
+        parts = first * second
+        edges = np.empty(parts + 1, np.int64)
+        edges[0], edges[-1] = 0, len(h)
+        edges[1:-1] = np.searchsorted(h, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))
+        held, sizes = sums[edges[1:]] - sums[edges[:-1]], np.diff(edges)
+        # a subset is its partition without one of the partition's parts
+        whole, many = held.reshape(first, second), sizes.reshape(first, second)
+        value = (whole.sum(1, dtype=np.uint64)[:, None] - whole).ravel()
+        name = np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)
+        found = mix(value ^ mix(name + np.uint64(1)))
+        fill = (many.sum(1)[:, None] - many).ravel()
+        out.append((band, common, found[np.lexsort((found, fill))[thin:]]))
     return out
 
 
@@ -91,6 +110,22 @@ def set_id(h: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(h)) + np.uint64(len(h))])).view(np.int64)[0])
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the features that fall on each bit; four bits a feature or more, a power of two."""
+    bits = max(64, 1 << (4 * len(h) - 1).bit_length())
+    counts = np.bincount((mix(h ^ _HALF) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A number of features that two sets differ in at least: the parities of their sketches that differ."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -99,96 +134,177 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches):
-            sets = [shingle_set(t, words) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_id(h) if len(h) else None for h in sets], pa.int64())],
-                ["doc_id", "n_shingles", "node"],
-            )
+            sets = shingle_sets(texts, words)
+            new = [
+                pa.array([len(h) for h in sets], pa.int64()),
+                pa.array([set_id(h) if len(h) else None for h in sets], pa.int64()),
+                pa.array([sketch(h).tobytes() if len(h) else None for h in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *new], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(f, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(f, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, band, common, sig) of every set; the arrays are unfolded on the JVM side."""
+def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """(part, packed): the signatures of many sets at a time, dealt to parts by their values."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
-            rows = [(set_id(h), *r) for h in (shingle_set(t, words) for t in texts) if len(h) for r in signatures(h, percent)]
-            offsets = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.int64), *(r[3].view(np.int64) for r in rows)])
-            columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "band", "common", "sigs"])
+        for _, texts in text_slices(batches, rows=1024):
+            rows = [(set_id(h), *r) for h in shingle_sets(texts, words) if len(h) for r in signatures(h, percent)]
+            if not rows:
+                continue
+            sigs = np.concatenate([r[3] for r in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+            part = (sigs % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            sigs, owner, part = sigs[order], owner[order], part[order]
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            head = np.array([r[:3] for r in rows], np.int64)
+            packed = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                starts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                runs = np.column_stack([head[owner[a:b][starts]], np.diff(starts, append=b - a)])
+                packed.append(np.int64(len(runs)).tobytes() + runs.tobytes() + sigs[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    return docs.select("text").mapInArrow(f, "part int, packed binary")
 
-    signed = docs.select("text").mapInArrow(f, "node long, band int, common int, sigs array<long>")
-    return signed.select("node", "band", "common", F.explode("sigs").alias("sig"))
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """(sig, node) of the signatures that several nodes have, less those that a node may leave out."""
 
-def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
-            sets = [h for h in (shingle_set(t, words) for t in texts) if len(h)]
-            counts = [np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM).tolist() for h in sets]
+        for group in key_runs(batches, ["part"]):
+            runs, sigs = [], []
+            for packed in group["packed"].to_pylist():
+                n = int(np.frombuffer(packed, np.int64, 1)[0])
+                runs.append(np.frombuffer(packed, np.int64, 4 * n, 8).reshape(n, 4))
+                sigs.append(np.frombuffer(packed, np.uint64, -1, 8 + 32 * n))
+            held, sig = np.concatenate(runs), np.concatenate(sigs)
+            order = np.argsort(sig)
+            ranked = sig[order]
+            same = ranked[1:] == ranked[:-1]
+            keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            run = np.repeat(np.arange(len(held)), held[:, 3])[keep]
+            sig, rows = sig[keep], held[run, :3]
+            order = np.lexsort((rows[:, 0], sig))
+            sig, rows = sig[order], rows[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (rows[1:, 0] != rows[:-1, 0])
+            sig, rows = sig[new], rows[new]
+            _, at, many = np.unique(sig, return_inverse=True, return_counts=True)
+            many = many[at]
+            several = many > 1
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([set_id(h) for h in sets], pa.int64()),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array(counts, pa.list_(pa.int32())),
-                    pa.array([h.tobytes() for h in sets], pa.binary()),
-                ],
-                ["node", "n", "histogram", "hashes"],
+                [pa.array(sig.view(np.int64)[several]), *(pa.array(np.ascontiguousarray(rows[several, i])) for i in range(3)), pa.array(many[several])],
+                ["sig", "node", "band", "common", "many"],
             )
 
-    return docs.select("text").mapInArrow(f, "node long, n long, histogram array<int>, hashes binary")
+    dealt = signed.repartition("part").sortWithinPartitions("part")
+    several = dealt.mapInArrow(f, "sig long, node long, band long, common long, many long")
+    ranked = several.withColumn("rank", F.expr("row_number() over (partition by node, band order by many desc, sig)"))
+    return ranked.where("rank > common").select("sig", "node")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose sets are linked, as edges (src, dst).
+def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_slices(batches):
+            sets = [h for h in shingle_sets(texts, words) if len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
 
-    What linked sets must meet on sizes and on the counts of their hashes by range is tested before
-    the sets themselves are brought together.
-    """
+    return docs.select("text").mapInArrow(f, "node long, hashes binary")
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (center, node) those that sizes and sketches don't tell apart."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            rows = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)
+            differ = np.array([apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in rows], np.int64)
+            keep = pa.array(differ * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("center", "node")], ["center", "node"])
+
+    both = pairs.join(sketches.toDF("center", "n_a", "sketch_a"), "center").join(sketches.toDF("node", "n_b", "sketch_b"), "node")
+    return both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(f, "center long, node long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (center, node) those whose sets are linked, as edges (src, dst)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist(), strict=True)
             keep = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([batch.column("center").filter(keep), batch.column("node").filter(keep)], ["src", "dst"])
 
-    bound = sets.select("node", "n", "histogram")
-    close = (
-        pairs.join(bound.toDF("a", "n_a", "histogram_a"), "a")
-        .join(bound.toDF("b", "n_b", "histogram_b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .where(f"{_far('histogram_a', 'histogram_b')} * {100 + percent} <= (n_a + n_b) * {100 - percent}")
-        .select("a", "b")
-    )
-    whole = sets.select("node", "hashes")
-    both = close.join(whole.toDF("a", "hashes_a"), "a").join(whole.toDF("b", "hashes_b"), "b")
-    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(f, "src long, dst long")
+    both = pairs.join(sets.toDF("node", "hashes_b"), "node").join(sets.toDF("center", "hashes_a"), "center")
+    return both.mapInArrow(f, "src long, dst long")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, node) of the signatures that several nodes have, less those that a node may leave out."""
-    over = "over (partition by sig)"
-    several = signed.withColumn("low", F.expr(f"min(node) {over}")).withColumn("high", F.expr(f"max(node) {over}")).withColumn("many", F.expr(f"count(*) {over}"))
-    several = several.where("low <> high").select("sig", "node", "band", "common", "many").distinct()
-    ranked = several.withColumn("rank", F.expr("row_number() over (partition by node, band order by many desc, sig)"))
-    return ranked.where("rank > common").select("sig", "node")
+def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (center, node) whose nodes are in different components."""
+    both = pairs.join(joined.toDF("center", "a"), "center", "left").join(joined.toDF("node", "b"), "node", "left")
+    return both.where("coalesce(a, center) <> coalesce(b, node)").select("center", "node")
 
 
-def _candidates(shared: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of each signature's center with its nodes of other components: no more than there are rows.
+def compare(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the pairs of a group's nodes, of different components, that sizes and sketches don't tell apart.
 
-    A signature's center is the node with the least hash, which differs each turn.
+    A group holds nodes of one signature, of one block or of two; pairs of two blocks are those across.
     """
-    rows = shared.withColumn("joined", F.col("node")) if joined is None else shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
-    rows = rows.withColumn("center", F.expr(f"min(struct(xxhash64(node, {turn}) AS key, node, joined)) over (partition by sig)")).where("joined <> center.joined")
-    return rows.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+    order = np.argsort(group["n"].to_numpy(), kind="stable")
+    n, node, joined, block = (group[c].to_numpy()[order] for c in ("n", "node", "joined", "block"))
+    one = block.min() == block.max() if group["low"][0].as_py() == group["high"][0].as_py() else None
+    held = [np.frombuffer(s, np.uint64) for s in group["sketch"].take(pa.array(order)).to_pylist()]
+    width = np.array([len(s) for s in held])
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # sizes within the bound have sketches of one width or of neighbouring ones
+    for w in np.unique(width):
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        table = np.stack([s if len(s) == w else s[:w] ^ s[w:] for s in (held[i] for i in rows)])
+        last = np.searchsorted(n[rows], n[rows] * 100 // percent, side="right")
+        for i in np.flatnonzero(width[rows] == w).tolist():
+            r, near = rows[i], rows[i + 1 : last[i]]
+            fine = joined[near] != joined[r]
+            if one is None:
+                fine &= block[near] != block[r]
+            near = near[fine]
+            if len(near):
+                differ = np.bitwise_count(table[i + 1 : last[i]][fine] ^ table[i]).sum(1)
+                near = near[differ * (100 + percent) <= (n[near] + n[r]) * (100 - percent)]
+                found_a.append(np.full(len(near), node[r]))
+                found_b.append(node[near])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _untried(shared: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (center, node) of nodes that share a signature and are in different components, not told apart by sketches.
+
+    Signatures of the same nodes count once; of two nodes one was the other's center. Groups are cut into
+    blocks by hash, and pairs of blocks are compared in tasks.
+    """
+    over = "over (partition by sig)"
+    rows = shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    stats = {"low": f"min(joined) {over}", "high": f"max(joined) {over}", "many": f"count(*) {over}", "print": f"sum(cast(xxhash64(node) AS decimal(20))) {over}"}
+    for name, expression in stats.items():
+        rows = rows.withColumn(name, F.expr(expression))
+    rows = stage(rows.where("low <> high AND many > 2").select("sig", "node", "joined", "many", "print"), "jaccard-mixed")
+    once = rows.groupBy("print", "many").agg(F.min("sig").alias("sig")).select("sig")
+    rows = rows.join(once, "sig", "left_semi").join(sketches, "node")
+    rows = rows.withColumn("blocks", F.expr(f"(many + {BLOCK} - 1) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, ["sig", "low", "high"]):
+            a, b = compare(group, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["center", "node"])
 
-def _far(x: str, y: str) -> str:
-    """SQL for the least number of features in which two sets differ, from their counts by range."""
-    return f"aggregate(zip_with({x}, {y}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
+    key = ["sig", "low", "high"]
+    dealt = rows.select(*key, "node", "joined", "block", "n", "sketch").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(f, "center long, node long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,49 +314,50 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     component_id is the smallest doc_id reachable by links, itself included. Null or wordless texts
     have no shingles and link with nothing; a null doc_id is never linked and its component is null.
     Equal sets are one node from the start, so copies cost nothing further; a repeated doc_id is one
-    vertex that has the links of all its texts. Other columns are not read.
+    vertex that has the links of all its texts. Other columns are not read. An empty table gives no rows.
 
-    A few turns of comparing each signature's nodes with one of them join most of what belongs together.
-    Where nodes of one signature are in several components after that, all its pairs across components
-    are compared, so no link that joins components is missed whatever the size of the group.
+    Each signature's nodes are compared with its center, one of them, which joins most of what belongs
+    together. Where nodes of one signature are in several components after that, all its pairs across
+    components are compared by sketches within tasks, so no link that joins components is missed whatever
+    the size of the group, and only pairs that are linked or nearly so leave them.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = stage(_sets(docs, words), "jaccard-sets")
     named = found.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "doc_id")
     first = named.groupBy("node").agg(F.min("doc_id").alias("first"))
+    sketches = found.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = stage(sketches, "jaccard-sketches")
     same = named.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("dst")).where("src <> dst")
     same = named.join(same.select("doc_id", "src"), "doc_id").where("node <> src").select("src", F.col("node").alias("dst"))
 
-    shared = stage(_shared(_signed(docs.where("doc_id IS NOT NULL"), words, percent)), "jaccard-shared")
-    wanted = shared.select("node").distinct().join(first, "node").select(F.col("first").alias("doc_id")).distinct()
-    sets = stage(_whole_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]), "jaccard-whole")
+    features = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = stage(_shared(_signed(docs.where("doc_id IS NOT NULL"), words, percent, max(4 * shuffled, features // PART))), "jaccard-shared")
+    center = shared.withColumn("c", F.expr("min(struct(xxhash64(node) AS key, node)) over (partition by sig)")).where("node <> c.node")
+    close = stage(_close(center.select(F.col("c.node").alias("center"), "node").distinct(), sketches, percent), "jaccard-close")
 
-    links, tried, joined = stage(same, "jaccard-links"), None, None
+    ends = close.select("node").union(close.select("center")).distinct()
+    sets = stage(_read_sets(docs, ends, first, words), "jaccard-whole")
+    links = stage(same, "jaccard-links")
+    joined = connected_components(links)
     for turn in range(TURNS):
-        pairs = _candidates(shared, joined, turn)
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(stage(_verified(pairs, sets, percent), "jaccard-links"))
+        pairs = _across(close, joined) if turn else close
+        if turn < TURNS - 1:
+            pairs = pairs.groupBy("node").agg(F.expr(f"min_by(center, xxhash64(center, {turn}))").alias("center"))
+        more = stage(_verified(pairs, sets, percent), "jaccard-links")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
         joined = connected_components(links)
-
-    rows = shared.join(joined.toDF("node", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
-    mixed = rows.withColumn("low", F.expr("min(joined) over (partition by sig)")).withColumn("high", F.expr("max(joined) over (partition by sig)")).where("low <> high")
-    mixed = mixed.select("sig", "node", "joined")
-    # each pair comes up once, under the least of the signatures that it shares
-    own = mixed.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-    mixed = stage(mixed.join(own, "node").join(sets.select("node", "n", "histogram"), "node"), "jaccard-mixed")
-    across = mixed.alias("x").join(
-        mixed.alias("y"),
-        F.expr(
-            f"x.sig = y.sig AND x.node < y.node AND x.joined <> y.joined AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-            f" AND {_far('x.histogram', 'y.histogram')} * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-            " AND x.sig = array_min(array_intersect(x.sigs, y.sigs))"
-        ),
-    )
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = stage(_verified(across, sets, percent), "jaccard-links")
-    if not more.isEmpty():
-        joined = connected_components(links.unionByName(more))
+    free(sets)
+    left = stage(_untried(shared, joined, sketches, percent), "jaccard-untried")
+    if not left.isEmpty():
+        sets = stage(_read_sets(docs, left.select("node").union(left.select("center")).distinct(), first, words), "jaccard-whole")
+        more = stage(_verified(left, sets, percent), "jaccard-links")
+        free(sets)
+        if not more.isEmpty():
+            joined = connected_components(links.unionByName(more))
+    free(shared, close, left)
 
     component = first.join(joined.toDF("node", "joined"), "node", "left").select("node", "first", F.coalesce("joined", "node").alias("joined"))
     least = component.groupBy("joined").agg(F.min("first").alias("component_id"))
@@ -248,15 +365,29 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return found.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
+def _read_sets(docs: DataFrame, nodes: DataFrame, first: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of the nodes, from one document of each; a repeated doc_id may bring further nodes."""
+    wanted = nodes.join(first, "node").select(F.col("first").alias("doc_id")).distinct()
+    return _whole_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"])
+
+
 def op8_jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id.
+    """One document of each group of linked ones: that with the smallest doc_id, null last, and of equal ids
+    that with the least hash.
 
-    Repeated rows of that doc_id become one; rows without doc_id stay.
+    Rows are told apart by doc_id and text, so texts of a repeated doc_id, or without one, are kept unless
+    they are linked; rows equal in both become one. Texts without words stay as they are, null included.
     """
-    kept = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text")
+    rows = docs.withColumn("__key", key)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = jaccard_components(rows.where(worded).select(F.col("__key").alias("doc_id"), "text"), words, percent)
+    ids = rows.where(worded).select("__key", F.struct(F.col("doc_id").isNull(), "doc_id", "__key").alias("place"))
+    kept = found.select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids, "__key")
+    kept = kept.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.__key").alias("__key"))
+    unlike = rows.where(worded).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
+    return unlike.select(docs.columns).unionByName(docs.where(~worded))
