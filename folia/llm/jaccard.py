@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
 Sets of similar size share a band. Within a band a Jaccard bound is a bound k on the number of features in
-which two sets differ. The feature domain (64-bit hashes) is cut into first-level partitions, more than half
-as many as k, so in some of them linked sets differ in one feature at most; each of these is cut into
-second-level parts, and the enumerated subsets leave out one of them. A set has a signature for each subset,
-in its own band and in the next. There are more partitions than linked sets need, so they share several
+which two sets differ. The feature domain (64-bit hashes) is cut into first-level partitions. Where there are more
+than k, linked sets agree on some of them; where there are more than half as many, they differ in one feature
+at most in some, and each is cut into second-level parts, of which the enumerated subsets leave out one. A set
+has a signature for each subset, in its own band and in the next. There are more partitions than linked sets need, so they share several
 signatures; each set may then leave out its thinnest and its most common ones, as many as still let one
 shared signature stay. What shares a signature is compared by parity sketches, which never tell linked sets
 apart, and verified on whole sets.
@@ -28,9 +28,14 @@ WORDS, PERCENT = 4, 85
 PART = 1 << 21
 #: Turns of verifying one center for each node before all that is left is verified.
 TURNS = 3
+#: Bound on differing features from which parts have no second level.
+TWO_LEVELS = 16
+#: Turns of comparing the groups that are left; only the last takes all their pairs, so the others come first.
+LAST = 2
 #: Nodes of a block; the nodes of a signature are compared block by block.
 BLOCK = 2048
 _HALF = np.uint64(0x5851F42D4C957F2D)
+_NONE = np.zeros(0, np.uint64)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -68,40 +73,43 @@ def plan(band: int, percent: int) -> tuple[int, int, int, int, int]:
 
     k: the most features in which linked sets of the band differ, as |A| + |B| - 2 |A and B| <=
     (|A| + |B|) (100 - p) / (100 + p). Of ``first`` partitions linked sets differ in at most one feature in
-    first - k // 2 = 1 + thin + common or more, and share a signature in each. Each set may therefore leave
-    out its ``thin`` signatures with the fewest features, and of what is left the ``common`` ones that most
-    sets have: both orders depend on what a signature holds only, so the last of the shared signatures in
-    such an order stays on both sides. Where k is 0 only equal sets link, which need no signature.
+    first - k // 2 or more, where second-level parts let one of them differ, and in none in first - k, where
+    there is no second level; either number is 1 + thin + common, and they share a signature in each. Each
+    set may therefore leave out its ``thin`` signatures with the fewest features, and of what is left the
+    ``common`` ones that most sets have: both orders depend on what a signature holds only, so the last of
+    the shared signatures in such an order stays on both sides. Small sets need the second level for their
+    signatures to hold enough features. Where k is 0 only equal sets link, which need no signature.
     """
     k = 2 * int(bands(percent)[1][band]) * (100 - percent) // (100 + percent)
     if not k:
         return 0, 0, 0, 0, 0
-    thin, common = -(-k // 10), -(-k // 16)
-    return k, k // 2 + 1 + thin + common, 4 if k < 8 else 3, thin, common
+    thin, common = -(-k // 8), -(-k // 16)
+    return (k, k // 2 + 1 + thin + common, 4, thin, common) if k < TWO_LEVELS else (k, k + 1 + thin + common, 1, thin, common)
 
 
-def signatures(h: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(band, common, signatures) of a set in its own band and the next."""
+def signatures(h: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(band, signatures) of a set in its own band and the next."""
     own = int(np.searchsorted(bands(percent)[1], len(h)))
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(mix(h ^ _HALF), out=sums[1:])
     out = []
     for band in (own, own + 1):
-        _, first, second, thin, common = plan(band, percent)
+        _, first, second, thin, _ = plan(band, percent)
         if not first:
             continue
         parts = first * second
         edges = np.empty(parts + 1, np.int64)
         edges[0], edges[-1] = 0, len(h)
         edges[1:-1] = np.searchsorted(h, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))
-        held, sizes = sums[edges[1:]] - sums[edges[:-1]], np.diff(edges)
-        # a subset is its partition without one of the partition's parts
-        whole, many = held.reshape(first, second), sizes.reshape(first, second)
-        value = (whole.sum(1, dtype=np.uint64)[:, None] - whole).ravel()
+        value, fill = sums[edges[1:]] - sums[edges[:-1]], np.diff(edges)
+        if second > 1:
+            # a subset is its partition without one of the partition's parts
+            held, sizes = value.reshape(first, second), fill.reshape(first, second)
+            value = (held.sum(1, dtype=np.uint64)[:, None] - held).ravel()
+            fill = (sizes.sum(1)[:, None] - sizes).ravel()
         name = np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)
         found = mix(value ^ mix(name + np.uint64(1)))
-        fill = (many.sum(1)[:, None] - many).ravel()
-        out.append((band, common, found[np.lexsort((found, fill))[thin:]]))
+        out.append((band, found[np.lexsort((found, fill))[thin:]]))
     return out
 
 
@@ -145,60 +153,75 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(f, "doc_id long, n_shingles long, node long, sketch binary")
 
 
+def _pack(nodes: np.ndarray, bands_: np.ndarray, sigs: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed) of the signatures of sets: a head for each set with its number of signatures, six bytes each.
+
+    A signature's lowest bit tells the set's own band from the next; its part and the other 47 bits its value.
+    """
+    every = np.concatenate(sigs)
+    owner = np.repeat(np.arange(len(sigs)) // 2, [len(x) for x in sigs])
+    bit = np.repeat(np.arange(len(sigs), dtype=np.uint64) % np.uint64(2), [len(x) for x in sigs])
+    part, value = (every % np.uint64(parts)).astype(np.int32), (every // np.uint64(parts)) << np.uint64(1) | bit
+    order = np.argsort(part, kind="stable")
+    part, value, owner = part[order], value[order], owner[order]
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
+    for a, b in zip(edges, edges[1:], strict=False):
+        starts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+        own = owner[a:b][starts]
+        pieces = [np.int64(len(own)), nodes[own], np.diff(starts, append=b - a).astype(np.uint32), bands_[own].astype(np.uint16)]
+        pieces += [value[a:b].astype(np.uint32), (value[a:b] >> np.uint64(32)).astype(np.uint16)]
+        yield int(part[a]), b"".join(x.tobytes() for x in pieces)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, bands, values), a row for each signature."""
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    nodes, counts = np.frombuffer(packed, np.int64, n, 8), np.frombuffer(packed, np.uint32, n, 8 + 8 * n).astype(np.int64)
+    own, at, total = np.frombuffer(packed, np.uint16, n, 8 + 12 * n), 8 + 14 * n, int(counts.sum())
+    low, high = np.frombuffer(packed[at : at + 4 * total], np.uint32), np.frombuffer(packed[at + 4 * total :], np.uint16)
+    value = high.astype(np.uint64) << np.uint64(32) | low
+    return np.repeat(nodes, counts), np.repeat(own, counts) + (value & np.uint64(1)).astype(np.int64), value >> np.uint64(1)
+
+
 def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """(part, packed): the signatures of many sets at a time, dealt to parts by their values."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_slices(batches, rows=1024):
-            rows = [(set_id(h), *r) for h in shingle_sets(texts, words) if len(h) for r in signatures(h, percent)]
-            if not rows:
+            sets = [h for h in shingle_sets(texts, words) if len(h)]
+            if not sets:
                 continue
-            sigs = np.concatenate([r[3] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-            part = (sigs % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            sigs, owner, part = sigs[order], owner[order], part[order]
-            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            head = np.array([r[:3] for r in rows], np.int64)
-            packed = []
-            for a, b in zip(edges, edges[1:], strict=False):
-                starts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                runs = np.column_stack([head[owner[a:b][starts]], np.diff(starts, append=b - a)])
-                packed.append(np.int64(len(runs)).tobytes() + runs.tobytes() + sigs[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(packed, pa.binary())], ["part", "packed"])
+            own = np.searchsorted(bands(percent)[1], [len(h) for h in sets])
+            sigs = []
+            for band, h in zip(own.tolist(), sets, strict=True):
+                found = dict(signatures(h, percent))
+                sigs += [found.get(band, _NONE), found.get(band + 1, _NONE)]
+            rows = list(_pack(np.array([set_id(h) for h in sets]), own, sigs, parts))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "packed"])
 
     return docs.select("text").mapInArrow(f, "part int, packed binary")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
+def _shared(signed: DataFrame, percent: int, parts: int) -> DataFrame:
     """(sig, node) of the signatures that several nodes have, less those that a node may leave out."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_runs(batches, ["part"]):
-            runs, sigs = [], []
-            for packed in group["packed"].to_pylist():
-                n = int(np.frombuffer(packed, np.int64, 1)[0])
-                runs.append(np.frombuffer(packed, np.int64, 4 * n, 8).reshape(n, 4))
-                sigs.append(np.frombuffer(packed, np.uint64, -1, 8 + 32 * n))
-            held, sig = np.concatenate(runs), np.concatenate(sigs)
+            node, band, sig = (np.concatenate(x) for x in zip(*map(_unpack, group["packed"].to_pylist()), strict=True))
             order = np.argsort(sig)
             ranked = sig[order]
             same = ranked[1:] == ranked[:-1]
             keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            run = np.repeat(np.arange(len(held)), held[:, 3])[keep]
-            sig, rows = sig[keep], held[run, :3]
-            order = np.lexsort((rows[:, 0], sig))
-            sig, rows = sig[order], rows[order]
+            keep = keep[np.lexsort((node[keep], sig[keep]))]
+            node, band, sig = node[keep], band[keep], sig[keep]
             new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (rows[1:, 0] != rows[:-1, 0])
-            sig, rows = sig[new], rows[new]
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            node, band, sig = node[new], band[new], sig[new]
             _, at, many = np.unique(sig, return_inverse=True, return_counts=True)
-            many = many[at]
-            several = many > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig.view(np.int64)[several]), *(pa.array(np.ascontiguousarray(rows[several, i])) for i in range(3)), pa.array(many[several])],
-                ["sig", "node", "band", "common", "many"],
-            )
+            several = np.flatnonzero(many[at] > 1)
+            name = sig[several].astype(np.int64) * parts + group["part"][0].as_py()
+            common = np.array([plan(b, percent)[4] for b in band[several].tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, node[several], band[several], common, many[at][several])], ["sig", "node", "band", "common", "many"])
 
     dealt = signed.repartition("part").sortWithinPartitions("part")
     several = dealt.mapInArrow(f, "sig long, node long, band long, common long, many long")
@@ -249,17 +272,19 @@ def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return both.where("coalesce(a, center) <> coalesce(b, node)").select("center", "node")
 
 
-def compare(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): the pairs of a group's nodes, of different components, that sizes and sketches don't tell apart.
+def compare(group: pa.Table, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): pairs of a group's nodes, of different components, that sizes and sketches don't tell apart.
 
     A group holds nodes of one signature, of one block or of two; pairs of two blocks are those across.
+    The last turn takes all such pairs, others only as many as would join what those pairs join.
     """
     order = np.argsort(group["n"].to_numpy(), kind="stable")
     n, node, joined, block = (group[c].to_numpy()[order] for c in ("n", "node", "joined", "block"))
-    one = block.min() == block.max() if group["low"][0].as_py() == group["high"][0].as_py() else None
+    two = group["low"][0].as_py() != group["high"][0].as_py()
+    root, rank = joined.copy(), mix(node.view(np.uint64) + np.uint64(turn))
     held = [np.frombuffer(s, np.uint64) for s in group["sketch"].take(pa.array(order)).to_pylist()]
     width = np.array([len(s) for s in held])
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found_a, found_b = [node[:0]], [node[:0]]
     # sizes within the bound have sketches of one width or of neighbouring ones
     for w in np.unique(width):
         rows = np.flatnonzero((width == w) | (width == 2 * w))
@@ -267,20 +292,25 @@ def compare(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         last = np.searchsorted(n[rows], n[rows] * 100 // percent, side="right")
         for i in np.flatnonzero(width[rows] == w).tolist():
             r, near = rows[i], rows[i + 1 : last[i]]
-            fine = joined[near] != joined[r]
-            if one is None:
-                fine &= block[near] != block[r]
+            fine = np.flatnonzero((root[near] != root[r]) & ((block[near] != block[r]) | (not two)))
+            if not len(fine):
+                continue
             near = near[fine]
-            if len(near):
-                differ = np.bitwise_count(table[i + 1 : last[i]][fine] ^ table[i]).sum(1)
-                near = near[differ * (100 + percent) <= (n[near] + n[r]) * (100 - percent)]
-                found_a.append(np.full(len(near), node[r]))
-                found_b.append(node[near])
+            differ = np.bitwise_count(table[i + 1 : last[i]][fine] ^ table[i]).sum(1, dtype=np.int64)
+            near = near[differ * (100 + percent) <= (n[near] + n[r]) * (100 - percent)]
+            if not len(near):
+                continue
+            if turn < LAST:
+                near = near[np.argsort(rank[near], kind="stable")]
+                near = near[np.sort(np.unique(root[near], return_index=True)[1])]
+                root[np.isin(root, root[near])] = root[r]
+            found_a.append(np.full(len(near), node[r]))
+            found_b.append(node[near])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _untried(shared: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (center, node) of nodes that share a signature and are in different components, not told apart by sketches.
+def _untried(shared: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(sig, center, node): pairs of nodes that share a signature and are in different components, as compare() finds them.
 
     Signatures of the same nodes count once; of two nodes one was the other's center. Groups are cut into
     blocks by hash, and pairs of blocks are compared in tasks.
@@ -298,13 +328,13 @@ def _untried(shared: DataFrame, joined: DataFrame, sketches: DataFrame, percent:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_runs(batches, ["sig", "low", "high"]):
-            a, b = compare(group, percent)
+            a, b = compare(group, percent, turn)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["center", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), group["sig"][0].as_py())), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["sig", "center", "node"])
 
     key = ["sig", "low", "high"]
     dealt = rows.select(*key, "node", "joined", "block", "n", "sketch").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(f, "center long, node long").distinct()
+    return dealt.mapInArrow(f, "sig long, center long, node long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -332,7 +362,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     features = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = stage(_shared(_signed(docs.where("doc_id IS NOT NULL"), words, percent, max(4 * shuffled, features // PART))), "jaccard-shared")
+    parts = max(shuffled, features // PART)
+    shared = stage(_shared(_signed(docs.where("doc_id IS NOT NULL"), words, percent, parts), percent, parts), "jaccard-shared")
     center = shared.withColumn("c", F.expr("min(struct(xxhash64(node) AS key, node)) over (partition by sig)")).where("node <> c.node")
     close = stage(_close(center.select(F.col("c.node").alias("center"), "node").distinct(), sketches, percent), "jaccard-close")
 
@@ -350,14 +381,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         links = links.unionByName(more)
         joined = connected_components(links)
     free(sets)
-    left = stage(_untried(shared, joined, sketches, percent), "jaccard-untried")
-    if not left.isEmpty():
-        sets = stage(_read_sets(docs, left.select("node").union(left.select("center")).distinct(), first, words), "jaccard-whole")
-        more = stage(_verified(left, sets, percent), "jaccard-links")
+    mixed = shared
+    for turn in range(LAST + 1):
+        left = stage(_untried(mixed, joined, sketches, percent, turn), "jaccard-untried")
+        if left.isEmpty():
+            break
+        # groups without such a pair have none later on
+        mixed = shared.join(left.select("sig").distinct(), "sig", "left_semi")
+        pairs = left.select("center", "node").distinct()
+        sets = stage(_read_sets(docs, pairs.select("node").union(pairs.select("center")).distinct(), first, words), "jaccard-whole")
+        more = stage(_verified(pairs, sets, percent), "jaccard-links")
         free(sets)
         if not more.isEmpty():
-            joined = connected_components(links.unionByName(more))
-    free(shared, close, left)
+            links = links.unionByName(more)
+            joined = connected_components(links)
+    free(shared, close)
 
     component = first.join(joined.toDF("node", "joined"), "node", "left").select("node", "first", F.coalesce("joined", "node").alias("joined"))
     least = component.groupBy("joined").agg(F.min("first").alias("component_id"))
