@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm.bpe import encode
@@ -18,7 +19,7 @@ from folia.llm.mixing import mixed_documents
 from folia.llm.privacy import sanitise
 
 #: A byte-level BPE file; its path is a parameter of the encoder.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,16 +10,16 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +31,53 @@ LEXICON_WORDS, LEXICON_COUNT = 1 << 15, 4
 #: Words longer than this many bytes are never compiled.
 LEXICON_BYTES = 32
 #: Distinct words that a task remembers beside the lexicon; more start it anew.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 20
+#: Ids of a text that are written as digits or bytes at a time.
+CHUNK = 1 << 18
+#: Bits of a token id in a merge's number, and a number above all merges.
+ID_BITS, NEVER = 24, 1 << 62
 #: Distinct words that a counting task holds before it passes its counts on.
 COUNTED_WORDS = 1 << 18
 
-# Fixed values of the byte-level pre-tokeniser that the tokenizer file names.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# What Unicode 16, which the tokenizers library knows, adds to the letters and numbers of Unicode 15.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# Unicode white space.
+SPACES = ((0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+# Fixed values of the byte-level pre-tokeniser that the tokenizer file names; {L}, {N} and {S} are classes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+
+
+def _class(category: str, new: tuple[tuple[int, int], ...]) -> str:
+    """The members of a regex class: a general category and further ranges."""
+    held = bytearray(0x110000)
+    for i in range(0x110000):
+        held[i] = unicodedata.category(chr(i))[0] == category
+    for first, last in new:
+        held[first : last + 1] = b"\1" * (last + 1 - first)
+    return _members([(m.start(), m.end() - 1) for m in re.finditer(b"\1+", held)])
+
+
+def _members(ranges: Iterable[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache(1)
+def word_pattern() -> re.Pattern[str]:
+    """The pre-tokeniser's pattern with the library's classes, whatever Unicode version a regex module has."""
+    classes = {"{L}": _class("L", NEW_LETTERS), "{N}": _class("N", NEW_NUMBERS), "{S}": _members(SPACES)}
+    pattern = PATTERN
+    for name, members in classes.items():
+        pattern = pattern.replace(name, members)
+    return re.compile(pattern)
+
+
+#: Texts in which a piece may span a space that splits them: white space on both sides, or a run at the end.
+_IRREGULAR = re.compile(rf"  |[{_members(SPACES)}] [{_members(SPACES)}]| \Z")
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,6 +92,12 @@ class Vocabulary:
 
     def __init__(self, source: str) -> None:
         held = json.loads(source)
+        before, model = held.get("pre_tokenizer") or {}, held["model"]
+        plain = not held.get("normalizer") and not any(t.get(flag) for t in held["added_tokens"] for flag in ("lstrip", "rstrip", "single_word"))
+        level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        whole = model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        if not (plain and level and whole):
+            raise ValueError("not a plain byte-level BPE file")
         letters = byte_letters()
         spelled = {token: bytes(letters[c] for c in token) for token in held["model"]["vocab"]}
         self.bytes_of = {i: spelled[token] for token, i in held["model"]["vocab"].items()}
@@ -58,53 +105,135 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.single = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(held["model"]["merges"]):
+        #: rank and new id of each pair of ids, in one number; lower ranks are lower numbers
+        self.merges: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"]):
             left, right = (spelled[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
-        self.words = regex.compile(PATTERN)
+            self.merges.setdefault(ids[left] << ID_BITS | ids[right], rank << ID_BITS | ids[left + right])
+        self.pairs = np.array(sorted(self.merges) or [-1], np.int64)
+        self.ranked = np.array([self.merges.get(k, NEVER) for k in self.pairs.tolist()], np.int64)
+        self.single_array = np.array(self.single, np.int64)
+        most = max(self.bytes_of, default=0) + 1
+        #: of each id: its digits and a comma, filled up with zeros; where its bytes lie among all ids' bytes
+        self.digit_table = np.array([f"{i}," for i in range(most)], f"S{len(str(most)) + 1}").view(np.uint8).reshape(most, -1)
+        held_bytes = [self.bytes_of.get(i, b"") for i in range(most)]
+        self.flat, self.sizes = np.frombuffer(b"".join(held_bytes), np.uint8), np.array([len(b) for b in held_bytes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = word_pattern()
+        #: ids of recent pieces, as bytes of 32-bit numbers
+        self.recent: dict[str, bytes] = {}
         names = sorted(self.special, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: always the pair of least rank, the leftmost first.
 
-        Long words keep their candidate pairs in a heap over linked positions, so that the work grows
-        with n log n.
+        The ranks of all pairs are kept and only those about a merge are looked up anew. Long words keep
+        their candidate pairs in a heap over linked positions, so that the work grows with n log n.
         """
         ids = [self.single[b] for b in word]
-        merges = self.merges
-        if len(ids) <= 48:
-            while len(ids) > 1:
-                best, at = None, -1
-                for i in range(len(ids) - 1):
-                    found = merges.get((ids[i], ids[i + 1]))
-                    if found is not None and (best is None or found < best):
-                        best, at = found, i
-                if best is None:
+        if len(ids) > 256:
+            return self._merge_long(ids)
+        find = self.merges.get
+        ranks = [find(a << ID_BITS | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i, new = ranks.index(best), best & (1 << ID_BITS) - 1
+            ids[i : i + 2] = [new]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = find(ids[i - 1] << ID_BITS | new, NEVER)
+            if i < len(ranks):
+                ranks[i] = find(new << ID_BITS | ids[i + 1], NEVER)
+        return ids
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many words, as bytes of 32-bit numbers: those of up to ``LEXICON_BYTES`` bytes take their merges together, one each in a round."""
+        out = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        rows = np.flatnonzero((sizes > 0) & (sizes <= LEXICON_BYTES))
+        for i in np.flatnonzero(sizes > LEXICON_BYTES).tolist():
+            out[i] = np.array(self.merge(words[i]), np.int32).tobytes()
+        # words of like length at a time, so that rows aren't mostly padding
+        for few in np.array_split(rows[np.argsort(sizes[rows], kind="stable")], max(1, len(rows) // 4096)):
+            if not len(few):
+                continue
+            left, width = sizes[few], int(sizes[few].max())
+            ids = np.full((len(few), width + 1), -1, np.int64)
+            ids[:, :width][np.arange(width) < left[:, None]] = self.single_array[np.frombuffer(b"".join([words[i] for i in few.tolist()]), np.uint8)]
+            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+            live, columns = np.arange(len(few)), np.arange(width + 1)
+            while len(live):
+                at = ranks[live].argmin(1)
+                best = ranks[live, at]
+                going = best < NEVER
+                live, at, best = live[going], at[going], best[going]
+                if not len(live):
                     break
-                ids[at : at + 2] = [best[1]]
-            return ids
-        return self._merge_long(ids)
+                # the pair becomes one id and what follows moves up
+                held = ids[live]
+                moved = np.column_stack([held[:, 1:], np.full(len(live), -1)])
+                after = columns > at[:, None]
+                held = np.where(after, moved, held)
+                held[np.arange(len(live)), at] = best & (1 << ID_BITS) - 1
+                ids[live] = held
+                known = ranks[live]
+                known = np.where(after[:, 1:], np.column_stack([known[:, 1:], np.full(len(live), NEVER)]), known)
+                row = np.arange(len(live))
+                known[row, at] = self._ranks(held[row, at], held[row, at + 1])
+                before = np.maximum(at - 1, 0)
+                known[row, before] = self._ranks(held[row, before], held[row, before + 1])
+                ranks[live] = known
+                left[live] -= 1
+            packed, step = ids.astype(np.int32).tobytes(), 4 * ids.shape[1]
+            for k, (i, n) in enumerate(zip(few.tolist(), left.tolist(), strict=True)):
+                out[i] = packed[k * step : k * step + 4 * n]
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == keys) & (right >= 0), self.ranked[at], NEVER)
+
+    def ids_of_many(self, words: list[str]) -> list[bytes]:
+        """Ids of many stretches of text without special tokens; what pieces are not remembered is merged together."""
+        pieces = list(map(self.words.findall, words))
+        new = list(set().union(*pieces) - self.recent.keys())
+        if len(self.recent) + len(new) > MEMO_WORDS:
+            self.recent.clear()
+            new = list(set().union(*pieces))
+        self.recent.update(zip(new, self.merge_many([p.encode() for p in new]), strict=True))
+        ids_of = self.recent.__getitem__
+        return [b"".join(map(ids_of, p)) for p in pieces]
+
+    def digits(self, ids: np.ndarray) -> bytes:
+        """The ids as digits, a comma after each."""
+        out = self.digit_table[ids].ravel()
+        return out[out != 0].tobytes()
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)].tobytes()
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         from heapq import heapify, heappop, heappush
 
         n = len(ids)
         after, before, live = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
-        heap = [(f[0], i, f[1], ids[i], ids[i + 1]) for i in range(n - 1) if (f := self.merges.get((ids[i], ids[i + 1])))]
+        find = self.merges.get
+        heap = [(f, i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := find(ids[i] << ID_BITS | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
-            _, i, new, left, right = heappop(heap)
+            best, i, left, right = heappop(heap)
             j = after[i]
             if not live[i] or j < 0 or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], live[j], after[i] = new, False, after[j]
+            ids[i], live[j], after[i] = best & (1 << ID_BITS) - 1, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (f := self.merges.get((ids[x], ids[y]))):
-                    heappush(heap, (f[0], x, f[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (f := find(ids[x] << ID_BITS | ids[y])) is not None:
+                    heappush(heap, (f, x, ids[x], ids[y]))
         return [ids[i] for i in range(n) if live[i]]
 
 
@@ -197,12 +326,13 @@ class Transducer:
             state[alive] = self.target[arc]
         return found
 
-    def ids_of(self, index: int) -> list[int]:
-        return self.ids[self.ids_at[index] : self.ids_at[index + 1]].tolist()
+    def ids_of(self, index: int) -> bytes:
+        """Ids of a word, as bytes of 32-bit numbers."""
+        return self.ids[self.ids_at[index] : self.ids_at[index + 1]].tobytes()
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEXICON_COUNT) -> list[bytes]:
-    """The most frequent space-separated pieces of all texts that are letters only, with a space before.
+    """The most frequent space-separated words of all texts, with what else stands at them and a space before.
 
     Counts cover every document; only the most frequent ``most`` words come to the driver.
     """
@@ -228,7 +358,9 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEXI
 
 def compiled(spark: SparkSession, vocabulary: Vocabulary, words: list[bytes]) -> str:
     """Compiles the lexicon and gives its file to every executor; returns the file's name."""
-    content = Transducer.compile({w: vocabulary.merge(w) for w in words if len(w) <= LEXICON_BYTES})
+    short = [w for w in words if len(w) <= LEXICON_BYTES]
+    ids = vocabulary.ids_of_many([w.decode() for w in short])
+    content = Transducer.compile({w: np.frombuffer(x, np.int32).tolist() for w, x in zip(short, ids, strict=True)})
     name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(), name)
     with open(path, "wb") as file:
@@ -250,47 +382,71 @@ def _vocabulary(name: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; words are looked up in a memo, the lexicon, then merged."""
+    """Encodes and decodes whole texts by space-separated words; each is looked up in a memo, the lexicon, then merged.
+
+    A single space between other characters always begins a piece, so a word with the space before it has the
+    same ids wherever it stands. Texts with runs of white space about spaces, or with special tokens, are cut
+    by the pattern as a whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def pieces(self, text: str) -> list[str | int]:
-        """Words in order; special tokens as ids."""
-        if self.vocabulary.cut is None or not any(s in text for s in self.vocabulary.special):
-            return self.vocabulary.words.findall(text)
-        out: list[str | int] = []
-        for part in self.vocabulary.cut.split(text):
-            out += [self.vocabulary.special[part]] if part in self.vocabulary.special else self.vocabulary.words.findall(part)
+        #: ids of words, as bytes of 32-bit numbers: of those with a space before, which is left out, and of others
+        self.spaced: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+
+    def words(self, text: str) -> tuple[list[str], list[str]]:
+        """(pieces, words): pieces that begin the text, special tokens alone, and words that each have a space before."""
+        special = self.vocabulary.special
+        if self.vocabulary.cut is not None and any(s in text for s in special):
+            return [w for part in self.vocabulary.cut.split(text) for w in ([part] if part in special else self.vocabulary.words.findall(part))], []
+        if _IRREGULAR.search(text):
+            return self.vocabulary.words.findall(text), []
+        rest = text.split(" ")
+        return [rest[0]] if rest[0] else [], rest[1:]
+
+    def learn(self, words: set[str], memo: dict[str, bytes], before: str) -> None:
+        """Puts the ids of words, with what stands before each, in the memo; the lexicon is asked for all at once."""
+        special, new = self.vocabulary.special, list(words)
+        found = self.lexicon.find([(before + w).encode() for w in new]) if self.lexicon else np.full(len(new), -1)
+        for i in np.flatnonzero(found >= 0).tolist():
+            memo[new[i]] = self.lexicon.ids_of(found[i])
+        unknown = [new[i] for i in np.flatnonzero(found < 0).tolist()]
+        if not before:
+            memo.update({w: np.int32(special[w]).tobytes() for w in unknown if w in special})
+            unknown = [w for w in unknown if w not in special]
+        memo.update(zip(unknown, self.vocabulary.ids_of_many([before + w for w in unknown]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.words(t) for t in texts]
+        for k, (memo, before) in enumerate(((self.other, ""), (self.spaced, " "))):
+            wanted = set().union(*(w[k] for w in cut))
+            new = wanted - memo.keys()
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = wanted
+            self.learn(new, memo, before)
+        one, other = self.other.__getitem__, self.spaced.__getitem__
+        return [np.frombuffer(b"".join([*map(one, a), *map(other, b)]), np.int32) for a, b in cut]
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text the number of its ids, and the digests of them and of what they decode to."""
+        out = []
+        for ids in self.encode(texts):
+            digest, spelled = hashlib.sha256(), []
+            for at in range(0, len(ids), CHUNK):
+                part = ids[at : at + CHUNK]
+                digits = self.vocabulary.digits(part)
+                digest.update(digits if at + CHUNK < len(ids) else digits[:-1])
+                spelled.append(self.vocabulary.spelled(part))
+            decoded = b"".join(spelled).decode("utf-8", "replace").encode()
+            out.append((len(ids), digest.hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out
 
-    def learn(self, pieces: set[str | int]) -> None:
-        """Puts the ids of all pieces in the memo; the lexicon is asked for all new words at once."""
-        new = [w for w in pieces if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(pieces)
-        spelled = [w.encode() for w in new if isinstance(w, str)]
-        found = iter(self.lexicon.find(spelled).tolist() if self.lexicon else [-1] * len(spelled))
-        for word in new:
-            if isinstance(word, int):
-                self.memo[word] = (word,)
-            else:
-                index = next(found)
-                self.memo[word] = tuple(self.lexicon.ids_of(index) if index >= 0 else self.vocabulary.merge(word.encode()))
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        pieces = [self.pieces(t) for t in texts]
-        self.learn(set().union(*pieces))
-        ids_of = self.memo.__getitem__
-        for p in pieces:
-            yield list(chain.from_iterable(map(ids_of, p)))
-
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text; bytes that are no UTF-8 become replacement characters."""
-        spelled = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
-        return spelled.decode("utf-8", "replace").encode()
+        return self.vocabulary.spelled(np.array(ids, np.int64)).decode("utf-8", "replace").encode()
 
 
 def encode(docs: DataFrame, tokenizer: str, digests: bool = False, words: list[bytes] | None = None) -> DataFrame:
@@ -299,7 +455,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False, words: list[b
 
     Texts are encoded whole; null counts as empty and gives no ids. tokenizer is the path of a byte-level
     BPE file on the driver. words: the lexicon's words, else the frequent ones of docs. Results don't
-    depend on the lexicon.
+    depend on the lexicon. Repeated rows are encoded alike; an empty table gives no rows.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
     docs = docs.drop(*names)
@@ -317,11 +473,11 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False, words: list[b
         encoder = Encoder(_vocabulary(vocabulary_name), _mapped(lexicon_name))
         for piece, texts in text_slices(batches):
             if not digests:
-                new = [pa.array(list(encoder.encode([t.decode() for t in texts])), pa.list_(pa.int32()))]
+                ids = encoder.encode([t.decode() for t in texts])
+                offsets = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
+                new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))]
             else:
-                rows = []
-                for ids in encoder.encode([t.decode() for t in texts]):
-                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
+                rows = encoder.digests([t.decode() for t in texts])
                 new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*piece.columns, *new], [*columns, *names])
 

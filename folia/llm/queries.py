@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm import mixing, toolcalls
@@ -20,11 +21,8 @@ from folia.llm.privacy import op4_pii
 from folia.llm.toolcalls import op10_tool_calls
 from folia.llm.urls import op9_url_filter
 
-#: Folder of the public tokenizer files; only their path is used.
-TOKENIZERS = "/opt/tokenizers"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": lambda spark, sf_dir: op1_bpe(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"),
+    "op1_bpe": lambda spark, sf_dir: op1_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op2_language_id": lambda spark, sf_dir: op2_language_id(table(spark, sf_dir, "documents")),
     "op3_near_vectors": lambda spark, sf_dir: op3_near_vectors(table(spark, sf_dir, "embeddings")),
     "op4_pii": lambda spark, sf_dir: op4_pii(table(spark, sf_dir, "documents")),

@@ -9,13 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from folia.llm import bpe, capfilters, classlm, fingerprints, jaccard, languages, mixing, privacy, toolcalls, urls
 from folia.llm.common import connected_components
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n\t ", "123 456", "a", "no-letters: 1", "x" * 5000, "\x1c\x85\xa0 é 😀 <|endoftext|> end"]
 
@@ -61,6 +62,40 @@ def test_bpe_equals_the_library(docs):
         assert got[doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_splits_equal_the_library_for_every_character():
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    rng = random.Random(3)
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rng.shuffle(points)
+    own = bpe.word_pattern()
+    for at in range(0, len(points), 40):
+        text = "".join(chr(i) + rng.choice(["", "", " ", "a", "1", "!", "'s", "\n"]) for i in points[at : at + 40])
+        assert [b for _, (_, b) in library.pre_tokenize_str(text)] == [m.end() for m in own.finditer(text)], ascii(text)
+
+
+def test_words_by_spaces_are_encoded_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, encoding="utf-8") as file:
+        encoder = bpe.Encoder(bpe.Vocabulary(file.read()), bpe.Transducer(bpe.Transducer.compile({b" the": [262], b" a": [257]})))
+    rng = random.Random(4)
+    parts = [" ", " ", "  ", "\n", "\t", "\u3000", "\xa0", "\x1c", "the", "a", "it's", "12", "!?", "é", "<|endoftext|>", "word,"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([1, 3, 8, 20]))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_other_tokenizer_files_are_refused():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        held = json.load(file)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(held | change))
+
+
 def test_bpe_round_trip_keeps_other_columns(docs):
     df, rows = docs
     clash = df.withColumn("ids", F.lit("clash")).select("doc_id", "text", "ids", F.col("lang").alias("n_tokens"))
@@ -72,7 +107,7 @@ def test_bpe_round_trip_keeps_other_columns(docs):
 def test_transducer_is_minimal_and_exact():
     words = [b"", b" at", b" bat", b" cat", b"at", b"bat"]
     lexicon = bpe.Transducer(bpe.Transducer.compile({w: [i, i * 2] for i, w in enumerate(words)}))
-    assert [lexicon.ids_of(i) for i in lexicon.find(words)] == [[i, i * 2] for i in range(len(words))]
+    assert [np.frombuffer(lexicon.ids_of(i), np.int32).tolist() for i in lexicon.find(words)] == [[i, i * 2] for i in range(len(words))]
     assert lexicon.find([b"a", b" ", b"cat", b"batt", b"z" * 40]).tolist() == [-1] * 5
     # all words end alike, so states are shared
     assert len(lexicon.final) == 5
@@ -82,16 +117,19 @@ def test_long_words_merge_like_short_ones():
     with open(TOKENIZER, encoding="utf-8") as file:
         vocabulary = bpe.Vocabulary(file.read())
     rng = random.Random(2)
-    for n in (1, 2, 30, 48, 49, 200):
+    for n in (1, 2, 30, 49, 256, 257, 600):
         word = bytes(rng.choice(b"abtheing \xc3\xa9") for _ in range(n))
         ids = [vocabulary.single[b] for b in word]
         while True:
-            ranked = [(vocabulary.merges[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in vocabulary.merges]
+            pairs = [a << bpe.ID_BITS | b for a, b in zip(ids, ids[1:], strict=False)]
+            ranked = [(vocabulary.merges[p], i) for i, p in enumerate(pairs) if p in vocabulary.merges]
             if not ranked:
                 break
-            (_, new), i = min(ranked, key=lambda x: (x[0][0], x[1]))
-            ids[i : i + 2] = [new]
+            best, i = min(ranked)
+            ids[i : i + 2] = [best & (1 << bpe.ID_BITS) - 1]
         assert vocabulary.merge(word) == ids
+    words = [bytes(rng.choice(b"abtheing \xc3\xa9") for _ in range(rng.randrange(1, 40))) for _ in range(9000)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in vocabulary.merge_many([*words, b""])] == [*map(vocabulary.merge, words), []]
 
 
 # -- 2 -------------------------------------------------------------------------------------------------
