@@ -36,3 +36,15 @@ def slugs(entries: DataFrame) -> DataFrame:
     rows = entries.withColumn("base", F.when(slug == "", "entry").otherwise(slug))
     n = F.row_number().over(Window.partitionBy("base").orderBy("source_file", "sort_order"))
     return rows.select("source_file", "sort_order", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n)).alias("slug"))
+
+
+def volumes(pages: DataFrame, contents: DataFrame) -> DataFrame:
+    """source_file, pages and entries of every volume, those without entries included."""
+    entries = contents.groupBy("source_file").agg(F.count("*").alias("entries"))
+    return pages.groupBy("source_file").agg(F.count("*").alias("pages")).join(entries, "source_file", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+
+
+def volume_contents(contents: DataFrame, source_file: str) -> DataFrame:
+    """title, pdf_page and level (held to 1 to 6) of one volume's entries that have a title, in order."""
+    rows = contents.where((F.col("source_file") == source_file) & (F.trim("title") != "")).orderBy("pdf_page", "sort_order")
+    return rows.select("title", "pdf_page", F.least(F.greatest("level", F.lit(1)), F.lit(6)).alias("level"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.text import disjoint_count
@@ -140,3 +140,67 @@ def aligned_substitutions(pairs: DataFrame) -> DataFrame:
 
 def count_in_pages(pages: DataFrame, text: str) -> DataFrame:
     return pages.groupBy("book").agg(F.sum(disjoint_count(F.col("raw_text"), text)).alias("n"))
+
+
+def aligned_pairs(pages: DataFrame, ocr: str, auth: str) -> DataFrame:
+    """(ocr, auth): the characters in which two texts of one length differ, place by place; other pairs of texts give none."""
+    chars = F.arrays_zip(F.split(ocr, "").alias("ocr"), F.split(auth, "").alias("auth"))
+    rows = pages.where(F.length(ocr) == F.length(auth)).select(F.explode(chars).alias("c")).select("c.ocr", "c.auth")
+    return rows.where("ocr <> auth")
+
+
+def validate_sites(candidates: DataFrame, bigrams_: DataFrame) -> DataFrame:
+    """Adds ok to candidates (id, find, replace): whether the corpus speaks for the replacement.
+
+    The bigrams at both edges of what differs are looked up. The replacement's must be as frequent on each
+    side, frequent enough on one, and clearly more frequent together.
+    """
+    differing = F.expr("if(length(find) > 0 AND length(find) = length(replace), filter(sequence(1, length(find)), i -> substring(find, i, 1) <> substring(replace, i, 1)), cast(array() AS array<int>))")
+    rows = candidates.withColumn("__d", differing).withColumn("__a", F.array_min("__d")).withColumn("__b", F.array_max("__d"))
+    left, right = "if(__a > 1, substring({c}, __a - 1, 2), null)", "if(__b < length(find), substring({c}, __b, 2), null)"
+    sides = F.array(*[F.expr(x.format(c=c)) for c in ("find", "replace") for x in (left, right)])
+    edges = rows.select("id", F.posexplode(sides).alias("side", "bigram")).join(bigrams_, "bigram", "left")
+    n = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("n"))), F.lit(0)).alias(f"f{i}") for i in range(4)]
+    counted = edges.groupBy("id").agg(*n)
+    ok = F.expr("size(__d) > 0 AND f2 >= f0 AND f3 >= f1 AND greatest(f2, f3) >= 3 AND f2 + f3 >= 3 * (f0 + f1 + 1)")
+    return rows.join(counted, "id", "left").select("id", "find", "replace", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def number_pages(detected: DataFrame, least: int = 20, share: float = 0.6) -> DataFrame:
+    """number of each page (source_file, pdf_page, detected): by the file's constant offset, else page by page.
+
+    An offset that enough detections agree on numbers all pages from 1. Else detected numbers stay, and
+    others take the offset of the trusted ones (those of three detections or more) on both sides, if these
+    agree, or of the one side that has any.
+    """
+    rows = detected.withColumn("__o", F.col("pdf_page") - F.col("detected"))
+    sizes = rows.where("__o IS NOT NULL").groupBy("source_file", "__o").agg(F.count("*").alias("__n"))
+    best = sizes.groupBy("source_file").agg(F.max_by("__o", F.struct("__n", -F.col("__o"))).alias("__best"), F.max("__n").alias("__most"), F.sum("__n").alias("__all"))
+    best = best.select("source_file", "__best", (F.col("__most") >= F.greatest(F.lit(least), share * F.col("__all"))).alias("__constant"))
+    rows = rows.join(sizes, ["source_file", "__o"], "left").join(best, "source_file", "left").withColumn("__t", F.when(F.col("__n") >= 3, F.col("__o")))
+    order = Window.partitionBy("source_file").orderBy("pdf_page")
+    rows = rows.withColumn("__a", F.last("__t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("__b", F.first("__t", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    near = F.when(F.col("__a").isNull() | F.col("__b").isNull() | (F.col("__a") == F.col("__b")), F.coalesce("__a", "__b"))
+    number = F.when(F.coalesce("__constant", F.lit(False)), F.col("pdf_page") - F.col("__best")).otherwise(F.coalesce("detected", F.col("pdf_page") - near))
+    return rows.select("source_file", "pdf_page", F.when(number >= 1, number).cast("long").alias("number"))
+
+
+def coverage(saved: DataFrame, live: DataFrame) -> DataFrame:
+    """kind and key: stale keys are saved but not live, missing ones live but not saved, others both."""
+    both = saved.select("key").distinct().withColumn("s", F.lit(1)).join(live.select("key").distinct().withColumn("l", F.lit(1)), "key", "full")
+    return both.select(F.when(F.col("l").isNull(), "stale").when(F.col("s").isNull(), "missing").otherwise("both").alias("kind"), "key")
+
+
+def backfill_printed(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages with missing printed numbers taken from another table of the same pages."""
+    other = known.select("source_file", "pdf_page", F.col("printed_page").alias("__known"))
+    rows = pages.join(other, ["source_file", "pdf_page"], "left")
+    return rows.withColumn("printed_page", F.coalesce("printed_page", "__known")).drop("__known")
+
+
+def projected(text: Column, member: str) -> Column:
+    """text without all but the characters of a class, and places: where each of them stood."""
+    chars = F.split(text, "")
+    held = F.filter(F.transform(chars, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].rlike(f"^{member}$"))
+    return F.struct(F.array_join(F.transform(held, lambda x: x["c"]), "").alias("text"), F.transform(held, lambda x: x["i"]).alias("places"))

@@ -29,8 +29,15 @@ SEED = 12
 def exact_counts(pages: DataFrame, query: str) -> DataFrame:
     """book, volume and hits: overlapping matches, over page boundaries too."""
     q = normalize_query(query)
-    rows = with_lookahead(pages, len(q)).where(F.contains("probe", F.lit(q)) if len(q) >= LEAST_QUERY else F.lit(False))
-    return rows.groupBy("book", "volume").agg(F.sum(overlapping_count(F.col("probe"), q)).cast("long").alias("hits"))
+    if len(q) < LEAST_QUERY:
+        return pages.limit(0).select("book", "volume", F.lit(0).cast("long").alias("hits"))
+    side = F.lit(len(q) - 1)
+    # texts stay where they are: only their edges are put in order, for matches that cross pages
+    edges = pages.select("book", "volume", "source_file", "pdf_page", overlapping_count(F.col("norm"), q).alias("own"), F.left("norm", side).alias("head"), F.right("norm", side).alias("tail"))
+    after = Window.partitionBy("source_file").orderBy("pdf_page").rowsBetween(1, len(q) - 1)
+    crossing = overlapping_count(F.concat("tail", F.left(F.array_join(F.collect_list("head").over(after), ""), side)), q)
+    counted = edges.withColumn("hits", F.col("own") + crossing).where("hits > 0")
+    return counted.groupBy("book", "volume").agg(F.sum("hits").cast("long").alias("hits"))
 
 
 def match_spans(pages: DataFrame, query: str) -> DataFrame:
@@ -83,6 +90,7 @@ def book_facets(hits: DataFrame, books: DataFrame) -> DataFrame:
 
 def page_of(rows: DataFrame, order: list[Column | str], page: int, size: int) -> DataFrame:
     """One page of ordered rows; the page number is clamped to those there are."""
+    rows = rows.persist()
     total = rows.count()
     pages = max(1, -(-total // size))
     page = min(max(1, page), pages)
@@ -221,7 +229,7 @@ def fuzzy_pages(pages: DataFrame, query: str) -> DataFrame:
             lambda s: F.flatten(
                 F.transform(
                     F.sequence(s - errors, s + errors),
-                    lambda a: F.transform(F.sequence(F.lit(len(q) - errors), F.lit(len(q) + errors)), lambda n: F.when(a >= 0, F.substring("probe", a + 1, n)).otherwise(F.lit(""))),
+                    lambda a: F.transform(F.sequence(F.lit(len(q) - errors), F.lit(len(q) + errors)), lambda n: F.when((a >= 0) & (a < F.length("norm")), F.substring("probe", a + 1, n)).otherwise(F.lit(""))),
                 )
             ),
         )

@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from folia.functions.text import shingles
 from folia.operators import associative, corpus, search
+from folia.session import stored
 
 QUERY = "tion the"
 #: A citation query long enough to be matched with errors.
-LONG_QUERY = "onatth edes erat as on orbnsh"
+LONG_QUERY = "retitioning ouen thx of ntertx"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.normalized(corpus.pages_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The page table, normalised once at ingestion."""
+    pages = corpus.normalized(corpus.pages_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return stored(pages, f"pages of {sf_dir}")
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = corpus.pages_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return corpus.contents_from_pages(pages)
+    return corpus.contents_from_pages(_pages(spark, sf_dir))
 
 
 def t_group_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t_chaptered_rollup": lambda s, d: search.chapter_counts(_pages(s, d), _contents(s, d), QUERY),
     "t_chapter_hits_page": t_chapter_hits,
     "t_citation": t_citation,
-    "t_page_context_lag_lead": lambda s, d: search.page_context(corpus.pages_from_documents(s.read.parquet(f"{d}/documents.parquet"))),
+    "t_page_context_lag_lead": lambda s, d: search.page_context(_pages(s, d).drop("norm")),
     "t_context": lambda s, d: _pages(s, d).where(F.contains("norm", F.lit("tionthe"))).select("source_file", "pdf_page", search.context(F.col("raw_text"), QUERY).alias("snippet")),
     "t_locate_benchmark": t_locate_benchmark,
     "t_fuzzy_verify": lambda s, d: search.fuzzy_pages(_pages(s, d), LONG_QUERY),
@@ -69,8 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t_cooccurrence": lambda s, d: associative.keyword_cooccurrence(_pages(s, d), ["tion the", "ing and", "ed of"]).select("source_file", "distinct_keywords", "start", "end", "score"),
     "t_chapter_focused": lambda s, d: associative.chapter_focused(_pages(s, d), _contents(s, d), ["The", "And"], ["tion the", "ing and"]),
     "t_associative": lambda s, d: associative.locate(_pages(s, d), _contents(s, d), ["Anat with by of nteres atre are."], ["tion the", "ing and"], ["thereone"], ["The"]),
-    "j_section_asof": lambda s, d: corpus.with_sections(corpus.pages_from_documents(s.read.parquet(f"{d}/documents.parquet")), _contents(s, d)).select("source_file", "pdf_page", "section"),
-    "j_chapter_asof": lambda s, d: corpus.with_chapters(corpus.pages_from_documents(s.read.parquet(f"{d}/documents.parquet")), _contents(s, d)).select("source_file", "pdf_page", F.col("chapter.title").alias("title"), F.col("chapter.kind").alias("kind")),
+    "j_section_asof": lambda s, d: corpus.with_sections(_pages(s, d).drop("norm"), _contents(s, d)).select("source_file", "pdf_page", "section"),
+    "j_chapter_asof": lambda s, d: corpus.with_chapters(_pages(s, d).drop("norm"), _contents(s, d)).select("source_file", "pdf_page", F.col("chapter.title").alias("title"), F.col("chapter.kind").alias("kind")),
     "j_segments": lambda s, d: corpus.segments(_pages(s, d), _contents(s, d)).select("source_file", "segment", "title", "chapter_pdf_page", "first_pdf_page", "last_pdf_page", "norm_start", "norm_end"),
 }
 
@@ -191,6 +193,11 @@ ORACLE_SQL: dict[str, str] = {
           probes AS (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), 119) AS probe FROM corpus WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)),
           met AS (SELECT item_id, book, (length(left(probe, length(norm) + length(q) - 1)) - length(replace(left(probe, length(norm) + length(q) - 1), q, ''))) // length(q) AS n FROM quotes JOIN probes ON contains(probe, q) WHERE length(q) >= 12)
           SELECT item_id, CAST(sum(least(n, 5)) AS BIGINT) AS places FROM (SELECT item_id, book, sum(n) AS n FROM met GROUP BY ALL) WHERE n > 0 GROUP BY item_id""",
+    "t_fuzzy_verify": _with(_PAGES)
+    + """, probes AS (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), 28) AS probe FROM corpus WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)),
+          best AS (SELECT book, volume, pdf_page, list_min(list_transform(range(1, length(norm) + 1), lambda a: list_min(list_transform(range(24, 29), lambda n: levenshtein(substr(probe, CAST(a AS BIGINT), CAST(n AS BIGINT)), 'retitioningouenthxofntertx'))))) AS errors
+                   FROM probes WHERE contains(probe, 'retitioni') OR contains(probe, 'ngouenthx') OR contains(probe, 'ofntertx'))
+          SELECT book, volume, arg_min(pdf_page, (errors, pdf_page)) AS pdf_page, min(errors) AS errors, CAST(floor(100 * (1 - min(errors) / 26)) AS INT) AS score FROM best WHERE errors <= 2 GROUP BY book, volume""",
     "t_shingles": """
       SELECT item_id, n - 1 AS n, g[n] AS shingle FROM (
         SELECT item_id, list_slice(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: x), 1, 8) AS g, unnest(range(1, 9)) AS n FROM (

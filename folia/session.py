@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "folia", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,3 +21,28 @@ def get_spark(app: str = "folia", master: str | None = None, **conf: str) -> Spa
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a single machine, where none is set, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="folia-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is written once in an application, under its name, and read from then on."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(df.schema).parquet(_stored[key])

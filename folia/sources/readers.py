@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.functions.text import nfkc
+
 SIDECAR = "pdf_page int, text string"
 RSS_ITEM = "title string, link string, pubDate string, description string"
 #: Feed items that are read of one document.
@@ -34,8 +36,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def volume_from_name(name: Column) -> Column:
     """The volume that a file's name tells: of the patterns below the first that gives 1 to 999."""
-    patterns = (r"第\s*0*(\d{1,3})\s*卷", r"(?i)vol(?:ume)?\.?\s*0*(\d{1,3})", r"^0*(\d{1,3})[^\d]", r"0*(\d{1,3})\.[A-Za-z]+$")
-    return F.coalesce(*[F.when(F.regexp_extract(name, p, 1) != "", F.regexp_extract(name, p, 1).cast("int")) for p in patterns])
+    patterns = (r"第\s*(\d{1,3})\s*卷", r"卷\s*(\d{1,3})", r"[Vv]ol\.?\s*(\d{1,3})", r"(?<!\d)(\d{1,3})(?!\d)")
+    own = nfkc(name)
+    found = [F.nullif(F.regexp_extract(own, p, 1), F.lit("")).cast("int") for p in patterns]
+    return F.coalesce(*[F.when(n.between(1, 999), n) for n in found])
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
