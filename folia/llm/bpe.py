@@ -420,15 +420,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.words(t) for t in texts]
+        found = []
         for k, (memo, before) in enumerate(((self.other, ""), (self.spaced, " "))):
-            wanted = set().union(*(w[k] for w in cut))
-            new = wanted - memo.keys()
+            held = [list(map(memo.get, w[k])) for w in cut]
+            gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in held]
+            new = {w[k][i] for w, at in zip(cut, gaps, strict=True) for i in at}
             if len(memo) + len(new) > MEMO_WORDS:
                 memo.clear()
-                new = wanted
             self.learn(new, memo, before)
-        one, other = self.other.__getitem__, self.spaced.__getitem__
-        return [np.frombuffer(b"".join([*map(one, a), *map(other, b)]), np.int32) for a, b in cut]
+            for w, ids, at in zip(cut, held, gaps, strict=True):
+                for i in at:
+                    ids[i] = memo[w[k][i]]
+            found.append(held)
+        return [np.frombuffer(b"".join([*a, *b]), np.int32) for a, b in zip(*found, strict=True)]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text the number of its ids, and the digests of them and of what they decode to."""
