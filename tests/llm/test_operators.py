@@ -564,6 +564,18 @@ def result(id_, content="ok"):
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}, "additionalProperties": False}}
 
 
+def test_odd_json_never_stops_a_message():
+    schemas = {"f": {"type": ["object", "null"], "properties": {"n": {"type": ["integer", "null"]}, "k": True, "z": False}}, "g": {"type": "nothing"}}
+    call = lambda arguments, name="f": f'<tool_call>{{"id": "a", "name": "{name}", "arguments": {arguments}}}</tool_call>'
+    for arguments, name, fits, broken in [
+        ('{"n": null}', "f", True, 0), ('{"n": 1, "k": [1]}', "f", True, 0), ('{"n": true}', "f", False, 0), ('{"z": 1}', "f", False, 0), ("null", "f", True, 0), ("{}", "g", False, 0),
+        ('{"n": 1e999}', "f", None, 1), ('{"n": -1e999}', "f", None, 1), ('{"n": NaN}', "f", None, 1), ("[" * 100000, "f", None, 1), ('{"n": "\\ud800"}', "f", False, 0),
+    ]:
+        message, calls, _, malformed = toolcalls.parse("assistant", call(arguments, name), schemas)
+        assert malformed == broken and [c["fits"] for c in calls] == ([] if broken else [fits]), arguments
+        assert isinstance(json.loads(message), dict) and message.encode()
+
+
 def test_calls_are_linked_ordered_and_validated(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "b" + call("b", after=["a"], x=1) + call("c", x="no")), (1, 2, "assistant", call("a", x=2, y=3)),
