@@ -34,14 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(held)
+
+
 _stored: dict[tuple[str, str], str] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that is written once in an application, under its name, and read from then on."""
+    """df as a table that is written once in an application, under its name, and read from then on; anew if it was removed."""
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, name)
-    if key not in _stored:
+    if key not in _stored or not _exists(spark, _stored[key]):
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         _stored[key] = path
