@@ -1,9 +1,10 @@
 """Personal data: base patterns, and terms that disclose them by corpus co-occurrence.
 
-Everything here is DataFrame and SQL functions. A term near an entity (an address, a number) discloses
-it as far as it makes the entity likely: with information content IC(e) = -ln p(e), disclosure is
-PMI(t; e) / IC(e) = 1 + ln p(e | t) / IC(e), which is 1 for a term that is seen with e only. Terms over one
-threshold are generalised, over a higher one removed.
+Everything here is DataFrame and SQL functions. A term that shares texts with an entity (an address, a
+number) discloses it as far as it makes the entity likely: with information content IC(e) = -ln p(e),
+disclosure is PMI(t; e) / IC(e) = 1 + ln p(e | t) / IC(e), which is 1 for a term that is seen with e only.
+All counts are numbers of different texts of the corpus. Terms over one threshold are generalised, over a
+higher one removed, wherever they stand.
 """
 
 from __future__ import annotations
@@ -14,11 +15,9 @@ from pyspark.sql import functions as F
 from folia.llm.common import stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points either side of an entity that count as its context; contexts end at other entities.
-CONTEXT = 80
-#: Letters of a term.
-TERM = r"\p{L}{4,}"
-#: Distinct contexts in which a term must stand beside an entity before its disclosure is estimated.
+#: A term: letters in a row.
+TERM = r"\p{L}+"
+#: Different texts in which a term must stand with an entity before its disclosure is estimated.
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -80,71 +79,80 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     return out.select(*columns, F.expr("array_sort(concat(__s0, __s1, __s2, __s3))").alias("base"))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """A row per entity and term beside it: entity, seen (hash of the context), term and where it stands."""
-    near = f"""
-      transform(base, (x, i) -> struct(
-        x.start AS start, x.kind AS kind, x.end AS end,
-        least(x.start, greatest(x.start - {CONTEXT}, coalesce(get(base, i - 1).end, 0))) AS left_at,
-        greatest(x.end, least(x.end + {CONTEXT}, coalesce(get(base, i + 1).start, length(text)))) AS right_end))"""
-    rows = found.where("size(base) > 0").select("doc_id", "text_id", "text", F.explode(F.expr(near)).alias("e"))
-    rows = rows.select(
-        "doc_id",
-        "text_id",
-        F.expr("substring(text, e.start + 1, e.end - e.start)").alias("entity"),
-        F.col("e.kind").alias("kind"),
-        F.expr("substring(text, e.left_at + 1, e.start - e.left_at)").alias("left"),
-        F.expr("e.left_at").alias("left_at"),
-        F.expr("substring(text, e.end + 1, e.right_end - e.end)").alias("right"),
-        F.expr("e.end").alias("right_at"),
-    )
-    entity = F.when(F.col("kind") == 0, F.lower("entity")).when(F.col("kind") == 1, F.col("entity")).otherwise(F.regexp_replace("entity", "[^0-9]", ""))
-    rows = rows.withColumn("entity", entity).withColumn("seen", F.xxhash64("left", "right"))
-    for side in ("left", "right"):
-        rows = rows.withColumn(f"{side}_m", F.regexp_extract_all(side, F.lit(TERM), 0)).withColumn(f"{side}_p", F.split(side, TERM, -1))
-    # a word that the edge of a context cuts is no term
-    cut = {"left": f"x.start > 0 OR left_at = 0 OR length(left) < {CONTEXT}", "right": f"x.start + length(x.found) < {CONTEXT}"}
-    sides = [
-        f"if(size({s}_m) > 0, transform(filter({_starts(f'{s}_p', f'{s}_m')}, x -> {cut[s]}), x -> struct({s}_at + x.start AS start, {s}_at + x.start + length(x.found) AS end, lower(x.found) AS term)), cast(array() AS array<struct<start:int,end:int,term:string>>))"
-        for s in ("left", "right")
-    ]
-    terms = F.explode(F.expr(f"concat({sides[0]}, {sides[1]})")).alias("t")
-    return rows.select("doc_id", "text_id", "entity", "seen", terms).select("doc_id", "text_id", "entity", "seen", "t.start", "t.end", "t.term")
-
-
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+#: Addresses are matched too, so that their parts are no terms.
+_TERM_OR_EMAIL = f"(?:{_EMAIL})|{TERM}"
+
+
+def _terms() -> Column:
+    """The different terms of text, in lower case."""
+    text = F.col("text")
+    masked = F.filter(F.regexp_extract_all(text, F.lit(_TERM_OR_EMAIL), 0), lambda x: ~x.contains("@"))
+    found = F.when(text.contains("@"), masked).otherwise(F.regexp_extract_all(text, F.lit(TERM), 0))
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def _text_id(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity at least so far.
 
-    p(e | t) is the share of the documents with t, over the whole corpus, in which t stands beside e;
-    equal contexts count once, so copies of one text are one observation.
+    texts: one row per different text, with text_id, text and base. p(e | t) is the share of the texts
+    with t that hold e too. Pairs that can't reach the disclosure are left out before they are counted: a
+    term in more than alone / p(e) ** (1 - least) texts stands mostly without e, whatever they share.
     """
-    total = docs.agg(F.count("*").alias("total"))
-    pairs = contexts.groupBy("entity", "term").agg(F.count_distinct("seen").alias("together")).where(f"together >= {support}")
-    entities = contexts.groupBy("entity").agg(F.count_distinct("seen").alias("alone"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("documents"))
-    rated = pairs.join(frequency, "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    disclosure = F.expr("1 + ln(least(1D, together / documents)) / nullif(-ln(least(1D, alone / total)), 0D)")
-    return rated.select("entity", "term", disclosure.alias("disclosure")).where(f"disclosure >= {least}")
+    total = texts.count()
+    found = "substring(text, x.start + 1, x.end - x.start)"
+    names = f"transform(base, x -> CASE x.kind WHEN 0 THEN lower({found}) WHEN 1 THEN {found} ELSE regexp_replace({found}, '[^0-9]', '') END)"
+    held = stage(texts.where("size(base) > 0").select("text_id", F.explode(F.array_distinct(F.expr(names))).alias("entity")), "privacy-entities")
+    alone = held.groupBy("entity").agg(F.count("*").alias("alone")).where(f"alone >= {support}")
+    most = F.expr(f"alone / power(alone / {total}D, {1 - least}D) * 1.000001D")
+    known = stage(held.join(alone, "entity").withColumn("most", most), "privacy-known")
+    words = texts.select("text_id", F.explode(_terms()).alias("term"))
+    frequency = stage(words.groupBy("term").agg(F.count("*").alias("documents")).where(f"documents >= {support}"), "privacy-terms")
+    bounds = known.groupBy("text_id").agg(F.max("most").alias("most"))
+    near = texts.join(bounds, "text_id").select("text_id", "most", F.explode(_terms()).alias("term"))
+    near = near.join(frequency, "term").where("documents <= most").select("text_id", "term", "documents")
+    pairs = near.join(known, "text_id").where("documents <= most").groupBy("entity", "term", "alone", "documents").agg(F.count("*").alias("together"))
+    disclosure = F.expr(f"1 + ln(together / documents) / nullif(-ln(alone / {total}D), 0D)")
+    return pairs.where(f"together >= {support}").select("entity", "term", disclosure.alias("disclosure")).where(f"disclosure >= {least}")
+
+
+def _marked(texts: DataFrame, risky: DataFrame) -> DataFrame:
+    """(text_id, terms): where the risky terms stand in all texts, with the most that each discloses."""
+    worst = stage(risky.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "privacy-risky")
+    where = texts.select("text_id", F.explode(_terms()).alias("term")).join(worst, "term", "left_semi").select("text_id").distinct()
+    words = texts.join(where, "text_id", "left_semi")
+    words = words.select("text_id", F.regexp_extract_all("text", F.lit(_TERM_OR_EMAIL), 0).alias("m"), F.split("text", _TERM_OR_EMAIL, -1).alias("p"))
+    words = words.select("text_id", F.explode(F.expr(_starts("p", "m"))).alias("x"))
+    words = words.select("text_id", F.col("x.start").alias("start"), F.expr("x.start + length(x.found)").alias("end"), F.lower("x.found").alias("term"))
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", "disclosure")))
+    return words.join(worst, "term").groupBy("text_id").agg(spans.alias("terms"))
+
+
+def text_spans(docs: DataFrame) -> DataFrame:
+    """(text_id, base, terms), one row per different text of docs (null text: empty).
+
+    base: array of (start, kind, end) of the patterns; terms: array of (start, end, disclosure) of the
+    terms that disclose an entity of the corpus, outside base spans. Copies are put together before texts
+    are moved, so a text that a third of all rows hold is one row of each task.
+    """
+    texts = docs.select(_text_id(F.col("text")).alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.groupBy("text_id").agg(F.first("text").alias("text"))
+    texts = stage(with_base_spans(texts), "privacy-texts")
+    terms = _marked(texts, disclosing_terms(texts))
+    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
+    outside = F.expr("filter(terms, t -> NOT exists(base, b -> t.start < b.end AND b.start < t.end))")
+    return texts.drop("text").join(terms, "text_id", "left").select("text_id", "base", F.coalesce(outside, none).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text_id, base and terms.
+    """One row per row of docs (doc_id, text): doc_id, text_id, base and terms, as text_spans() gives them.
 
-    base: array of (start, kind, end) of the patterns; terms: array of (start, end, disclosure) of the
-    terms that disclose an entity beside them. Null text counts as empty; texts are read whole. Rows of
-    the same doc_id and text have the same result.
+    Texts are read whole, rows of the same text have the same result, and other columns are not read.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = with_base_spans(docs).withColumn("text_id", F.xxhash64("text"))
-    held = stage(found.select("doc_id", "text_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "privacy-base")
-    contexts = stage(_contexts(held), "privacy-contexts")
-    risky = disclosing_terms(docs, contexts)
-    terms = contexts.join(risky, ["entity", "term"]).groupBy("doc_id", "text_id", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    same = F.expr("f.doc_id <=> t.doc_id AND f.text_id = t.text_id")
-    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    return held.drop("text").alias("f").join(terms.alias("t"), same, "left").select("f.doc_id", "f.text_id", "f.base", F.coalesce("t.terms", none).alias("terms"))
+    return docs.select("doc_id", _text_id(F.col("text")).alias("text_id")).join(text_spans(docs), "text_id").select("doc_id", "text_id", "base", "terms")
 
 
 def _joined(spans: str) -> str:
@@ -171,15 +179,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     together. Texts without spans stay as they are, null included.
     """
     names = docs.columns
-    found = find_personal_data(docs).where("size(base) > 0").dropDuplicates(["doc_id", "text_id"])
+    found = text_spans(docs).where("size(base) > 0 OR size(terms) > 0")
     labels = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS[:4]) + ")"
     spans = f"""
       array_sort(concat(
         transform(base, x -> struct(x.start AS start, -x.end AS until, {labels}[x.kind] AS label)),
         transform(terms, t -> struct(t.start AS start, -t.end AS until, if(t.disclosure >= {REMOVE}, '', '[TERM]') AS label))))"""
-    rows = docs.withColumn("__id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = found.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text_id"), F.expr(spans).alias("__spans"))
-    rows = rows.join(spans, F.expr("doc_id <=> __doc AND __id = __text_id"), "left")
+    rows = docs.withColumn("__id", _text_id(F.col("text"))).join(found.select(F.col("text_id").alias("__id"), F.expr(spans).alias("__spans")), "__id", "left")
     cleaned = """
       aggregate(__spans, struct(0 AS at, '' AS done),
         (s, x) -> if(x.start < s.at, s, struct(-x.until AS at, concat(s.done, substring(text, s.at + 1, x.start - s.at), x.label) AS done)),

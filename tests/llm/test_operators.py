@@ -267,6 +267,45 @@ def test_disclosing_terms_go_and_common_ones_stay(spark):
     assert got[100].text == "alpha contact bravo delta" and got[300].text is None
 
 
+def disclosures(texts, support, least):
+    """Brute force over the different texts: {term: most that it discloses}."""
+    held = {t: ({t[a:b].lower() for a, _, b, _ in base_spans(t)}, {w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(KINDS[0][1], " ", t))}) for t in set(texts)}
+    alone = Counter(e for entities, _ in held.values() for e in entities)
+    documents = Counter(w for _, words in held.values() for w in words)
+    together = Counter((e, w) for entities, words in held.values() for e in entities for w in words)
+    worst = {}
+    for (e, w), n in together.items():
+        if n >= support and alone[e] < len(held):
+            value = 1 + math.log(n / documents[w]) / -math.log(alone[e] / len(held))
+            if value >= least:
+                worst[w] = max(worst.get(w, 0), value)
+    return worst
+
+
+def test_terms_of_whole_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in "aeiou"]
+    texts = []
+    for i in range(240):
+        owner = rng.randrange(6)
+        text = [rng.choice(words) for _ in range(rng.choice([5, 40, 90]))]
+        if rng.random() < 0.6:
+            text.append(f"Owner{'xyzuvw'[owner]}")
+        if rng.random() < 0.85:
+            text.insert(0, f"p{owner}@mail.example")
+        texts.append(" ".join(text))
+    texts += texts[:30] * 3 + [None, "", "Ownerx alone, far from all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = disclosures([t or "" for t in texts], privacy.SUPPORT, privacy.GENERALISE)
+    assert want
+    for r in privacy.find_personal_data(df).collect():
+        text = texts[r.doc_id] or ""
+        masked = re.sub(KINDS[0][1], lambda m: " " * len(m[0]), text)
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", masked) if m[0].lower() in want]
+        assert [(t.start, t.end) for t in r.terms] == spans
+        assert all(math.isclose(t.disclosure, want[text[t.start : t.end].lower()]) for t in r.terms)
+
+
 # -- 5 -------------------------------------------------------------------------------------------------
 
 
