@@ -1,8 +1,10 @@
 """Brown class-based bigram model.
 
 Exchange clustering assigns words to classes; a text's probability is the product of class transitions
-and word emissions, both smoothed. Frequent words are clustered one by one; every other word belongs to
-one of a few kinds by its length and last character, and the kinds are clustered among them.
+and word emissions, both smoothed. The commonest words are clustered one by one on the driver. Then every
+word of the lexicon is put into its best class, and moved again, in rounds on Spark: counts of a word's
+neighbours by class come from all texts, and each word is scored against the class table. Words outside
+the lexicon belong to one of a few kinds by length and last character, which are clustered like words.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import most_frequent, stage, text_slices, words_of
+from folia.llm.common import free, most_frequent, stage, text_slices, words_of
 
 #: Words clustered one by one, and their classes.
 CLUSTERED, CLASSES = 1024, 64
-#: Words whose counts every task holds; the counts of all others are joined.
+#: Words that have a class of their own and whose counts every task holds; the counts of all others are joined.
 LEXICON = 1 << 17
+#: Rounds in which all other words of the lexicon move at once, and words scored together.
+BATCHES, SCORED = 2, 256
 #: Rounds of exchange at most.
 ROUNDS = 8
 #: Weight of the class's own probability in a transition's, and of an unseen word in its class.
@@ -43,11 +48,11 @@ def kind_of(word: bytes) -> int:
 
 @dataclass(frozen=True)
 class Model:
-    #: The place of each frequent word, its count in the training tokens, and its column: a clustered word's own, else its kind's.
+    #: The place of each word of the lexicon, its count in the training tokens, and its column, here its class.
     lexicon: dict[bytes, int]
     number: np.ndarray
     column: np.ndarray
-    #: The class of each column.
+    #: The class of each column; those from ``clustered`` on are the kinds'.
     classes: np.ndarray
     #: log10 of the probability of a class after a class, and of what an emission divides by.
     transition: np.ndarray
@@ -98,6 +103,89 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return own
 
 
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class of each word that is best for the mutual information of neighbours, all others staying.
+
+    after[w, k], before[w, k]: times that class k follows and precedes w; joint[k, l]: that l follows k,
+    with each word in its own class. Ties stay, then go to the first class.
+    """
+    w = np.arange(len(own))
+    log = lambda x: x * np.log(np.maximum(x, 1e-12))
+    without = np.repeat(joint[None], len(own), 0)
+    without[w, own] -= after
+    without[w, :, own] -= before
+    # a word beside itself is taken off twice; what it is short of is nought
+    without = np.maximum(without, 0)
+    held = log(without)
+    gain = (log(without + after[:, None]) - held).sum(2) + (log(without + before[:, :, None]) - held).sum(1)
+    d = np.einsum("wkk->wk", without)
+    gain += log(d + after + before) - log(d + after) - log(d + before) + log(d)
+    rows, columns = without.sum(2) + before, without.sum(1) + after
+    gain -= log(rows + after.sum(1)[:, None]) - log(rows) + log(columns + before.sum(1)[:, None]) - log(columns)
+    best = gain.argmax(1)
+    return np.where(gain[w, best] > gain[w, own] + 1e-9, best, own)
+
+
+def _neighbours(train: DataFrame, places: dict[bytes, int], classes: np.ndarray, kinds: np.ndarray, number: int, first: int | None = None) -> DataFrame:
+    """(place, slot, n): how often each class follows (slots from 0) and precedes (slots from ``number``) the words
+    from place ``first`` on, if any move, and from place len(places) on the table of classes after classes.
+
+    A task holds one count for each word and slot and passes on those that are not nought.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((places, np.concatenate([classes, kinds])))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, classes = shared.value
+        width, end = 2 * number, len(places) * 2 * number
+        shift, each = end if first is not None else 0, np.arange(len(places))
+        total = np.zeros(shift + number * number, np.int64 if first is None else np.int32)
+        for _, texts in text_slices(batches):
+            place, column = _columns([END, *_tokens(texts)], places, each, len(places))
+            own = classes[column]
+            keys = [shift + own[:-1] * number + own[1:]]
+            if first is not None:
+                moves = place >= first
+                keys.append((place[:-1] * width + own[1:])[moves[:-1]])
+                keys.append((place[1:] * width + number + own[:-1])[moves[1:]])
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            total[found] += n.astype(total.dtype)
+        filled = np.flatnonzero(total)
+        for at in range(0, len(filled), 1 << 16):
+            found = filled[at : at + (1 << 16)]
+            slots = found + (end - shift)
+            yield pa.RecordBatch.from_arrays([pa.array((slots // width).astype(np.int32)), pa.array((slots % width).astype(np.int32)), pa.array(total[found].astype(np.int64))], ["place", "slot", "n"])
+
+    return train.select("text").mapInArrow(f, "place int, slot int, n long").groupBy("place", "slot").agg(F.sum("n").alias("n"))
+
+
+def _class_table(neighbours: DataFrame, words: int, number: int) -> np.ndarray:
+    """Times that a class follows a class, from the rows of _neighbours()."""
+    joint = np.zeros(number * number)
+    rows = neighbours.where(F.col("place") >= words).toPandas()
+    joint[(rows["place"] - words) * 2 * number + rows["slot"]] = rows["n"]
+    return joint.reshape(number, number)
+
+
+def _moved(neighbours: DataFrame, classes: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The classes of the lexicon's words after each has moved to its best; blocks of words are scored in tasks."""
+    number, words = len(joint), len(classes)
+    shared = neighbours.sparkSession.sparkContext.broadcast((classes, joint))
+
+    def f(rows: pd.DataFrame) -> pd.DataFrame:
+        classes, joint = shared.value
+        place, row = np.unique(rows["place"].to_numpy(), return_inverse=True)
+        counts = np.zeros((len(place), 2 * number))
+        counts[row, rows["slot"].to_numpy()] = rows["n"].to_numpy()
+        best = best_classes(counts[:, :number], counts[:, number:], classes[place], joint)
+        return pd.DataFrame({"place": place, "best": best})
+
+    blocks = neighbours.where(F.col("place") < words).groupBy(F.expr(f"place div {SCORED}"))
+    found = blocks.applyInPandas(f, "place int, best int").toPandas()
+    out = classes.copy()
+    out[found["place"]] = found["best"]
+    return out
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n) of all texts' tokens, ends included; partial counts leave tasks before the shuffle."""
 
@@ -131,8 +219,8 @@ def _kind_column() -> Column:
 def fit(train: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, lexicon: int = LEXICON) -> Model:
     """Learns from the texts of train, all of them, and their word counts.
 
-    What comes to the driver is bounded by the parameters: ``lexicon`` words, one count for each pair of
-    the clustered words and kinds, and totals.
+    What comes to the driver is bounded by the parameters: ``lexicon`` words and their classes, one count
+    for each pair of the clustered words and kinds, and totals.
     """
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     top = [(bytes(r["word"]), r["n"]) for r in most_frequent(counts, lexicon).collect()]
@@ -157,20 +245,28 @@ def fit(train: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classes
     pairs = pairs.reshape(size, size)
     own = exchange(pairs, classes)
 
-    member = np.eye(classes)[own]
-    joint = member.T @ pairs @ member
+    # the lexicon's other words begin in the classes of their kinds
+    kinds, named = own[clustered:], own[column]
+    for _ in range(BATCHES if len(top) > clustered else 0):
+        neighbours = stage(_neighbours(train, places, named, kinds, classes, clustered), "classlm-neighbours")
+        named = _moved(neighbours, named, _class_table(neighbours, len(top), classes))
+        free(neighbours)
+    joint = _class_table(_neighbours(train, places, named, kinds, classes), len(top), classes)
     share = (joint.sum(0) + 1) / (joint.sum() + classes)
     transition = np.log10((joint + TRANSITION * share) / (joint.sum(1, keepdims=True) + TRANSITION))
-    number, distinct = np.zeros(size), np.zeros(size)
-    for i, (_, n) in enumerate(top[:clustered]):
-        number[i], distinct[i] = n, 1
-    spark = train.sparkSession
-    named = spark.createDataFrame([(w,) for w, _ in top[:clustered]], "word binary")
-    rest = counts.join(F.broadcast(named), "word", "left_anti").groupBy(_kind_column().alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
-    for r in rest.collect():
-        number[clustered + r["kind"]], distinct[clustered + r["kind"]] = r["n"], r["words"]
-    emission = np.log10(np.bincount(own, number, classes) + ADDED * (np.bincount(own, distinct, classes) + 1))
-    return Model(places, np.array([n for _, n in top], np.int64), column, own, transition, emission, totals["tokens"], totals["words"])
+    # of the kinds' counts those of the lexicon's words go to their own classes
+    number, distinct = np.zeros(KINDS), np.zeros(KINDS)
+    for r in counts.groupBy(_kind_column().alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        number[r["kind"]], distinct[r["kind"]] = r["n"], r["words"]
+    held, kind = np.array([n for _, n in top], np.int64), np.array([kind_of(w) for w, _ in top], np.int64)
+    number -= np.bincount(kind, held, KINDS)
+    distinct -= np.bincount(kind, minlength=KINDS)
+    number = np.bincount(named, held, classes) + np.bincount(kinds, number, classes)
+    distinct = np.bincount(named, minlength=classes) + np.bincount(kinds, distinct, classes)
+    emission = np.log10(number + ADDED * (distinct + 1))
+    columns = np.zeros(size, np.int64)
+    columns[:classes], columns[clustered:] = np.arange(classes), kinds
+    return Model(places, held, named, columns, transition, emission, totals["tokens"], totals["words"])
 
 
 def _tokens(texts: list[bytes]) -> list[bytes]:

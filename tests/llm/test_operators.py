@@ -395,6 +395,38 @@ def test_exchange_separates_two_kinds():
     assert own[0] == own[1] != own[2] == own[3]
 
 
+def test_best_classes_raise_mutual_information():
+    rng = np.random.default_rng(4)
+    number, words = 4, 30
+    pairs = rng.poisson(2.0, (words, words)).astype(float)
+    np.fill_diagonal(pairs, 0)
+    own = rng.integers(0, number, words)
+
+    def information(own):
+        joint = np.zeros((number, number))
+        np.add.at(joint, (own[:, None], own[None]), pairs)
+        log = lambda x: x * np.log(np.maximum(x, 1e-12))
+        return log(joint).sum() - log(joint.sum(0)).sum() - log(joint.sum(1)).sum(), joint
+
+    member = np.eye(number)[own]
+    best = classlm.best_classes(pairs @ member, pairs.T @ member, own, information(own)[1])
+    for w in range(words):
+        tried = [information(np.where(np.arange(words) == w, k, own))[0] for k in range(number)]
+        assert math.isclose(tried[best[w]], max(tried))
+
+
+def test_words_beyond_the_first_get_classes_by_their_neighbours(spark):
+    rng = random.Random(9)
+    left, right = [f"l{i}x" for i in range(40)], [f"r{i}x" for i in range(40)]
+    texts = [" ".join(w for _ in range(20) for w in (rng.choice(left), rng.choice(right))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = classlm.count_words(df).cache()
+    model = classlm.fit(df, counts, clustered=21, classes=3)
+    named = {w: int(c) for w, c in zip(model.lexicon, model.column, strict=True)}
+    assert len({named[w.encode()] for w in left}) == 1 and len({named[w.encode()] for w in right}) == 1
+    assert named[b"l0x"] != named[b"r0x"]
+
+
 def test_model_is_normalised(docs):
     df, _ = docs
     counts = classlm.count_words(df.select("text")).cache()
