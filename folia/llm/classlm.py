@@ -126,27 +126,46 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, joint:
     return np.where(gain[w, best] > gain[w, own] + 1e-9, best, own)
 
 
-def _neighbours(train: DataFrame, places: dict[bytes, int], classes: np.ndarray, kinds: np.ndarray, number: int, first: int | None = None) -> DataFrame:
+def _coded(train: DataFrame, places: dict[bytes, int]) -> DataFrame:
+    """(codes): the tokens of several texts, an end before the first, as 32-bit places; len(places) and on are kinds."""
+    shared = train.sparkSession.sparkContext.broadcast(places)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
+        each = np.arange(len(places))
+        for _, texts in text_slices(batches):
+            codes = _columns([END, *_tokens(texts)], places, each, len(places))[1]
+            yield pa.RecordBatch.from_arrays([pa.array([codes.astype(np.int32).tobytes()], pa.binary())], ["codes"])
+
+    return train.select("text").mapInArrow(f, "codes binary")
+
+
+def _code_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for codes in batch.column("codes"):
+            yield np.frombuffer(codes.as_buffer(), np.int32)
+
+
+def _neighbours(coded: DataFrame, classes: np.ndarray, kinds: np.ndarray, number: int, first: int | None = None) -> DataFrame:
     """(place, slot, n): how often each class follows (slots from 0) and precedes (slots from ``number``) the words
-    from place ``first`` on, if any move, and from place len(places) on the table of classes after classes.
+    from place ``first`` on, if any move, and from place len(classes) on the table of classes after classes.
 
     A task holds one count for each word and slot and passes on those that are not nought.
     """
-    shared = train.sparkSession.sparkContext.broadcast((places, np.concatenate([classes, kinds])))
+    words, width = len(classes), 2 * number
+    end = words * width
+    shared = coded.sparkSession.sparkContext.broadcast(np.concatenate([classes, kinds]))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, classes = shared.value
-        width, end = 2 * number, len(places) * 2 * number
-        shift, each = end if first is not None else 0, np.arange(len(places))
+        shift = end if first is not None else 0
         total = np.zeros(shift + number * number, np.int64 if first is None else np.int32)
-        for _, texts in text_slices(batches):
-            place, column = _columns([END, *_tokens(texts)], places, each, len(places))
-            own = classes[column]
+        for place in _code_runs(batches):
+            own = shared.value[place]
             keys = [shift + own[:-1] * number + own[1:]]
             if first is not None:
-                moves = place >= first
-                keys.append((place[:-1] * width + own[1:])[moves[:-1]])
-                keys.append((place[1:] * width + number + own[:-1])[moves[1:]])
+                moves, at = (place >= first) & (place < words), place.astype(np.int64) * width
+                keys.append((at[:-1] + own[1:])[moves[:-1]])
+                keys.append((at[1:] + number + own[:-1])[moves[1:]])
             found, n = np.unique(np.concatenate(keys), return_counts=True)
             total[found] += n.astype(total.dtype)
         filled = np.flatnonzero(total)
@@ -155,7 +174,7 @@ def _neighbours(train: DataFrame, places: dict[bytes, int], classes: np.ndarray,
             slots = found + (end - shift)
             yield pa.RecordBatch.from_arrays([pa.array((slots // width).astype(np.int32)), pa.array((slots % width).astype(np.int32)), pa.array(total[found].astype(np.int64))], ["place", "slot", "n"])
 
-    return train.select("text").mapInArrow(f, "place int, slot int, n long").groupBy("place", "slot").agg(F.sum("n").alias("n"))
+    return coded.mapInArrow(f, "place int, slot int, n long").groupBy("place", "slot").agg(F.sum("n").alias("n"))
 
 
 def _class_table(neighbours: DataFrame, words: int, number: int) -> np.ndarray:
@@ -228,19 +247,19 @@ def fit(train: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classes
     places = {w: i for i, (w, _) in enumerate(top)}
     column = np.array([i if i < clustered else clustered + kind_of(w) for i, (w, _) in enumerate(top)], np.int64)
     size = clustered + KINDS
-    shared = train.sparkSession.sparkContext.broadcast((places, column))
+    coded = stage(_coded(train, places), "classlm-codes")
+    shared = train.sparkSession.sparkContext.broadcast(np.concatenate([column, np.arange(clustered, size)]))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, column = shared.value
         total = np.zeros(size * size, np.int64)
-        for _, texts in text_slices(batches):
-            at = _columns([END, *_tokens(texts)], places, column, clustered)[1]
+        for codes in _code_runs(batches):
+            at = shared.value[codes]
             total += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "n"])
 
     pairs = np.zeros(size * size)
-    rows = train.select("text").mapInArrow(f, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = coded.mapInArrow(f, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs[rows["pair"]] = rows["n"]
     pairs = pairs.reshape(size, size)
     own = exchange(pairs, classes)
@@ -248,10 +267,11 @@ def fit(train: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classes
     # the lexicon's other words begin in the classes of their kinds
     kinds, named = own[clustered:], own[column]
     for _ in range(BATCHES if len(top) > clustered else 0):
-        neighbours = stage(_neighbours(train, places, named, kinds, classes, clustered), "classlm-neighbours")
+        neighbours = stage(_neighbours(coded, named, kinds, classes, clustered), "classlm-neighbours")
         named = _moved(neighbours, named, _class_table(neighbours, len(top), classes))
         free(neighbours)
-    joint = _class_table(_neighbours(train, places, named, kinds, classes), len(top), classes)
+    joint = _class_table(_neighbours(coded, named, kinds, classes), len(top), classes)
+    free(coded)
     share = (joint.sum(0) + 1) / (joint.sum() + classes)
     transition = np.log10((joint + TRANSITION * share) / (joint.sum(1, keepdims=True) + TRANSITION))
     # of the kinds' counts those of the lexicon's words go to their own classes
