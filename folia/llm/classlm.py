@@ -116,8 +116,13 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, joint:
     without[w, :, own] -= before
     # a word beside itself is taken off twice; what it is short of is nought
     without = np.maximum(without, 0)
-    held = log(without)
-    gain = (log(without + after[:, None]) - held).sum(2) + (log(without + before[:, :, None]) - held).sum(1)
+    gain = np.zeros(after.shape)
+    # only classes beside a word change what it adds
+    for counts, table in ((after, without.transpose(0, 2, 1)), (before, without)):
+        at, near = np.nonzero(counts)
+        if len(at):
+            held, starts = table[at, near], np.flatnonzero(np.diff(at, prepend=-1))
+            gain[at[starts]] += np.add.reduceat(log(held + counts[at, near, None]) - log(held), starts)
     d = np.einsum("wkk->wk", without)
     gain += log(d + after + before) - log(d + after) - log(d + before) + log(d)
     rows, columns = without.sum(2) + before, without.sum(1) + after
