@@ -14,6 +14,7 @@ from folia.llm.capfilters import op3_near_vectors
 from folia.llm.classlm import op6_class_lm
 from folia.llm.common import table
 from folia.llm.fingerprints import op5_fingerprints
+from folia.llm.importance import op11_importance
 from folia.llm.jaccard import op8_jaccard_join
 from folia.llm.languages import op2_language_id
 from folia.llm.mixing import op7_mixing
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": lambda spark, sf_dir: op8_jaccard_join(table(spark, sf_dir, "documents")),
     "op9_url_filter": lambda spark, sf_dir: op9_url_filter(table(spark, sf_dir, "pages")),
     "op10_tool_calls": lambda spark, sf_dir: op10_tool_calls(table(spark, sf_dir, "conversations")),
+    "op11_importance": lambda spark, sf_dir: op11_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
