@@ -8,11 +8,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folia.llm import mixing, toolcalls
+from folia.llm import divergence, mixing, toolcalls
 from folia.llm.bpe import op1_bpe
 from folia.llm.capfilters import op3_near_vectors
 from folia.llm.classlm import op6_class_lm
 from folia.llm.common import table
+from folia.llm.divergence import op13_divergence
 from folia.llm.fingerprints import op5_fingerprints
 from folia.llm.importance import op11_importance
 from folia.llm.jaccard import op8_jaccard_join
@@ -34,8 +35,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": lambda spark, sf_dir: op9_url_filter(table(spark, sf_dir, "pages")),
     "op10_tool_calls": lambda spark, sf_dir: op10_tool_calls(table(spark, sf_dir, "conversations")),
     "op11_importance": lambda spark, sf_dir: op11_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_divergence": lambda spark, sf_dir: op13_divergence(table(spark, sf_dir, "documents")),
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL, "op10_tool_calls": toolcalls.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL, "op10_tool_calls": toolcalls.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
