@@ -13,6 +13,7 @@ from folia.llm.bpe import op1_bpe
 from folia.llm.capfilters import op3_near_vectors
 from folia.llm.classlm import op6_class_lm
 from folia.llm.common import table
+from folia.llm.dimscan import op12_neighbours
 from folia.llm.divergence import op13_divergence
 from folia.llm.fingerprints import op5_fingerprints
 from folia.llm.importance import op11_importance
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": lambda spark, sf_dir: op9_url_filter(table(spark, sf_dir, "pages")),
     "op10_tool_calls": lambda spark, sf_dir: op10_tool_calls(table(spark, sf_dir, "conversations")),
     "op11_importance": lambda spark, sf_dir: op11_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_neighbours": lambda spark, sf_dir: op12_neighbours(table(spark, sf_dir, "embeddings")),
     "op13_divergence": lambda spark, sf_dir: op13_divergence(table(spark, sf_dir, "documents")),
 }
 
