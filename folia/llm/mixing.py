@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the mix is the golden-ratio point frac(i * phi), mapped through the cumulative target weights
-to a source and ranked within it; slot r of a source takes its block r modulo its number of blocks.
-Blocks are equal runs of words in the source's shuffled documents.
+Each source is cut into blocks of equal runs of words of its shuffled documents, and has as many slots as bring
+the words of its blocks nearest to its target. The slots of all sources, one after another, are a grid; the van der
+Corput sequence visits every point of it once, and a point falls, through the cumulative numbers of slots, to a
+source. Slot r of a source, ranked by when the sequence comes to it, takes block r modulo its number of blocks.
 """
 
 from __future__ import annotations
@@ -18,14 +19,10 @@ from folia.llm.common import stage
 WEIGHTS = (3, 1, 2)
 #: Words of the mix against the words of all sources, and of a source's target against its own.
 SHARE, MOST = 1.5, 2.0
-#: Words of all documents over this number make a block.
-BLOCKS = 1 << 16
-#: Fractional part of the golden ratio.
-GOLDEN = 0.6180339887498949
+#: Blocks of a source, at most; a block has a word at least.
+BLOCKS = 1 << 12
 #: More sources than this are refused: their totals come to the driver.
 MAX_SOURCES = 100_000
-#: Cells of [0, 1) by which points find their source.
-CELLS = 1 << 14
 #: Hash ranges of a source in which its documents are ordered independently.
 RANGES = 4096
 
@@ -50,16 +47,25 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
         full.update(over)
 
 
+def slots_of(size: int, target: float, block: int) -> int:
+    """The slots whose blocks, in turn and the last one with what is left, hold words nearest to the target."""
+    if not size:
+        return 0
+    blocks, whole = -(-size // block), int(target // size)
+    return whole * blocks + min(blocks, floor((target - whole * size) / block + 0.5))
+
+
 def mix_documents(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS
 ) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken.
 
     size: words of the text (null: 0). taken: words that the mix takes of the document, repeats counted,
-    at most ``most`` times its size. Sources are shuffled by a hash of doc_id, so reruns agree; rows of
-    one doc_id and size are interchangeable. Null doc_ids are shuffled like any other. A source without
-    words, or an empty table, has target 0 and takes nothing. A column __row, where docs has one, is kept and
-    orders rows of one doc_id and size; docs then have __mark too, by which rows without doc_id are shuffled.
+    at most ``most`` times its size. What a source's documents give differs from its target by half a block at
+    most, which is half a word for sources of up to ``blocks`` words. Sources are shuffled by a hash of doc_id, so
+    reruns agree; rows of one doc_id and size are interchangeable. Null doc_ids are shuffled like any other. A
+    source without words, or an empty table, has target 0 and takes nothing. A column __row, where docs has one, is
+    kept and orders rows of one doc_id and size; docs then have __mark too, by which rows without doc_id are shuffled.
     """
     keys = [c for c in docs.columns if c == "__row"]
     name = F.coalesce(F.col("doc_id").cast("string"), *(F.col("__mark") for _ in keys), F.lit(""))
@@ -79,29 +85,20 @@ def mix_documents(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
-    wanted = targets(sizes, weights, share, most)
-    block = max(1, sum(sizes) // blocks)
-    slots = floor(sum(wanted) / block)
-    total, edge, rows = sum(wanted) or 1.0, 0.0, []
-    for r, target in zip(found, wanted, strict=True):
-        rows.append((r["source"], r["size"], float(target), edge / total, (edge + target) / total, -(-r["size"] // block)))
-        edge += target
-    schema = "source string, source_size long, target double, low double, high double, n_blocks long"
-    sources = spark.createDataFrame(rows, schema)
-
-    # the schedule: slots of each source in order, two-level ranks so that a large source isn't one task's
-    last = max((r[4] for r in rows), default=1.0)
-    cells = F.explode(F.expr(f"sequence(cast(floor(low * {CELLS}) AS INT), cast(floor(high * {CELLS}) AS INT))"))
-    ends = sources.where("high > low").withColumn("cell", cells)
-    points = spark.range(slots).withColumn("point", F.expr(f"id * {GOLDEN}D - floor(id * {GOLDEN}D)"))
-    points = points.withColumn("stripe", F.expr("id div 8192")).withColumn("cell", F.expr(f"cast(floor(point * {CELLS}) AS INT)"))
-    points = points.join(ends, "cell").where(f"point >= low AND (point < high OR high = {last!r}D)")
-    before = points.groupBy("source", "stripe").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.expr("coalesce(sum(n) over (partition by source order by stripe rows between unbounded preceding and 1 preceding), 0)"))
-    ranked = points.withColumn("r", F.expr("row_number() over (partition by source, stripe order by id) - 1"))
-    ranked = ranked.alias("p").join(before.alias("b"), F.expr("p.source <=> b.source AND p.stripe = b.stripe"))
-    taken = ranked.select("p.source", "n_blocks", (F.col("r") + F.col("before")).alias("slot"))
-    taken = taken.where(f"slot < {int(most)} * n_blocks").groupBy("source", F.expr("slot % n_blocks").alias("block")).agg(F.count("*").alias("times"))
+    first, rows = 0, []
+    for r, target in zip(found, targets(sizes, weights, share, most), strict=True):
+        block = max(1, -(-r["size"] // blocks))
+        slots = slots_of(r["size"], target, block)
+        rows.append((r["source"], r["size"], float(target), block, -(-r["size"] // block), first, slots))
+        first += slots
+    sources = spark.createDataFrame(rows, "source string, source_size long, target double, block_size long, n_blocks long, first long, slots long")
+
+    # the schedule: a grid of 2 ** bits points, of which the sequence's i-th is i with its bits in reverse
+    bits = max(1, first.bit_length())
+    turn = F.expr(f"cast(conv(reverse(lpad(bin(first + at), {bits}, '0')), 2, 10) AS long)")
+    slots = sources.where("slots > 0").select("source", "n_blocks", "first", F.explode(F.expr("sequence(0L, slots - 1)")).alias("at"))
+    ranked = slots.withColumn("turn", turn).withColumn("slot", F.expr("row_number() over (partition by source order by turn) - 1"))
+    taken = ranked.groupBy("source", F.expr("slot % n_blocks").alias("block")).agg(F.count("*").alias("times"))
 
     # where each document lies in its source's shuffled words
     placed = sized.withColumn("range", F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % RANGES)
@@ -110,14 +107,15 @@ def mix_documents(
     within = placed.withColumn("start", F.expr(f"sum(size) over (partition by source, range order by {', '.join(['place', 'doc_id', 'size', *keys])} rows between unbounded preceding and current row) - size"))
     within = within.alias("d").join(offset.alias("o"), F.expr("d.source <=> o.source AND d.range = o.range"))
     within = within.select("d.doc_id", *keys, "d.source", "d.size", "d.place", (F.col("start") + F.col("offset")).alias("start"))
+    within = within.alias("d").join(F.broadcast(sources).alias("s"), F.expr("d.source <=> s.source")).select("d.*", "source_size", "target", "block_size")
 
-    pieces = within.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}L, (start + size - 1) div {block}L)")))
-    pieces = pieces.withColumn("part", F.expr(f"least(start + size, (block + 1) * {block}L) - greatest(start, block * {block}L)"))
+    pieces = within.where("size > 0").withColumn("block", F.explode(F.expr("sequence(start div block_size, (start + size - 1) div block_size)")))
+    pieces = pieces.withColumn("part", F.expr("least(start + size, (block + 1) * block_size) - greatest(start, block * block_size)"))
     pieces = pieces.alias("d").join(taken.alias("t"), F.expr("d.source <=> t.source AND d.block = t.block"), "left")
-    pieces = pieces.select("d.source", "d.start", "d.doc_id", *keys, "d.size", F.expr("part * coalesce(times, 0)").alias("words"))
-    mixed = pieces.groupBy("source", "start", "doc_id", *keys, "size").agg(F.sum("words").alias("taken"))
-    mixed = mixed.unionByName(within.where("size = 0").select("source", "start", "doc_id", *keys, "size", F.lit(0).cast("long").alias("taken")))
-    return mixed.alias("m").join(F.broadcast(sources).alias("s"), F.expr("m.source <=> s.source")).select("doc_id", *keys, "size", "source_size", "target", "taken")
+    pieces = pieces.select("d.source", "d.start", "d.doc_id", *keys, "d.size", "source_size", "target", F.expr("part * coalesce(times, 0)").alias("words"))
+    row = ["doc_id", *keys, "size", "source_size", "target"]
+    mixed = pieces.groupBy("source", "start", *row).agg(F.sum("words").alias("taken"))
+    return mixed.select(*row, "taken").unionByName(within.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken")))
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
@@ -130,11 +128,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Each row has its own number of copies, with a doc_id or without; documents without words hold nothing
     to mix and are left out.
     """
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    # documents as one column: names of their own clash with nothing
+    rows = stage(docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source", F.monotonically_increasing_id().alias("__row")), "mix-rows")
     named = rows.where("doc_id IS NOT NULL").select("doc_id", "__row", "text", "source", F.lit(None).cast("string").alias("__mark"))
     taken = mix_documents(named.unionByName(_marked(rows.where("doc_id IS NULL")))).where("size > 0")
-    taken = taken.select("__row", F.expr("cast(floor(taken / size + 0.5D) AS INT)").alias("__copies")).where("__copies > 0")
-    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(docs.columns)
+    taken = taken.select("__row", F.expr("cast(floor(taken / size + 0.5D) AS INT)").alias("copies")).where("copies > 0")
+    return rows.select("doc", "__row").join(taken, "__row").select("doc", F.explode(F.expr("sequence(1, copies)"))).select("doc.*")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -176,20 +175,22 @@ WITH sized AS (
   SELECT source, source_size, pos,
          CASE WHEN k < cut_k THEN most ELSE words_left * weight / cut.weights_left END AS target
   FROM ratio, cut
-), edges AS (
-  SELECT *, sum(target) OVER () AS total, sum(target) OVER (ORDER BY pos) AS upto,
-         greatest(1, (SELECT CAST(sum(size) AS BIGINT) FROM sized) // 65536) AS block
-  FROM aimed
+), cut_up AS (
+  SELECT *, CAST(greatest(1, ceil(source_size / 4096::DOUBLE)) AS BIGINT) AS block FROM aimed
+), slotted AS (
+  SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks,
+         CASE WHEN source_size = 0 THEN 0
+              ELSE CAST(floor(target / source_size) AS BIGINT) * CAST(ceil(source_size / block) AS BIGINT)
+                   + least(CAST(ceil(source_size / block) AS BIGINT), CAST(floor((target - floor(target / source_size) * source_size) / block + 0.5) AS BIGINT)) END AS slots
+  FROM cut_up
 ), sources AS (
-  SELECT *, (upto - target) / total AS low, upto / total AS high, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks FROM edges
+  SELECT *, CAST(sum(slots) OVER (ORDER BY pos) - slots AS BIGINT) AS first, length(bin(CAST(sum(slots) OVER () AS BIGINT))) AS bits FROM slotted
 ), points AS (
-  SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS point
-  FROM (SELECT unnest(range(CAST(floor((SELECT max(total / block) FROM edges)) AS BIGINT))) AS i)
+  SELECT pos, n_blocks, bits, unnest(range(first, CAST(first + slots AS BIGINT))) AS nth FROM sources
 ), slots AS (
-  SELECT pos, n_blocks, row_number() OVER (PARTITION BY pos ORDER BY i) - 1 AS slot
-  FROM points JOIN sources ON point >= low AND point < high
+  SELECT pos, n_blocks, row_number() OVER (PARTITION BY pos ORDER BY reverse(lpad(bin(nth), CAST(bits AS INTEGER), '0'))) - 1 AS slot FROM points
 ), taken AS (
-  SELECT pos, slot % n_blocks AS block_no, count(*) AS times FROM slots WHERE slot < 2 * n_blocks GROUP BY ALL
+  SELECT pos, slot % n_blocks AS block_no, count(*) AS times FROM slots GROUP BY ALL
 ), placed AS (
   SELECT doc_id, source, size,
          sum(size) OVER (PARTITION BY source ORDER BY substr(place, 1, 3), place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start

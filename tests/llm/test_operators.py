@@ -472,6 +472,40 @@ def test_mix_takes_what_it_should(docs):
     assert sorted(map(tuple, mixing.op7_mixing(df.repartition(7)).collect())) == sorted(map(tuple, got))
 
 
+@pytest.mark.parametrize("blocks", [4096, 64])
+def test_small_sources_meet_their_targets(spark, monkeypatch, blocks):
+    # a large source, many of six words, and sources of 0.4, 1 and 1.5 blocks where a block has a word or more
+    sizes = {"big": 40_000, **{f"tiny{i:02}": 6 for i in range(40)}, "one": 1, "part": 26, "block": 64, "more": 97, "long": 300, "none": 0, None: 65}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, size in sizes.items() for n in ([7] * (size // 7) + [size % 7]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix_documents(df, blocks=blocks).collect()}
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for i, text, s in rows:
+        assert got[i].source_size == sizes[s] and got[i].size == len(text.split()) and got[i].taken <= 2 * got[i].size
+        taken[s] += got[i].taken
+        target[s] = got[i].target
+    for s, size in sizes.items():
+        block = max(1, -(-size // blocks))
+        assert abs(taken[s] - target[s]) <= block / 2 + 1e-6, s
+    if blocks == 4096:
+        import duckdb
+
+        con = duckdb.connect()
+        con.register("documents", df.toArrow())
+        wanted = con.execute(mixing.ORACLE_SQL).fetchall()
+        assert sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in wanted) == sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got.values())
+
+
+def test_mixed_rows_keep_any_columns(spark):
+    rows = [(i, "a b c" if i % 3 else None, f"s{i % 2}", i, "x", 1, 2) for i in range(30)] + [(None, "d e", None, 0, "y", 1, 2)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, __copies string, copies int, doc int")
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_nothing_to_mix(empty, docs):
     assert mixing.op7_mixing(empty).count() == 0
     df, _ = docs
