@@ -185,7 +185,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Rounds of taking the neighbours' smallest label and then the label's own label; each round
     is a staged table, and hot vertices are reduced map-side before the shuffle. Stops when no
-    label changes, so the result is exact whatever the number of rounds.
+    label changes, so the result is exact whatever the number of rounds. The result is a staged table.
     """
     both = stage(
         edges.select("src", "dst").where("src <> dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst")).distinct(),
@@ -205,4 +205,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels, last = moved.select("id", "component_id"), moved
         if moved.where("moved").isEmpty():
             free(both)
+            labels.staged_at = moved.staged_at
             return labels

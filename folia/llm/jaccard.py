@@ -184,19 +184,25 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """(part, packed): the signatures of many sets at a time, dealt to parts by their values."""
+    """(part, packed): the signatures of many sets at a time, dealt to parts by their values.
+
+    A task signs equal sets once, so copies bring no more signatures than there are tasks.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int] = set()
         for _, texts in text_slices(batches, rows=1024):
-            sets = [h for h in shingle_sets(texts, words) if len(h)]
-            if not sets:
+            fresh = {i: h for h in shingle_sets(texts, words) if len(h) for i in [set_id(h)] if i not in signed}
+            if not fresh:
                 continue
+            signed.update(fresh)
+            sets = list(fresh.values())
             own = np.searchsorted(bands(percent)[1], [len(h) for h in sets])
             sigs = []
             for band, h in zip(own.tolist(), sets, strict=True):
                 found = dict(signatures(h, percent))
                 sigs += [found.get(band, _NONE), found.get(band + 1, _NONE)]
-            rows = list(_pack(np.array([set_id(h) for h in sets]), own, sigs, parts))
+            rows = list(_pack(np.array(list(fresh)), own, sigs, parts))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "packed"])
 
     return docs.select("text").mapInArrow(f, "part int, packed binary")
@@ -320,7 +326,7 @@ def _untried(shared: DataFrame, joined: DataFrame, sketches: DataFrame, percent:
     stats = {"low": f"min(joined) {over}", "high": f"max(joined) {over}", "many": f"count(*) {over}", "print": f"sum(cast(xxhash64(node) AS decimal(20))) {over}"}
     for name, expression in stats.items():
         rows = rows.withColumn(name, F.expr(expression))
-    rows = stage(rows.where("low <> high AND many > 2").select("sig", "node", "joined", "many", "print"), "jaccard-mixed")
+    mixed = rows = stage(rows.where("low <> high AND many > 2").select("sig", "node", "joined", "many", "print"), "jaccard-mixed")
     once = rows.groupBy("print", "many").agg(F.min("sig").alias("sig")).select("sig")
     rows = rows.join(once, "sig", "left_semi").join(sketches, "node")
     rows = rows.withColumn("blocks", F.expr(f"(many + {BLOCK} - 1) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
@@ -334,7 +340,9 @@ def _untried(shared: DataFrame, joined: DataFrame, sketches: DataFrame, percent:
 
     key = ["sig", "low", "high"]
     dealt = rows.select(*key, "node", "joined", "block", "n", "sketch").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(f, "sig long, center long, node long")
+    found = stage(dealt.mapInArrow(f, "sig long, center long, node long"), "jaccard-untried")
+    free(mixed)
+    return found
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -369,21 +377,24 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     ends = close.select("node").union(close.select("center")).distinct()
     sets = stage(_read_sets(docs, ends, first, words), "jaccard-whole")
-    links = stage(same, "jaccard-links")
-    joined = connected_components(links)
+    links = first_links = stage(same, "jaccard-links")
+    joined, held = connected_components(links), [found, sketches, first_links]
     for turn in range(TURNS):
         pairs = _across(close, joined) if turn else close
         if turn < TURNS - 1:
             pairs = pairs.groupBy("node").agg(F.expr(f"min_by(center, xxhash64(center, {turn}))").alias("center"))
         more = stage(_verified(pairs, sets, percent), "jaccard-links")
+        held.append(more)
         if more.isEmpty():
             continue
-        links = links.unionByName(more)
+        links, last = links.unionByName(more), joined
         joined = connected_components(links)
+        free(last)
     free(sets)
     mixed = shared
     for turn in range(LAST + 1):
-        left = stage(_untried(mixed, joined, sketches, percent, turn), "jaccard-untried")
+        left = _untried(mixed, joined, sketches, percent, turn)
+        held.append(left)
         if left.isEmpty():
             break
         # groups without such a pair have none later on
@@ -392,15 +403,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         sets = stage(_read_sets(docs, pairs.select("node").union(pairs.select("center")).distinct(), first, words), "jaccard-whole")
         more = stage(_verified(pairs, sets, percent), "jaccard-links")
         free(sets)
+        held.append(more)
         if not more.isEmpty():
-            links = links.unionByName(more)
+            links, last = links.unionByName(more), joined
             joined = connected_components(links)
+            free(last)
     free(shared, close)
 
     component = first.join(joined.toDF("node", "joined"), "node", "left").select("node", "first", F.coalesce("joined", "node").alias("joined"))
     least = component.groupBy("joined").agg(F.min("first").alias("component_id"))
     component = named.join(component.join(least, "joined"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return found.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = found.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = stage(out, "jaccard-components")
+    free(joined, *held)
+    return out
 
 
 def _read_sets(docs: DataFrame, nodes: DataFrame, first: DataFrame, words: int) -> DataFrame:
