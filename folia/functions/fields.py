@@ -20,7 +20,7 @@ _BEFORE, _AFTER, MOST_PAGE = r"[\[\(（【<〈『「\-—–·\.]*", r"[\]\)）
 # What stands between a title and its page in contents, and a page's signs.
 _DOTS, _SIGNS, _RANGE = r"[·•∙⋯…\.\s]", r"[IVXLCDMivxlcdm\d]+", r"[-—–~～至]+"
 # Titles that are no entries of contents, and authors who open a line.
-NOISE_TITLES, AUTHOR_STARTS = ("目录",), ("卡·马克思", "弗·恩格斯", "马克思", "恩格斯")
+NOISE_TITLES, AUTHOR_STARTS = ("目录", "插图目录", "插图", "封面", "书名", "书名页", "版权", "版权页"), ("卡·马克思", "弗·恩格斯", "马克思", "恩格斯")
 # Signs at which a reply may end, where a cut leaves at least so many characters, and its length.
 STOPS, LEAST_CUT, MOST_REPLY = "。！？；…", 40, 360
 #: Characters of a highlight, terms of a highlight and of a gist.
