@@ -13,12 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from folia.functions.text import let, nfkc, strip
+from folia.functions.text import WHITE, let, nfkc, strip, trimmed
 
 # Brackets, dashes and dots about a printed page number, and the numbers that count.
 _BEFORE, _AFTER, MOST_PAGE = r"[\[\(（【<〈『「\-—–·\.]*", r"[\]\)）】>〉』」\-—–·\.]*", 3000
 # What stands between a title and its page in contents, and a page's signs.
-_DOTS, _SIGNS, _RANGE = r"[·•∙⋯…\.\s]", r"[IVXLCDMivxlcdm\d]+", r"[-—–~～至]+"
+_DOTS, _SIGNS, _RANGE = r"[·•∙⋯…\.\s\x1c-\x1f]", r"[IVXLCDMivxlcdm\d]+", r"[-—–~～至]+"
 # Titles that are no entries of contents, and authors who open a line.
 NOISE_TITLES, AUTHOR_STARTS = ("目录", "插图目录", "插图", "封面", "书名", "书名页", "版权", "版权页"), ("卡·马克思", "弗·恩格斯", "马克思", "恩格斯")
 # Signs at which a reply may end, where a cut leaves at least so many characters, and its length.
@@ -36,7 +36,7 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 
 def given(text: Column) -> Column:
     """A text without blanks at its ends; null where nothing is left."""
-    return F.nullif(F.trim(F.coalesce(text, F.lit(""))), F.lit(""))
+    return F.nullif(trimmed(F.coalesce(text, F.lit(""))), F.lit(""))
 
 
 # -- titles and contents -------------------------------------------------------------------------------
@@ -44,22 +44,22 @@ def given(text: Column) -> Column:
 
 def clean_title(text: Column) -> Column:
     """NFKC, without NUL, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(nfkc(text), "\\x00", ""), r"(?U)\s+", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(nfkc(text), "\\x00", ""), f"(?U){WHITE}+", " "))
 
 
 def clean_contents_line(line: Column) -> Column:
     """clean_title() with long dashes as hyphens."""
-    return F.trim(F.regexp_replace(F.translate(nfkc(line), " —–", " --"), r"(?U)\s+", " "))
+    return trimmed(F.regexp_replace(F.translate(nfkc(line), " —–", " --"), f"(?U){WHITE}+", " "))
 
 
 def page_token(text: Column) -> Column:
     """The page number that a short text is: digits of 1 to 3000, or ``pre-`` and a roman number; decoration counts not."""
-    return _page_token(F.trim(nfkc(text)))
+    return _page_token(trimmed(nfkc(text)))
 
 
 def _page_token(own: Column) -> Column:
-    number = _first(own, rf"^\s*{_BEFORE}\s*(\d{{1,4}})\s*{_AFTER}\s*$").cast("int")
-    roman = _first(own, rf"(?i)^\s*{_BEFORE}\s*([ivxlcdm]{{1,10}})\s*{_AFTER}\s*$")
+    number = _first(own, rf"(?U)^{WHITE}*{_BEFORE}{WHITE}*([0-9]{{1,4}}){WHITE}*{_AFTER}{WHITE}*$").cast("int")
+    roman = _first(own, rf"(?iU)^{WHITE}*{_BEFORE}{WHITE}*([ivxlcdm]{{1,10}}){WHITE}*{_AFTER}{WHITE}*$")
     return F.coalesce(F.when(number.between(1, MOST_PAGE), number.cast("string")), F.concat(F.lit("pre-"), F.lower(roman)))
 
 
@@ -69,13 +69,13 @@ def contents_line(line: Column) -> Column:
     Where no form fits, or the page is no page number, the whole line is the title and page is null.
     """
     forms = (
-        rf"^(.+?)(?:{_DOTS}{{2,}}|[·•∙⋯…\.]+\s*)({_SIGNS})(?:\s*{_RANGE}\s*({_SIGNS}))?\s*$",
-        rf"^(.+?)\s+({_SIGNS})\s*{_RANGE}\s*({_SIGNS})\s*$",
-        rf"^(.+?)\s+({_SIGNS})\s*$",
+        rf"(?U)^(.+?)(?:{_DOTS}{{2,}}|[·•∙⋯…\.]+{WHITE}*)({_SIGNS})(?:{WHITE}*{_RANGE}{WHITE}*({_SIGNS}))?{WHITE}*$",
+        rf"(?U)^(.+?){WHITE}+({_SIGNS}){WHITE}*{_RANGE}{WHITE}*({_SIGNS}){WHITE}*$",
+        rf"(?U)^(.+?){WHITE}+({_SIGNS}){WHITE}*$",
     )
 
     def parsed(text: Column) -> Column:
-        found = [F.struct(F.trim(F.regexp_extract(text, p, 1)).alias("title"), _page_token(F.regexp_extract(text, p, 2)).alias("page")) for p in forms]
+        found = [F.struct(trimmed(F.regexp_extract(text, p, 1)).alias("title"), _page_token(F.regexp_extract(text, p, 2)).alias("page")) for p in forms]
         fine = [F.when((f["title"] != "") & f["page"].isNotNull(), f) for f in found]
         return F.coalesce(*fine, F.struct(text.alias("title"), F.lit(None).cast("string").alias("page")))
 
@@ -83,7 +83,7 @@ def contents_line(line: Column) -> Column:
 
 
 def is_numeric_title(title: Column) -> Column:
-    return title.rlike(r"^[0-9IVXLCDMivxlcdm\s\-—–\.]+$")
+    return title.rlike(r"(?U)^[0-9IVXLCDMivxlcdm\s\x1c-\x1f\-—–\.]+$")
 
 
 def is_navigable(title: Column) -> Column:
@@ -104,7 +104,7 @@ def carries_on(line: Column, noise: tuple[str, ...] = NOISE_TITLES) -> Column:
 
 def without_date(title: Column) -> Column:
     """A title without the brackets at its end."""
-    return F.trim(F.regexp_replace(title, r"[（(][^）)]*[）)]\s*$", ""))
+    return trimmed(F.regexp_replace(title, r"(?U)[（(][^）)]*[）)][\s\x1c-\x1f]*$", ""))
 
 
 def without_number(title: Column) -> Column:
@@ -119,7 +119,7 @@ def dictionary_norm(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """The parts between blank lines, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), rf"(?U)\n{WHITE}*\n"), lambda p: trimmed(p)), lambda p: p != "")
 
 
 def clamp(value: Column, least: int, most: int) -> Column:
@@ -128,7 +128,7 @@ def clamp(value: Column, least: int, most: int) -> Column:
 
 def boolean_word(text: Column, default: bool = True) -> Column:
     """A setting's word as a boolean; the default for other words and null."""
-    own = F.lower(F.trim(text))
+    own = F.lower(trimmed(text))
     return F.when(own.isin(*NO), False).when(own.isin(*YES), True).otherwise(F.lit(default))
 
 
@@ -136,13 +136,13 @@ def boolean_word(text: Column, default: bool = True) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U){WHITE}+", " "))
 
 
 def excerpt(text: Column, limit: int) -> Column:
     """White space collapsed; longer texts are cut and end in an ellipsis."""
     own = collapsed(text)
-    return F.when(F.length(own) > limit, F.concat(F.rtrim(F.left(own, F.lit(limit))), F.lit("…"))).otherwise(own)
+    return F.when(F.length(own) > limit, F.concat(trimmed(F.left(own, F.lit(limit))), F.lit("…"))).otherwise(own)
 
 
 def sentence_excerpt(text: Column, limit: int = MOST_REPLY) -> Column:
@@ -158,7 +158,7 @@ def highlight_terms(query: Column) -> Column:
     """What to mark of a query: itself, itself without blanks, and its tokens, the longest first; each once."""
     own = collapsed(query)
     compact = F.replace(own, F.lit(" "), F.lit(""))
-    tokens = F.filter(F.split(own, r"[\s，。；：、“”‘’？,.!?;:()（）【】《》]+"), lambda t: F.length(t) >= 2)
+    tokens = F.filter(F.split(own, r"(?U)[\s\x1c-\x1f，。；：、“”‘’？,.!?;:()（）【】《》]+"), lambda t: F.length(t) >= 2)
     placed = F.transform(tokens, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
     longest = F.slice(F.transform(F.array_sort(placed), lambda x: x["t"]), 1, TERMS)
     one = F.when((compact != own) & (F.length(compact) >= 4), F.array(own, compact)).otherwise(F.array(own))
@@ -173,7 +173,7 @@ def marked(context: Column, fallback: Column) -> Column:
 
 def gist_terms(gist: Column, most: int = TERMS) -> Column:
     """The distinct words of a request that have two characters or more when normalised."""
-    words = F.split(F.coalesce(gist, F.lit("")), r"(?U)[\s,，、;；:：/|·\-—　]+")
+    words = F.split(F.coalesce(gist, F.lit("")), r"(?U)[\s\x1c-\x1f,，、;；:：/|·\-—　]+")
     return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(strip(w)) >= 2)), 1, most)
 
 
@@ -185,7 +185,7 @@ def unique_keywords(words: Column, most: int = TERMS) -> Column:
 def without_thinking(text: Column) -> Column:
     """A model's answer without its thinking: closed blocks go, an open one goes up to the next blank line or heading."""
     closed = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    return F.regexp_replace(F.regexp_replace(closed, r"(?is)^.*?<think>.*?(?=\n\s*\n|\n#)", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(closed, r"(?is)^.*?<think>.*?(?=\n\s*\n|\n#)", ""), f"(?U)^{WHITE}+|{WHITE}+$", "")
 
 
 # -- feeds ---------------------------------------------------------------------------------------------
@@ -193,13 +193,13 @@ def without_thinking(text: Column) -> Column:
 
 def meta_description(html: Column) -> Column:
     """The description that a page's head gives; empty where there is none. Entities stay."""
-    return F.trim(F.regexp_extract(html, r"""(?is)<meta\b[^>]*(?:name|property)\s*=\s*["'](?:description|og:description)["'][^>]*content\s*=\s*["']([^"']+)["']""", 1))
+    return trimmed(F.regexp_extract(html, r"""(?is)<meta\b[^>]*(?:name|property)\s*=\s*["'](?:description|og:description)["'][^>]*content\s*=\s*["']([^"']+)["']""", 1))
 
 
 def split_authors(text: Column) -> Column:
     """Authors of a list, without the numbers in brackets behind them."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\]]*\]", "")
-    return F.filter(F.split(plain, r"[;,，、\s]+"), lambda a: a != "")
+    return F.filter(F.split(plain, r"(?U)[;,，、\s\x1c-\x1f]+"), lambda a: a != "")
 
 
 def author_name(family: Column, given_name: Column) -> Column:
@@ -220,7 +220,7 @@ def iso_date(*parts: Column) -> Column:
 
 def latest_possible(published: Column) -> Column:
     """The last day that a date can mean: a day itself, a month's 28th; null for a year alone and for no date."""
-    own = F.trim(F.coalesce(published, F.lit("")))
+    own = trimmed(F.coalesce(published, F.lit("")))
     day, month = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})-(\d{1,2})$"
     part = lambda p, i: F.lpad(F.regexp_extract(own, p, i), 2, "0")
     text = F.when(own.rlike(day), F.concat_ws("-", F.regexp_extract(own, day, 1), part(day, 2), part(day, 3))).when(own.rlike(month), F.concat_ws("-", F.regexp_extract(own, month, 1), part(month, 2), F.lit("28")))
@@ -229,14 +229,14 @@ def latest_possible(published: Column) -> Column:
 
 def is_placeholder_date(published: Column, source_id: Column) -> Column:
     """Whether a date is only a stand-in: none, a year alone, or a first of January from a source that writes such."""
-    own = F.trim(F.coalesce(published, F.lit("")))
+    own = trimmed(F.coalesce(published, F.lit("")))
     return (own == "") | own.rlike(r"^\d{4}$") | (F.coalesce(source_id, F.lit("")) != "") & F.endswith(own, F.lit("-01-01"))
 
 
 def clock(text: Column, fallback: str = "08:00") -> Column:
     """hh:mm with hours up to 23 and minutes up to 59; the fallback for anything else."""
     form = r"^(\d{1,2}):(\d{2})$"
-    own = F.trim(F.coalesce(text, F.lit("")))
+    own = trimmed(F.coalesce(text, F.lit("")))
     part = lambda i, most: F.lpad(F.least(F.regexp_extract(own, form, i).cast("int"), F.lit(most)).cast("string"), 2, "0")
     return F.when(own.rlike(form), F.concat_ws(":", part(1, 23), part(2, 59))).otherwise(fallback)
 
@@ -249,7 +249,7 @@ def bibliography(authors: Column, title: Column, journal: Column, year: Column,
     number = F.when(v.isNotNull() & i.isNotNull(), F.concat(F.lit(", "), v, F.lit("("), i, F.lit(")"))).when(v.isNotNull(), F.concat(F.lit(", "), v)).when(i.isNotNull(), F.concat(F.lit(", ("), i, F.lit(")"))).otherwise("")
     tail = F.concat(F.coalesce(F.concat(F.lit(": "), given(pages)), F.lit("")), F.coalesce(F.concat(F.lit(". DOI: "), given(doi)), F.lit("")), F.lit("."))
     when = F.coalesce(F.left(given(year), F.lit(4)), F.lit("出版年不详"))
-    return F.concat(F.coalesce(given(who), F.lit("佚名")), F.lit(". "), F.trim(F.coalesce(title, F.lit(""))), F.lit("[J]. "), F.trim(F.coalesce(journal, F.lit(""))), F.lit(", "), when, number, tail)
+    return F.concat(F.coalesce(given(who), F.lit("佚名")), F.lit(". "), trimmed(F.coalesce(title, F.lit(""))), F.lit("[J]. "), trimmed(F.coalesce(journal, F.lit(""))), F.lit(", "), when, number, tail)
 
 
 def json_strings(text: Column) -> Column:
@@ -295,7 +295,7 @@ def actor_key(user_id: Column, ip: Column, session: Column) -> Column:
 
 def client_ip(forwarded: Column, remote: Column) -> Column:
     """The last address of a forwarding header, which the own proxy wrote; else the remote one, else unknown."""
-    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda p: trimmed(p)), lambda p: p != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), given(remote), F.lit("unknown"))
 
 
@@ -307,18 +307,18 @@ def feature_of(endpoint: Column, origin: Column) -> Column:
         .when(own == "api_search", "search")
         .when(own.isin("reader", "library", "pdf_viewer", "serve_pdf"), "reader")
         .when(F.startswith(own, F.lit("api_ai_")), "ai")
-        .when((own == "pricing") & (F.trim(F.coalesce(origin, F.lit(""))) == "journal"), "pricing_journal")
+        .when((own == "pricing") & (trimmed(F.coalesce(origin, F.lit(""))) == "journal"), "pricing_journal")
         .when(own == "pricing", "pricing")
         .otherwise("site")
     )
 
 
 def email(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    return F.lower(trimmed(text))
 
 
 def masked(token: Column) -> Column:
-    return F.sha2(F.trim(F.coalesce(token, F.lit(""))), 256)
+    return F.sha2(trimmed(F.coalesce(token, F.lit(""))), 256)
 
 
 @F.pandas_udf(BooleanType())

@@ -23,6 +23,15 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: White space as Unicode has it, and the separators U+001C to U+001F; for patterns that begin with (?U).
+WHITE = r"[\s\x1c-\x1f]"
+
+
+def trimmed(text: Column | str) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, f"(?U)^{WHITE}+|{WHITE}+$", "")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP_PATTERN, "")
 

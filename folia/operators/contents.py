@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.fields import carries_on, clean_title, contents_line, is_noise, is_numeric_title, page_token, ratio
-from folia.functions.text import normalize
+from folia.functions.text import normalize, trimmed
 
 # The word that heads contents, pages that are looked through, pages that follow the first, lines with a
 # page number on the first and on others, and the marks that are good enough: how many, and which share of all.
@@ -176,7 +176,7 @@ def dated_contents(pages: DataFrame, body: int = 40) -> DataFrame:
     """
     slim = pages.select("source_file", "pdf_page", F.split(F.coalesce("raw_text", F.lit("")), _LINES).alias("lines"))
     lines = F.filter("lines", lambda x: F.regexp_replace(x, _WHITE, "") != "")
-    dates = F.size(F.filter(lines, lambda x: F.trim(x).rlike(rf"^(?:\d{{1,3}}\s*)?{DATE_LINE}$")))
+    dates = F.size(F.filter(lines, lambda x: trimmed(x).rlike(rf"^(?:\d{{1,3}}\s*)?{DATE_LINE}$")))
     slim = slim.withColumn("fits", (dates >= 2) | (F.size(lines) == 0))
     slim = slim.withColumn("opens", (F.col("pdf_page") < body) & F.exists(F.slice(lines, 1, 2), lambda x: F.regexp_replace(x, _WHITE, "") == CATALOG))
     first = slim.where("opens").groupBy("source_file").agg(F.min("pdf_page").alias("first"))

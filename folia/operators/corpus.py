@@ -10,12 +10,21 @@ from folia.functions.text import normalize
 #: Books in their configured order, with the titles that citations use; a table of a few rows.
 BOOKS = (("en", "English Works", 10), ("de", "German Works", 20), ("fr", "French Works", 30), ("es", "Spanish Works", 40))
 NO_CHAPTER = "（未识别篇章）"
+#: The place of books that have no configuration.
+UNKNOWN_BOOK = 9999
 
 
 def book_dimension(spark) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame(list(BOOKS), "book string, citation_title string, sort_order int")
 
 
+def with_books(rows: DataFrame, books: DataFrame) -> DataFrame:
+    """Adds sort_order and citation_title; a book that the dimension does not have comes last and is cited by its own name."""
+    known = rows.join(books.select("book", F.col("sort_order").alias("__order"), F.col("citation_title").alias("__title")), "book", "left")
+    known = known.withColumn("sort_order", F.coalesce("__order", F.lit(UNKNOWN_BOOK))).withColumn("citation_title", F.coalesce("__title", "book"))
+    return known.drop("__order", "__title")
+
+
 def pages_from_documents(documents: DataFrame) -> DataFrame:
     """Documents as pages: a book for each language, a volume for each source."""
     volume = Window.partitionBy("lang", "source").orderBy("doc_id")
@@ -59,8 +68,9 @@ def with_lookahead(pages: DataFrame, length: int) -> DataFrame:
     """Adds probe: a page's text and the first length - 1 characters that follow it in its volume.
 
     A match of that length that starts on the page lies in its probe wherever it ends, so volumes are
-    never put together.
+    never put together. Pages without text start no match and are left out, so they are not counted as following ones.
     """
+    pages = pages.where("norm <> ''")
     if length < 2:
         return pages.withColumn("probe", F.col("norm"))
     after = Window.partitionBy("source_file").orderBy("pdf_page").rowsBetween(1, length - 1)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folia.functions.text import WHITE, trimmed
+
 #: Anchors of a list page that are read.
 PER_PAGE = 25
 
@@ -19,7 +21,7 @@ def unescape(texts: pd.Series) -> pd.Series:
 
 
 def strip_tags(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\s+", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), f"(?U){WHITE}+", " "))
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def find_date(text: Column) -> Column:
 
 def dedupe_key(doi: Column, url: Column, *rest: Column) -> Column:
     """doi, else url, else a hash of the other fields."""
-    given = lambda name, c: F.when(F.trim(c) != "", F.concat(F.lit(f"{name}:"), F.lower(F.trim(c))))
+    given = lambda name, c: F.when(trimmed(c) != "", F.concat(F.lit(f"{name}:"), F.lower(trimmed(c))))
     return F.coalesce(given("doi", doi), given("url", url), F.concat(F.lit("hash:"), F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in rest]), 256)))
 
 
@@ -73,7 +75,7 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedupe_key") ->
     without updates in place is folded from both snapshots with one shuffle.
     """
     rows = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    title = F.when(F.trim("title") != "", F.col("title"))
+    title = F.when(trimmed("title") != "", F.col("title"))
     folded = rows.groupBy(key).agg(
         F.max_by(title, F.when(title.isNotNull(), F.struct("seen", "__new"))).alias("title"),
         F.max(F.when(F.col("__new") == 0, F.col("status"))).alias("__status"),
@@ -99,4 +101,4 @@ def last_turns(conversations: DataFrame, turns: int = 6) -> DataFrame:
 
 
 def token_estimate(text: Column) -> Column:
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0).otherwise(F.greatest(F.lit(1), F.floor((F.length(text) + 1) / 2).cast("int")))
+    return F.when(trimmed(F.coalesce(text, F.lit(""))) == "", 0).otherwise(F.greatest(F.lit(1), F.floor((F.length(text) + 1) / 2).cast("int")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions.fields import email, given, is_public_ip
-from folia.functions.text import quoted
+from folia.functions.text import quoted, trimmed
 
 # Parts of user agents that are refused.
 BLOCKED_AGENTS = (
@@ -27,7 +27,7 @@ EVENT_DAYS, PRESENCE_HOURS, ONLINE_MINUTES = 30, 48, 5
 
 def is_blocked_agent(agent: Column, more: tuple[str, ...] = ()) -> Column:
     """Whether a user agent is refused: an empty one, or one that holds a blocked part, whatever its case."""
-    own = F.lower(F.trim(F.coalesce(agent, F.lit(""))))
+    own = F.lower(trimmed(F.coalesce(agent, F.lit(""))))
     return (own == "") | own.rlike("|".join(map(quoted, BLOCKED_AGENTS + more)))
 
 

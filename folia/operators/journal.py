@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.functions.text import trimmed
 from folia.functions.fields import bibliography, email, given, is_placeholder_date, latest_possible
 
 # Lengths of a title, and titles and parts of titles that are no articles'.
@@ -34,7 +35,7 @@ def is_article_title(title: Column) -> Column:
 
     Parts in Chinese tell in short titles, and at the start or end of long ones.
     """
-    own, parts = F.trim(title), "|".join(NO_ARTICLE_PARTS_ZH)
+    own, parts = trimmed(title), "|".join(NO_ARTICLE_PARTS_ZH)
     english = F.lower(own).rlike("|".join(NO_ARTICLE_PARTS_EN))
     chinese = own.rlike(f"^(?:{parts})|(?:{parts})$") | (F.length(own) <= SHORT_TITLE) & own.rlike(parts)
     numbers = own.rlike(r"^[第\d\s年卷期页\-—~、.,()（）]+$")
@@ -43,7 +44,7 @@ def is_article_title(title: Column) -> Column:
 
 def is_allowed_type(kind: Column, allowed: tuple[str, ...]) -> Column:
     """Whether a work's type is among those wanted; works without a type are kept."""
-    own = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    own = F.lower(trimmed(F.coalesce(kind, F.lit(""))))
     return (own == "") | own.isin(*allowed)
 
 
@@ -125,7 +126,7 @@ def brief(authors: Column, title_zh: Column, title: Column, abstract: Column) ->
     return F.struct(
         F.coalesce(given(title_zh), given(title), F.lit("")).alias("title"),
         F.array_join(F.slice(authors, 1, BRIEF_AUTHORS), "、").alias("authors"),
-        F.left(F.trim(F.coalesce(abstract, F.lit(""))), F.lit(BRIEF_ABSTRACT)).alias("abstract"),
+        F.left(trimmed(F.coalesce(abstract, F.lit(""))), F.lit(BRIEF_ABSTRACT)).alias("abstract"),
     )
 
 

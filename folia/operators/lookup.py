@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.functions.text import normalize_query, strip
+from folia.functions.text import normalize_query, strip, trimmed
 
 
 def suggest(entries: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -46,5 +46,5 @@ def volumes(pages: DataFrame, contents: DataFrame) -> DataFrame:
 
 def volume_contents(contents: DataFrame, source_file: str) -> DataFrame:
     """title, pdf_page and level (held to 1 to 6) of one volume's entries that have a title, in order."""
-    rows = contents.where((F.col("source_file") == source_file) & (F.trim("title") != "")).orderBy("pdf_page", "sort_order")
+    rows = contents.where((F.col("source_file") == source_file) & (trimmed("title") != "")).orderBy("pdf_page", "sort_order")
     return rows.select("title", "pdf_page", F.least(F.greatest("level", F.lit(1)), F.lit(6)).alias("level"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.fields import clamp, collapsed, gist_terms
-from folia.functions.text import LEAST_FUZZY, LEAST_QUERY, normalize_query, strip
+from folia.functions.text import LEAST_FUZZY, LEAST_QUERY, normalize_query, strip, trimmed
 from folia.operators import search
+from folia.operators.corpus import with_books
 
 # Hits shown directly, groups of a page, and the length up to which a query is counted by chapter.
 DIRECT, GROUPS_PAGE, SHORT_QUERY = 8, 20, 4
@@ -22,8 +23,8 @@ def flat_search(pages: DataFrame, books: DataFrame, query: str, limit: int = 5)
     has exact hits all are error-tolerant, by the number of errors.
     """
     hits = _with_fallback(pages, query)
-    rows = hits.join(F.broadcast(books.select("book", "sort_order")), "book")
-    return rows.orderBy("by_errors", "sort_order", "volume", "first_page").limit(limit).select("book", "volume", "first_page", "errors")
+    rows = with_books(hits, books)
+    return rows.orderBy("by_errors", "sort_order", "book", "volume", "first_page").limit(limit).select("book", "volume", "first_page", "errors")
 
 
 def _with_fallback(pages: DataFrame, query: str) -> DataFrame:
@@ -64,7 +65,7 @@ def grouped_search(pages: DataFrame, sections: DataFrame, books: DataFrame, quer
 def parsed_plan(plan: Column) -> Column:
     """The lists of a search plan in JSON, each cut to its length; texts shorter than two characters when normalised go."""
     held = F.from_json(plan, ", ".join(f"{name} array<string>" for name in PLAN))
-    fine = lambda name: F.filter(F.transform(held[name], lambda w: F.trim(w)), lambda w: F.length(strip(w)) >= LEAST_QUERY)
+    fine = lambda name: F.filter(F.transform(held[name], lambda w: trimmed(w)), lambda w: F.length(strip(w)) >= LEAST_QUERY)
     return F.struct(*[F.slice(F.coalesce(fine(name), F.array().cast("array<string>")), 1, most).alias(name) for name, most in PLAN.items()])
 
 

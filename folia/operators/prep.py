@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.functions.text import disjoint_count
+from folia.functions.text import disjoint_count, trimmed
 
 
 def fill_printed_pages(pages: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def fill_printed_pages(pages: DataFrame) -> DataFrame:
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     number = F.expr("try_cast(printed_page AS INT)")
     known = F.when(number.isNotNull(), F.struct(F.col("pdf_page").alias("at"), number.alias("number"), F.col("__texts").alias("texts")))
-    rows = pages.withColumn("__text", (F.length(F.trim("raw_text")) > 0).cast("int"))
+    rows = pages.withColumn("__text", (F.length(trimmed("raw_text")) > 0).cast("int"))
     rows = rows.withColumn("__texts", F.sum("__text").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("__k", known)
     rows = rows.withColumn("__a", F.last("__k", ignorenulls=True).over(before)).withColumn("__b", F.first("__k", ignorenulls=True).over(after))

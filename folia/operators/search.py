@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from folia.functions.text import LEAST_QUERY, allowed_errors, disjoint_count, normalize, normalize_query, overlapping_count, positions
-from folia.operators.corpus import NO_CHAPTER, segments, with_lookahead, with_offsets
+from folia.functions.text import LEAST_QUERY, allowed_errors, disjoint_count, normalize, normalize_query, overlapping_count, positions, trimmed
+from folia.operators.corpus import NO_CHAPTER, segments, with_books, with_lookahead, with_offsets
 
 #: Exact matches of a book, groups, matches of a quotation in a book, and raw characters of a quotation.
 PER_BOOK, GROUPS, PER_QUOTE, QUOTE_LENGTH = 200, 30, 5, 120
@@ -33,7 +33,7 @@ def exact_counts(pages: DataFrame, query: str) -> DataFrame:
         return pages.limit(0).select("book", "volume", F.lit(0).cast("long").alias("hits"))
     side = F.lit(len(q) - 1)
     # texts stay where they are: only their edges are put in order, for matches that cross pages
-    edges = pages.select("book", "volume", "source_file", "pdf_page", overlapping_count(F.col("norm"), q).alias("own"), F.left("norm", side).alias("head"), F.right("norm", side).alias("tail"))
+    edges = pages.where("norm <> ''").select("book", "volume", "source_file", "pdf_page", overlapping_count(F.col("norm"), q).alias("own"), F.left("norm", side).alias("head"), F.right("norm", side).alias("tail"))
     after = Window.partitionBy("source_file").orderBy("pdf_page").rowsBetween(1, len(q) - 1)
     crossing = overlapping_count(F.concat("tail", F.left(F.array_join(F.collect_list("head").over(after), ""), side)), q)
     counted = edges.withColumn("hits", F.col("own") + crossing).where("hits > 0")
@@ -45,7 +45,7 @@ def match_spans(pages: DataFrame, query: str) -> DataFrame:
     q = normalize_query(query)
     if len(q) < LEAST_QUERY:
         return with_offsets(pages).limit(0).select("book", "volume", "source_file", F.col("page_start").alias("start"), F.col("pdf_page").alias("first_page"), F.col("pdf_page").alias("last_page"))
-    rows = with_offsets(with_lookahead(pages, len(q)))
+    rows = with_lookahead(with_offsets(pages), len(q))
     after = Window.partitionBy("source_file").orderBy("pdf_page").rowsBetween(0, len(q) - 1)
     reach = F.collect_list(F.struct("pdf_page", (F.col("page_start") + F.length("norm")).alias("end"))).over(after)
     rows = rows.withColumn("reach", reach).where(F.contains("probe", F.lit(q)))
@@ -79,13 +79,13 @@ def group_hits(hits: DataFrame, pages: DataFrame, sections: DataFrame, books: Da
     grouped = rows.groupBy("book", "volume", "source_file", "section").agg(
         F.count("*").alias("hits"), F.min_by("first_page", "ord").alias("first_page"), F.min_by(front, F.col("ord")).alias("front")
     )
-    ordered = grouped.join(F.broadcast(books.select("book", "sort_order")), "book").orderBy("sort_order", "volume", "front", "first_page", F.desc("hits"), "section")
+    ordered = with_books(grouped, books).orderBy("sort_order", "book", "volume", "front", "first_page", F.desc("hits"), "section")
     return ordered.select("book", "volume", "source_file", "section", "hits", "first_page", "front").limit(limit)
 
 
 def book_facets(hits: DataFrame, books: DataFrame) -> DataFrame:
     """Hits of each book that has some, with the configured order."""
-    return hits.groupBy("book").agg(F.count("*").alias("hits")).join(F.broadcast(books.select("book", "sort_order")), "book").select("book", "sort_order", "hits")
+    return with_books(hits.groupBy("book").agg(F.count("*").alias("hits")), books).select("book", "sort_order", "hits")
 
 
 def page_of(rows: DataFrame, order: list[Column | str], page: int, size: int) -> DataFrame:
@@ -114,7 +114,7 @@ def chapter_counts(pages: DataFrame, contents: DataFrame, query: str) -> DataFra
     else:
         inside = Window.partitionBy("source_file", "segment").orderBy("pdf_page").rowsBetween(1, max(len(q) - 1, 1))
         following = F.left(F.array_join(F.collect_list(F.left("norm", F.lit(len(q) - 1))).over(inside), ""), F.lit(len(q) - 1))
-        counted = rows.withColumn("n", overlapping_count(F.concat("norm", following), q))
+        counted = rows.where("norm <> ''").withColumn("n", overlapping_count(F.concat("norm", following), q))
     total = counted.where("n > 0").rollup("book", "volume", "chapter_pdf_page").agg(F.sum("n").cast("long").alias("hits"))
     return total if len(q) >= LEAST_QUERY else total.limit(0)
 
@@ -141,7 +141,7 @@ def citations(hits: DataFrame, pages: DataFrame, books: DataFrame, years: DataFr
     rows = rows.groupBy(*hits.columns).agg(
         F.min_by("printed", F.when(F.col("printed").isNotNull(), F.col("pdf_page"))).alias("p1"), F.max_by("printed", F.when(F.col("printed").isNotNull(), F.col("pdf_page"))).alias("p2")
     )
-    rows = rows.join(F.broadcast(books.select("book", "citation_title")), "book")
+    rows = with_books(rows, books)
     rows = rows.join(years, "source_file", "left") if years is not None else rows.withColumn("year", F.lit(None).cast("string"))
     span = lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))
     where = F.when(F.col("p1").isNotNull(), F.concat(F.lit("p. "), span(F.col("p1"), F.col("p2")))).otherwise(F.concat(F.lit("p. "), span(F.col("first_page"), F.col("last_page")), F.lit(" (file page)")))
@@ -161,7 +161,7 @@ def context(raw: Column, query: str, occurrence: int = 0, pad: int = 40) -> Colu
     low = F.greatest(F.lit(0), start - pad)
     marked = F.concat(F.substring(raw, low + 1, start - low), F.lit("[[H]]"), match, F.lit("[[/H]]"), F.substring(raw, start + F.length(match) + 1, F.lit(pad)))
     fallback = F.replace(F.left(raw, F.lit(200)), F.lit("\n"), F.lit(" "))
-    return F.when(F.size(found) > 0, F.trim(F.replace(marked, F.lit("\n"), F.lit(" ")))).otherwise(fallback) if kept else fallback
+    return F.when(F.size(found) > 0, trimmed(F.replace(marked, F.lit("\n"), F.lit(" ")))).otherwise(fallback) if kept else fallback
 
 
 def page_context(pages: DataFrame, excerpt: int = 240) -> DataFrame:

@@ -74,7 +74,7 @@ VISITORS = """
 SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'user' ELSE 'ip' END AS actor_type, CASE WHEN user_id % 4 = 0 THEN '10.0.0.' || CAST(user_id % 200 AS STRING) ELSE '8.8.4.' || CAST(user_id % 200 AS STRING) END AS ip, count(*) AS requests, max(event_id) % 7 AS minute_peak
 FROM {events} GROUP BY user_id"""
 GIVEN = """SELECT doc_id AS query_id, '{"quotes": ["' || substr(lang, 1, 1) || '", "ab", " cd "], "fragments": null, "keywords": ["k' || CAST(doc_id AS STRING) || '"]}' AS plan FROM {documents} WHERE lang IS NOT NULL"""
-CANDIDATES = "SELECT o_custkey AS query_id, l_linenumber AS index, l_partkey AS item FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey = o_custkey OR o_orderkey < 2000"
+CANDIDATES = "SELECT o_custkey AS query_id, l_linenumber AS index, l_partkey AS item FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
 RANKING = "SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS place, CASE WHEN l_partkey % 9 = 0 THEN 'x' ELSE CAST(l_linenumber AS STRING) END AS index, CASE WHEN l_partkey % 5 = 0 THEN 'high' ELSE CAST(CAST(l_quantity * 4 AS INT) AS STRING) END AS confidence, '  because  of ' || l_returnflag AS reason FROM {lineitem}"
 
 SEGMENTS = ["3-MEDIUM", "1-URGENT"]

@@ -103,7 +103,7 @@ def _matches(query: str, name: str = "matches") -> str:
   SELECT book, volume, source_file, pdf_page AS first_page, page_start + i - 1 AS start, norm, i
   FROM (SELECT *, unnest(list_filter(range(1, length(probe) - {n} + 2), lambda k: substr(probe, CAST(k AS BIGINT), {n}) = '{query}')) AS i
         FROM (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), {n - 1}) AS probe
-              FROM corpus WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)) WHERE contains(probe, '{query}'))
+              FROM corpus WHERE norm <> '' WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)) WHERE contains(probe, '{query}'))
 ), {name}_spans AS (
   SELECT m.book, m.volume, m.source_file, m.start, m.first_page,
          (SELECT min(c.pdf_page) FROM corpus c WHERE c.source_file = m.source_file AND c.page_start + length(c.norm) >= m.start + {n}) AS last_page
@@ -190,11 +190,11 @@ ORACLE_SQL: dict[str, str] = {
     + """SELECT source_file, pdf_page, lag(left(raw_text, 240)) OVER v AS previous, lead(left(raw_text, 240)) OVER v AS following FROM pages WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)""",
     "t_locate_benchmark": _with(_PAGES)
     + f""", quotes AS (SELECT item_id, regexp_replace(left(text, 120), '{_STRIP}', '', 'g') AS q FROM benchmark),
-          probes AS (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), 119) AS probe FROM corpus WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)),
+          probes AS (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), 119) AS probe FROM corpus WHERE norm <> '' WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)),
           met AS (SELECT item_id, book, (length(left(probe, length(norm) + length(q) - 1)) - length(replace(left(probe, length(norm) + length(q) - 1), q, ''))) // length(q) AS n FROM quotes JOIN probes ON contains(probe, q) WHERE length(q) >= 12)
           SELECT item_id, CAST(sum(least(n, 5)) AS BIGINT) AS places FROM (SELECT item_id, book, sum(n) AS n FROM met GROUP BY ALL) WHERE n > 0 GROUP BY item_id""",
     "t_fuzzy_verify": _with(_PAGES)
-    + """, probes AS (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), 28) AS probe FROM corpus WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)),
+    + """, probes AS (SELECT *, norm || left(coalesce(lead(norm, 1) OVER v, '') || coalesce(lead(norm, 2) OVER v, '') || coalesce(lead(norm, 3) OVER v, ''), 28) AS probe FROM corpus WHERE norm <> '' WINDOW v AS (PARTITION BY source_file ORDER BY pdf_page)),
           best AS (SELECT book, volume, pdf_page, list_min(list_transform(range(1, length(norm) + 1), lambda a: list_min(list_transform(range(24, 29), lambda n: levenshtein(substr(probe, CAST(a AS BIGINT), CAST(n AS BIGINT)), 'retitioningouenthxofntertx'))))) AS errors
                    FROM probes WHERE contains(probe, 'retitioni') OR contains(probe, 'ngouenthx') OR contains(probe, 'ofntertx'))
           SELECT book, volume, arg_min(pdf_page, (errors, pdf_page)) AS pdf_page, min(errors) AS errors, CAST(floor(100 * (1 - min(errors) / 26)) AS INT) AS score FROM best WHERE errors <= 2 GROUP BY book, volume""",

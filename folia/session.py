@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -39,13 +40,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(held)
 
 
-_stored: dict[tuple[str, str], str] = {}
+def _state(df: DataFrame) -> str:
+    """A hash of the files that df reads: paths, sizes and times of change, listed by folder."""
+    spark, found = df.sparkSession, []
+    files = set(df.inputFiles())
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(path) if s.isFile()]
+    return hashlib.sha256(repr((sorted(files), found)).encode()).hexdigest()
+
+
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that is written once in an application, under its name, and read from then on; anew if it was removed."""
+    """df as a table that is written once in an application, under its name, and read from then on; anew if it was removed or df's files changed."""
     spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, name, _state(df))
     if key not in _stored or not _exists(spark, _stored[key]):
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
