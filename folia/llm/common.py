@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_staged: ContextVar[list[DataFrame] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Owns the tables that are staged within and frees them at its end, but those given to what it yields."""
+    outer, own = _staged.get(), []
+    token = _staged.set(own)
+
+    def kept(df: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not df]
+        if outer is not None:
+            outer.append(df)
+        return df
+
+    try:
+        yield kept
+    finally:
+        _staged.reset(token)
+        free(*own)
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
@@ -37,6 +61,9 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held.staged_at = path
+    owner = _staged.get()
+    if owner is not None:
+        owner.append(held)
     return held
 
 

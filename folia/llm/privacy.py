@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import stage
+from folia.llm.common import scope, stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A term: letters in a row.
@@ -140,11 +140,13 @@ def text_spans(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(_text_id(F.col("text")).alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.groupBy("text_id").agg(F.first("text").alias("text"))
-    texts = stage(with_base_spans(texts), "privacy-texts")
-    terms = _marked(texts, disclosing_terms(texts))
-    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    outside = F.expr("filter(terms, t -> NOT exists(base, b -> t.start < b.end AND b.start < t.end))")
-    return texts.drop("text").join(terms, "text_id", "left").select("text_id", "base", F.coalesce(outside, none).alias("terms"))
+    with scope() as kept:
+        texts = stage(with_base_spans(texts), "privacy-texts")
+        terms = _marked(texts, disclosing_terms(texts))
+        none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
+        outside = F.expr("filter(terms, t -> NOT exists(base, b -> t.start < b.end AND b.start < t.end))")
+        spans = texts.drop("text").join(terms, "text_id", "left").select("text_id", "base", F.coalesce(outside, none).alias("terms"))
+        return kept(stage(spans, "privacy-spans"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -185,13 +187,15 @@ def sanitise(docs: DataFrame) -> DataFrame:
       array_sort(concat(
         transform(base, x -> struct(x.start AS start, -x.end AS until, {labels}[x.kind] AS label)),
         transform(terms, t -> struct(t.start AS start, -t.end AS until, if(t.disclosure >= {REMOVE}, '', '[TERM]') AS label))))"""
-    rows = docs.withColumn("__id", _text_id(F.col("text"))).join(found.select(F.col("text_id").alias("__id"), F.expr(spans).alias("__spans")), "__id", "left")
+    # the row as one column: names of its own clash with nothing
+    rows = docs.select(F.struct("*").alias("doc"), "text", _text_id(F.col("text")).alias("text_id")).join(found.select("text_id", F.expr(spans).alias("spans")), "text_id", "left")
     cleaned = """
-      aggregate(__spans, struct(0 AS at, '' AS done),
+      aggregate(spans, struct(0 AS at, '' AS done),
         (s, x) -> if(x.start < s.at, s, struct(-x.until AS at, concat(s.done, substring(text, s.at + 1, x.start - s.at), x.label) AS done)),
         s -> concat(s.done, substring(text, s.at + 1)))"""
-    rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.expr(cleaned)))
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(cleaned))
+    rows = rows.select("doc", "spans", clean.alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in names:
-        kept = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-        rows = rows.withColumn("n_chars", kept)
-    return rows.select(names)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("doc.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in names])
