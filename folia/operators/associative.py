@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folia.functions.text import LEAST_QUERY, normalize_query, strip
 from folia.operators.corpus import segments, with_offsets, with_sections
-from folia.operators.search import exact_hits, match_spans
+from folia.operators.search import exact_hits
+from folia.operators.terms import term_places
 
 #: Fixed limits of the reference behaviour.
 WINDOW, MOST_KEYWORDS, PER_KEYWORD = 200, 8, 40
@@ -21,30 +22,26 @@ def unique_terms(terms: list[str], least: int = LEAST_QUERY, most: int | None =
     return list(found)[:most]
 
 
-def _disjoint(spans: DataFrame, length: int) -> DataFrame:
-    """Of the occurrences of one term those that a left-to-right scan without overlap finds."""
-    if length < 2:
-        return spans
-    order = Window.partitionBy("source_file").orderBy("start")
-    gap = spans.withColumn("gap", F.when(F.col("start") - F.lag("start").over(order) < length, 0).otherwise(1))
+def _disjoint(spans: DataFrame) -> DataFrame:
+    """Of the occurrences of each term those that a left-to-right scan without overlap finds."""
+    order = Window.partitionBy("source_file", "term").orderBy("start")
+    gap = spans.withColumn("gap", F.when(F.col("start") - F.lag("start").over(order) < F.col("length"), 0).otherwise(1))
     run = gap.withColumn("run", F.sum("gap").over(order))
     # inside a run of overlapping starts each kept one is the first that is a length or more after the last kept
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("start")), F.array().cast("array<bigint>"), lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) >= length), F.array_append(s, x)).otherwise(s)
-    )
-    return run.groupBy("book", "volume", "source_file", "run").agg(kept.alias("s")).select("book", "volume", "source_file", F.explode("s").alias("start"))
+    far = lambda s, x: (F.size(s) == 0) | (x - F.element_at(s, -1) >= F.col("length"))
+    kept = F.aggregate(F.array_sort("starts"), F.array().cast("array<bigint>"), lambda s, x: F.when(far(s, x), F.array_append(s, x)).otherwise(s))
+    keys = ["book", "volume", "source_file", "term", "length"]
+    return run.groupBy(*keys, "run").agg(F.collect_list("start").alias("starts")).select(*keys, F.explode(kept).alias("start"))
 
 
 def occurrences(pages: DataFrame, terms: list[str]) -> DataFrame:
-    """Disjoint occurrences of each term: book, volume, source_file, term, length, start."""
-    out = None
-    for i, term in enumerate(terms):
-        spans = match_spans(pages, term).select("book", "volume", "source_file", "start")
-        if any(term.startswith(term[k:]) for k in range(1, len(term))):
-            spans = _disjoint(spans, len(term))
-        rows = spans.withColumn("term", F.lit(i)).withColumn("length", F.lit(len(term)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Disjoint occurrences of each term, found in one pass over texts: book, volume, source_file, term, length, start."""
+    rows = term_places(pages, terms)
+    lapping = [i for i, t in enumerate(terms) if any(t.startswith(t[k:]) for k in range(1, len(t)))]
+    if not lapping:
+        return rows
+    own = F.col("term").isin(lapping)
+    return rows.where(~own).unionByName(_disjoint(rows.where(own)).select(rows.columns))
 
 
 def fragment_search(pages: DataFrame, fragments: list[str]) -> DataFrame:
@@ -53,7 +50,8 @@ def fragment_search(pages: DataFrame, fragments: list[str]) -> DataFrame:
     rows = occurrences(pages, terms)
     term = Window.partitionBy("term")
     names = F.array(*[F.lit(t) for t in terms])
-    rows = rows.withColumn("many", F.count("*").over(term)).where(F.col("many") <= MOST_FREQUENT)
+    few = rows.groupBy("term").agg(F.count("*").alias("many")).where(F.col("many") <= MOST_FREQUENT).select("term")
+    rows = rows.join(few, "term", "left_semi")
     rows = rows.withColumn("n", F.row_number().over(term.orderBy("book", "volume", "source_file", "start"))).where(F.col("n") <= PER_FRAGMENT)
     score = F.least(F.lit(97), F.lit(56) + 6 * F.col("length"))
     return rows.select("book", "volume", "source_file", "start", (F.col("start") + F.col("length")).alias("end"), F.get(names, F.col("term")).alias("fragment"), score.alias("score"))

@@ -48,14 +48,22 @@ def display_mode(hits: int, length: int, truncated: bool, groups: int) -> str:
 
 
 def grouped_search(pages: DataFrame, sections: DataFrame, books: DataFrame, query: str, book: str = "", page: int = 1) -> tuple[str, DataFrame, DataFrame]:
-    """(form, facets, one page of groups). Facets count all books; a book filter comes after them."""
-    hits = search.distinct_hits(search.exact_hits(pages, query))
+    """(form, facets, one page of groups). Facets count all books; a book filter comes after them.
+
+    Where no book's exact hits were cut, books without any give their best matches with errors.
+    """
+    names = ["book", "volume", "source_file", "start", "first_page", "last_page", "ord", "match_type", "errors"]
+    exact = search.distinct_hits(search.exact_hits(pages, query))
+    cut = not exact.where("truncated").isEmpty()
+    hits = exact.select(*names[:7], F.lit("exact").alias("match_type"), F.lit(0).alias("errors"))
+    if not cut and len(normalize_query(query)) >= LEAST_FUZZY:
+        loose = search.fuzzy_matches(pages, query).join(exact.select("book").distinct(), "book", "left_anti")
+        hits = hits.unionByName(loose.withColumn("ord", F.lit(0)).withColumn("match_type", F.lit("fuzzy")).select(names))
     facets = search.book_facets(hits, books)
     groups = search.group_hits(hits, pages, sections, books)
     if book:
         groups = groups.where(F.col("book") == book)
     totals = groups.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.count("*").alias("groups")).first()
-    cut = hits.where("truncated").limit(1).count() > 0
     form = display_mode(totals["hits"], len(normalize_query(query)), cut, totals["groups"])
     last = max(1, -(-totals["groups"] // GROUPS_PAGE))
     at = min(max(1, page), last)

@@ -38,28 +38,6 @@ def fill_printed_pages(pages: DataFrame) -> DataFrame:
     return rows.withColumn("filled", filled).select(*pages.columns, "filled")
 
 
-def apply_corrections(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds corrected, applied and ambiguous to pages.
-
-    rules: rule_id, volume, pdf_page, find, replace, expected. A rule without page holds for its volume, one
-    without volume for all, and replaces every occurrence; one with a page applies only if the page holds it
-    as often as expected, else it is ambiguous. Rules apply in order of rule_id.
-    """
-    r = rules.select("rule_id", F.col("volume").alias("__v"), F.col("pdf_page").alias("__p"), "find", "replace", "expected")
-    fits = F.expr("(__v IS NULL OR __v = volume) AND (__p IS NULL OR __p = pdf_page)")
-    met = pages.select("source_file", "volume", "pdf_page").join(F.broadcast(r), fits).groupBy("source_file", "pdf_page").agg(
-        F.array_sort(F.collect_list(F.struct("rule_id", "find", "replace", "expected", F.col("__p").isNotNull().alias("anchored")))).alias("rules")
-    )
-    out = pages.join(met, ["source_file", "pdf_page"], "left")
-    fold = """
-      aggregate(coalesce(rules, array()), struct(raw_text AS text, 0 AS applied, 0 AS ambiguous), (s, r) ->
-        CASE WHEN NOT contains(s.text, r.find) THEN struct(s.text AS text, s.applied AS applied, s.ambiguous + if(r.anchored, 1, 0) AS ambiguous)
-             WHEN r.anchored AND (length(s.text) - length(replace(s.text, r.find, ''))) div length(r.find) <> r.expected
-               THEN struct(s.text AS text, s.applied AS applied, s.ambiguous + 1 AS ambiguous)
-             ELSE struct(replace(s.text, r.find, r.replace) AS text, s.applied + 1 AS applied, s.ambiguous AS ambiguous) END)"""
-    return out.withColumn("__c", F.expr(fold)).select(*pages.columns, F.col("__c.text").alias("corrected"), F.col("__c.applied").alias("applied"), F.col("__c.ambiguous").alias("ambiguous"))
-
-
 def bigrams(pages: DataFrame, pattern: str = r"\p{IsHan}+") -> DataFrame:
     """How often two characters follow one another in runs that match a pattern."""
     runs = pages.select(F.explode(F.regexp_extract_all("raw_text", F.lit(pattern), F.lit(0))).alias("run")).where("length(run) > 1")

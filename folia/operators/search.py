@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from folia.functions.matching import best_match
 from folia.functions.text import LEAST_QUERY, allowed_errors, disjoint_count, normalize, normalize_query, overlapping_count, positions, trimmed
 from folia.operators.corpus import NO_CHAPTER, segments, with_books, with_lookahead, with_offsets
 
@@ -41,17 +42,26 @@ def exact_counts(pages: DataFrame, query: str) -> DataFrame:
 
 
 def match_spans(pages: DataFrame, query: str) -> DataFrame:
-    """A row for each match: where it starts in its volume, its first and last page."""
+    """A row for each match: where it starts in its volume, its first and last page.
+
+    Texts stay where they are: places found and pages' edges are put in order, for matches that cross pages.
+    """
     q = normalize_query(query)
     if len(q) < LEAST_QUERY:
         return with_offsets(pages).limit(0).select("book", "volume", "source_file", F.col("page_start").alias("start"), F.col("pdf_page").alias("first_page"), F.col("pdf_page").alias("last_page"))
-    rows = with_lookahead(with_offsets(pages), len(q))
-    after = Window.partitionBy("source_file").orderBy("pdf_page").rowsBetween(0, len(q) - 1)
-    reach = F.collect_list(F.struct("pdf_page", (F.col("page_start") + F.length("norm")).alias("end"))).over(after)
-    rows = rows.withColumn("reach", reach).where(F.contains("probe", F.lit(q)))
-    rows = rows.select("book", "volume", "source_file", "pdf_page", "page_start", "reach", F.explode(positions(F.col("probe"), q)).alias("at"))
-    last = F.get(F.filter("reach", lambda p: p["end"] >= F.col("page_start") + F.col("at") + len(q)), F.lit(0))["pdf_page"]
-    return rows.select("book", "volume", "source_file", (F.col("page_start") + F.col("at")).alias("start"), F.col("pdf_page").alias("first_page"), last.alias("last_page"))
+    side = F.lit(len(q) - 1)
+    rows = pages.where("norm <> ''").select(
+        "book", "volume", "source_file", "pdf_page", F.length("norm").cast("long").alias("own"), F.left("norm", side).alias("head"), F.right("norm", side).alias("tail"), positions(F.col("norm"), q).alias("found")
+    )
+    order = Window.partitionBy("source_file").orderBy("pdf_page")
+    rows = rows.withColumn("page_start", F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("following", F.left(F.array_join(F.collect_list("head").over(order.rowsBetween(1, len(q) - 1)), ""), side))
+    rows = rows.withColumn("reach", F.collect_list(F.struct("pdf_page", (F.col("page_start") + F.col("own")).alias("end"))).over(order.rowsBetween(0, len(q) - 1)))
+    crossing = F.transform(positions(F.concat("tail", "following"), q), lambda at: at + F.col("own") - F.length("tail"))
+    rows = rows.select("book", "volume", "source_file", "pdf_page", "reach", "page_start", F.explode(F.concat(F.transform("found", lambda at: at.cast("long")), crossing)).alias("at"))
+    start = F.col("page_start") + F.col("at")
+    last = F.get(F.filter("reach", lambda p: p["end"] >= start + len(q)), F.lit(0))["pdf_page"]
+    return rows.select("book", "volume", "source_file", start.alias("start"), F.col("pdf_page").alias("first_page"), last.alias("last_page"))
 
 
 def exact_hits(pages: DataFrame, query: str, limit: int = PER_BOOK) -> DataFrame:
@@ -71,16 +81,18 @@ def group_hits(hits: DataFrame, pages: DataFrame, sections: DataFrame, books: Da
     """Hits by volume and section, in display order, at most ``limit`` groups.
 
     Groups whose first hit has a printed page come before those in front matter; sections are those of the
-    hit's first page.
+    hit's first page. Where hits have match_type and errors, exact and other hits are groups of their own, with the
+    least errors of each.
     """
+    found = ["match_type", "errors"] if "match_type" in hits.columns else []
     page = sections.select("source_file", F.col("pdf_page").alias("first_page"), "section", "printed_page")
     rows = hits.join(page, ["source_file", "first_page"], "left").withColumn("section", F.coalesce("section", F.lit(NO_CHAPTER)))
     front = F.when(F.col("printed_page").isNotNull() & ~F.col("printed_page").startswith("pre-"), 0).otherwise(1)
-    grouped = rows.groupBy("book", "volume", "source_file", "section").agg(
-        F.count("*").alias("hits"), F.min_by("first_page", "ord").alias("first_page"), F.min_by(front, F.col("ord")).alias("front")
+    grouped = rows.groupBy("book", "volume", "source_file", "section", *found[:1]).agg(
+        F.count("*").alias("hits"), F.min_by("first_page", "ord").alias("first_page"), F.min_by(front, F.col("ord")).alias("front"), *(F.min(c).alias(c) for c in found[1:])
     )
     ordered = with_books(grouped, books).orderBy("sort_order", "book", "volume", "front", "first_page", F.desc("hits"), "section")
-    return ordered.select("book", "volume", "source_file", "section", "hits", "first_page", "front").limit(limit)
+    return ordered.select("book", "volume", "source_file", "section", "hits", "first_page", "front", *found).limit(limit)
 
 
 def book_facets(hits: DataFrame, books: DataFrame) -> DataFrame:
@@ -208,34 +220,39 @@ def locate_quotes(pages: DataFrame, quotes: DataFrame, limit: int = PER_QUOTE) -
     return met.withColumn("n", rank).where(F.col("n") <= limit).select("item_id", "book", "source_file", "pdf_page", "at")
 
 
-def fuzzy_pages(pages: DataFrame, query: str) -> DataFrame:
-    """The best error-tolerant match of each volume: book, volume, pdf_page, errors and score.
+def fuzzy_matches(pages: DataFrame, query: str) -> DataFrame:
+    """The best error-tolerant match of each volume: book, volume, source_file, start, first_page, last_page and errors.
 
-    A match with at most K errors holds one of the query's K + 1 pieces unchanged, so those pieces are found
-    exactly and only the windows about them are compared by edit distance.
+    A match with at most K errors holds one of the query's K + 1 pieces unchanged, so pages without any fall
+    out first; edit distances to all parts of what is left are found in bits. The fewest errors count,
+    then the first page, then the first place on it.
     """
     q = normalize_query(query)
-    errors = allowed_errors(len(q))
-    rows = with_lookahead(pages, len(q) + errors + 1)
-    if not errors:
-        return rows.limit(0).select("book", "volume", "pdf_page", F.lit(0).alias("errors"), F.lit(0).alias("score"))
-    size = -(-len(q) // (errors + 1))
-    pieces = [(i, q[i : i + size]) for i in range(0, len(q), size)]
-    rows = rows.where(reduce(or_, [F.contains("probe", F.lit(p)) for _, p in pieces]))
-    starts = F.array_distinct(F.flatten(F.array(*[F.transform(positions(F.col("probe"), p), lambda s, i=i: s - i) for i, p in pieces])))
-    windows = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.flatten(
-                F.transform(
-                    F.sequence(s - errors, s + errors),
-                    lambda a: F.transform(F.sequence(F.lit(len(q) - errors), F.lit(len(q) + errors)), lambda n: F.when((a >= 0) & (a < F.length("norm")), F.substring("probe", a + 1, n)).otherwise(F.lit(""))),
-                )
-            ),
-        )
-    )
-    distance = F.array_min(F.filter(F.transform(windows, lambda w: F.levenshtein(w, F.lit(q), errors)), lambda d: d >= 0))
-    found = rows.withColumn("errors", distance).where("errors IS NOT NULL")
-    best = found.groupBy("book", "volume").agg(F.min(F.struct("errors", "pdf_page")).alias("b"))
-    score = F.floor(F.lit(100.0) * (1 - F.col("b.errors") / len(q))).cast("int")
+    most = allowed_errors(len(q))
+    if not most:
+        return match_spans(pages, "").withColumn("errors", F.lit(0))
+    size = -(-len(q) // (most + 1))
+    pieces = [q[i : i + size] for i in range(0, len(q), size)]
+    longest = len(q) + most
+    rows = with_lookahead(with_offsets(pages), longest)
+    after = Window.partitionBy("source_file").orderBy("pdf_page").rowsBetween(0, longest - 1)
+    rows = rows.withColumn("reach", F.collect_list(F.struct("pdf_page", (F.col("page_start") + F.length("norm")).alias("end"))).over(after))
+    rows = rows.where(reduce(or_, [F.contains("probe", F.lit(p)) for p in pieces]))
+
+    @F.pandas_udf("errors int, at long, end long")
+    def nearest(probes: pd.Series, own: pd.Series) -> pd.DataFrame:
+        found = [best_match(q, probe, most, before) for probe, before in zip(probes, own, strict=True)]
+        return pd.DataFrame([f or (None, None, None) for f in found], columns=["errors", "at", "end"]).astype({"errors": "Int32", "at": "Int64", "end": "Int64"})
+
+    rows = rows.withColumn("best", nearest("probe", F.length("norm"))).where("best.errors IS NOT NULL")
+    last = F.get(F.filter("reach", lambda p: p["end"] >= F.col("page_start") + F.col("best.end")), F.lit(0))["pdf_page"]
+    found = F.struct("best.errors", F.col("pdf_page").alias("first_page"), (F.col("page_start") + F.col("best.at")).alias("start"), last.alias("last_page"))
+    best = rows.groupBy("book", "volume", "source_file").agg(F.min(found).alias("b"))
+    return best.select("book", "volume", "source_file", "b.start", "b.first_page", "b.last_page", "b.errors")
+
+
+def fuzzy_pages(pages: DataFrame, query: str) -> DataFrame:
+    """The best error-tolerant match of each volume: book, volume, pdf_page, errors and score."""
+    best = fuzzy_matches(pages, query).groupBy("book", "volume").agg(F.min(F.struct("errors", F.col("first_page").alias("pdf_page"))).alias("b"))
+    score = F.floor(F.lit(100.0) * (1 - F.col("b.errors") / max(1, len(normalize_query(query))))).cast("int")
     return best.select("book", "volume", "b.pdf_page", "b.errors", score.alias("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folia.operators import accounts as a
 from folia.operators import corpus, guard, journal, planner, search
-from folia.plans.search import _PAGES, _contents, _matches, _pages, _with
+from folia.plans.search import _PAGES, _SECTIONS, _contents, _matches, _pages, _with
 from folia.plans.shared import rows, with_inputs
 
 NOW = "TIMESTAMP '1998-07-01 00:00:00'"
@@ -121,8 +121,8 @@ def j_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_grouped_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     sections = corpus.with_sections(pages.select("source_file", "pdf_page", "printed_page"), _contents(spark, sf_dir))
-    form, facets, _ = planner.grouped_search(pages, sections, corpus.book_dimension(spark), "tion the", book="en")
-    return facets.select("book", "hits").withColumn("form", F.lit(form))
+    form, _, groups = planner.grouped_search(pages, sections, corpus.book_dimension(spark), "tion the", book="en")
+    return groups.drop("front").withColumn("form", F.lit(form))
 
 
 def t_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +322,17 @@ ORACLE_SQL["j_source_state"] = with_inputs(f"SELECT source, complete, auto_send,
 ORACLE_SQL["j_completeness"] = with_inputs(f"SELECT language, count(*) AS sources, count(*) FILTER (complete) AS complete, count(*) FILTER (auto_send) AS auto_send FROM ({_STATE}) GROUP BY language", s=SOURCES)
 _M = _matches("tionthe")
 ORACLE_SQL["t_flat_search"] = _with(_PAGES, _M) + "SELECT book, volume, first_page, 0 AS errors FROM matches_distinct JOIN books USING (book) ORDER BY sort_order, volume, first_page LIMIT 8"
-ORACLE_SQL["t_grouped_form"] = _with(_PAGES, _M) + "SELECT book, count(*) AS hits, CASE WHEN (SELECT bool_or(truncated) FROM matches_hits) THEN 'volume_chaptered' ELSE 'grouped' END AS form FROM matches_distinct GROUP BY book"
+ORACLE_SQL["t_grouped_form"] = (
+    _with(_PAGES, _M, _SECTIONS)
+    + """, groups AS (
+           SELECT g.*, sort_order FROM (
+             SELECT h.book, h.volume, h.source_file, coalesce(s.section, '（未识别篇章）') AS section, count(*) AS hits, arg_min(h.first_page, h.ord) AS first_page,
+                    arg_min(CASE WHEN s.printed_page IS NOT NULL AND s.printed_page NOT LIKE 'pre-%' THEN 0 ELSE 1 END, h.ord) AS front
+             FROM matches_distinct h JOIN sections s ON s.source_file = h.source_file AND s.pdf_page = h.first_page GROUP BY ALL) g JOIN books USING (book)
+           ORDER BY sort_order, volume, front, first_page, hits DESC, section LIMIT 30)
+         SELECT book, volume, source_file, section, hits, first_page, 'exact' AS match_type, 0 AS errors,
+                CASE WHEN (SELECT bool_or(truncated) FROM matches_hits) THEN 'volume_chaptered' ELSE 'grouped' END AS form
+         FROM groups WHERE book = 'en' ORDER BY volume, front, first_page, hits DESC, section LIMIT 20"""
+)
 ORACLE_SQL["t_two_tier"] = _with(_PAGES) + """SELECT source_file, pdf_page FROM (SELECT source_file, pdf_page, CAST(contains(norm, 'tion') AS INT) + CAST(contains(norm, 'thereof') AS INT) + CAST(contains(norm, 'onand') AS INT) + CAST(contains(norm, 'edble') AS INT) AS n FROM corpus)
   WHERE n > 0 ORDER BY n DESC, source_file, pdf_page LIMIT 20"""

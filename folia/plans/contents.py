@@ -1,4 +1,4 @@
-"""Queries of contents over the documents table, and their SQL.
+"""Queries of contents, rules and places over the documents table, and their SQL.
 
 Each language and source is a volume; every third page begins an entry. The contents page, marks and heads are
 written from these, so the entries that must be found are known.
@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.operators import contents
+from folia.functions.sql import register_functions
+from folia.operators import contents, corrections
+from folia.plans.search import _M, _PAGES, QUERY, _with
+from folia.plans.search import _pages as normal_pages
 from folia.plans.shared import named, rows
 
 #: Pages of a volume in order, the letters of their number, and a name for each.
@@ -76,3 +79,43 @@ ORACLE_SQL: dict[str, str] = {
     "j_title_pairs": f"""{_BODY}
     SELECT source_file, n AS title_no, 10000000 - n AS mark_no FROM p WHERE n % 3 = 1 AND n % 4 <> 0""",
 }
+
+# -- rules and places --------------------------------------------------------------------------------------
+
+#: A rule for each page from its own first letters; some change nothing, some stand twice, some are found nowhere.
+ACCEPTED = """
+SELECT CAST(n * 10 + k AS INT) AS accepted_id, source_file AS volume, CAST(n AS INT) AS pdf_page,
+       CASE WHEN k = 3 THEN 'zqxzqx' ELSE substr(letters_of, 1, 3 + k % 2) END AS find,
+       CASE WHEN n % 7 = 0 THEN substr(letters_of, 1, 3 + k % 2) WHEN k = 3 THEN 'zqxzqy' ELSE concat(substr(letters_of, 2, 2 + k % 2), 'Q') END AS replace
+FROM (SELECT source_file, n, REGEXP AS letters_of FROM p0) AS l CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS k
+WHERE length(letters_of) > 8
+"""
+
+
+def rules_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each accepted rule, over the letters of each page."""
+    body = rows(spark, sf_dir, PAGES)
+    accepted = spark.sql(ACCEPTED.replace("REGEXP", "regexp_replace(coalesce(text, ''), '[^A-Za-z]', '')").replace("p0", "{p0}"), p0=body)
+    old = accepted.where("accepted_id % 40 = 10").select(F.col("accepted_id").alias("rule_id"), "volume", "pdf_page", "find", "replace", F.lit(1).alias("expected"), F.lit(True).alias("projected"))
+    pages = body.select(F.col("source_file").alias("volume"), F.col("n").cast("int").alias("pdf_page"), F.col("text").alias("raw_text"))
+    return corrections.merged_rules(old, accepted, pages, member="A-Za-z")
+
+
+def located_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by the table function."""
+    register_functions(spark)
+    return spark.sql("SELECT source_file, start, first_page, last_page FROM locate(TABLE({pages}), :q)", pages=normal_pages(spark, sf_dir).select("source_file", "pdf_page", "norm"), args={"q": QUERY})
+
+
+QUERIES |= {"p_rules_merged": rules_merged, "t_locate_sql": located_from_sql}
+ORACLE_SQL |= {
+    "p_rules_merged": f"""{_BODY}, p0 AS (SELECT * FROM p), c AS ({ACCEPTED.replace("REGEXP", "regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')")}),
+      held AS (SELECT c.*, regexp_replace(coalesce(p.text, ''), '[^A-Za-z]', '', 'g') AS seen, find = replace OR length(find) <> length(replace) AS bad,
+                      EXISTS (SELECT 1 FROM c o WHERE o.accepted_id % 40 = 10 AND o.volume = c.volume AND o.pdf_page = c.pdf_page AND o.find = c.find AND length(o.find) = length(o.replace)) AS known
+               FROM c JOIN p ON p.source_file = c.volume AND p.n = c.pdf_page),
+      timed AS (SELECT *, (length(seen) - length(replace(seen, find, ''))) // length(find) AS times FROM held),
+      firsts AS (SELECT *, min(CASE WHEN NOT bad AND NOT known AND times > 0 THEN accepted_id END) OVER (PARTITION BY volume, pdf_page, find) AS f FROM timed),
+      stated AS (SELECT *, CASE WHEN bad THEN 'degenerate' WHEN known OR f < accepted_id THEN 'duplicate' WHEN times = 0 THEN 'unmatched' ELSE 'added' END AS state FROM firsts)
+    SELECT accepted_id, volume, pdf_page, find, replace, state, CASE WHEN state = 'added' THEN CAST(times AS INT) END AS expected FROM stated""",
+    "t_locate_sql": _with(_PAGES, _M) + "SELECT source_file, CAST(start AS BIGINT) AS start, first_page, last_page FROM matches_spans",
+}

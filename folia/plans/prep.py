@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.operators import corpus, feeds, lookup, prep
+from folia.operators import corpus, corrections, feeds, lookup, prep
 from folia.plans.search import _PAGES, _STRIP, _contents, _with
 from folia.plans.search import _pages as _normal_pages
 from folia.plans.shared import rows, with_inputs
@@ -28,7 +28,7 @@ def p_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(1, None, None, "the ", "THE ", 0), (2, 3, None, "and", "AND", 0), (3, 1, 2, "of", "OF", 1), (4, 2, 2, "in", "IN", 99)],
         "rule_id int, volume int, pdf_page int, find string, replace string, expected int",
     )
-    return prep.apply_corrections(_pages(spark, sf_dir), rules).select("source_file", "pdf_page", F.sha2("corrected", 256).alias("sha"), "applied", "ambiguous")
+    return corrections.apply_corrections(_pages(spark, sf_dir), rules).select("source_file", "pdf_page", F.sha2("corrected", 256).alias("sha"), "applied", "ambiguous")
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:

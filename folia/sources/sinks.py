@@ -34,10 +34,3 @@ def checksums(pages: DataFrame) -> DataFrame:
     """Rows of each book and a checksum that does not depend on their order."""
     row = F.xxhash64("source_file", "pdf_page", "raw_text", "printed_page")
     return pages.groupBy("book").agg(F.count("*").alias("rows"), F.bit_xor(row).alias("checksum"))
-
-
-def register_functions(spark: SparkSession) -> None:
-    """The text functions for use in SQL."""
-    from folia.functions.text import nfkc
-
-    spark.udf.register("nfkc", nfkc)
