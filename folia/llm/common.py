@@ -11,12 +11,15 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of a batch that a Python task holds as Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of text that it holds at a time, where one text isn't longer.
+SLICE_BYTES = 4 << 20
 #: Bytes of text that are hashed together.
 PIECE = 1 << 20
 
@@ -79,10 +82,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Small pieces of each batch with the UTF-8 bytes of a text column (null: empty)."""
+    """Small pieces of each batch with the UTF-8 bytes of a text column (null: empty): so many rows, or fewer of long texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            piece = batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            end = max(at + 1, min(at + rows, full))
+            piece, at = batch.slice(at, end - at), end
             yield piece, [b or b"" for b in piece.column(column).cast(pa.binary()).to_pylist()]
 
 

@@ -250,8 +250,8 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            rows = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)
-            differ = np.array([apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in rows], np.int64)
+            rows = zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True)
+            differ = np.array([apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in rows], np.int64)
             keep = pa.array(differ * (100 + percent) <= n * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("center", "node")], ["center", "node"])
 
@@ -264,8 +264,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist(), strict=True)
-            keep = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in rows], pa.bool_())
+            # sets are read where the batch holds them
+            rows = zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)
+            keep = pa.array([linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("center").filter(keep), batch.column("node").filter(keep)], ["src", "dst"])
 
     both = pairs.join(sets.toDF("node", "hashes_b"), "node").join(sets.toDF("center", "hashes_a"), "center")
