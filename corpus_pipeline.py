@@ -6,6 +6,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -22,6 +23,21 @@ from folia.llm.privacy import sanitise
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Rows of whole texts that travel between Spark and Python at a time.
+BATCH_ROWS = 1000
+
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(step: Step) -> Step:
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language that the labelled ones teach; those without letters go."""
     return keep_identified(docs)
@@ -47,12 +63,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, TOKENIZER).select("doc_id", "lang", "source", "ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("near copies", near_copies),
-    ("personal data", personal_data),
-    ("mixture", mixture),
-    ("tokens", tokens),
+STAGES: list[tuple[str, Step]] = [
+    ("language", _in_small_batches(language)),
+    ("near copies", _in_small_batches(near_copies)),
+    ("personal data", _in_small_batches(personal_data)),
+    ("mixture", _in_small_batches(mixture)),
+    ("tokens", _in_small_batches(tokens)),
 ]
 
 #: Mixture inference and byte-pair merges are beyond SQL; tests hold the stages against brute force.
