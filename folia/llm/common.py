@@ -201,7 +201,8 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows of counts (n) over the least threshold that at most ``most`` rows exceed, ties left out together.
 
     The threshold comes from a histogram over powers of 1.02, so no task and no driver sorts or holds
-    more rows than are wanted.
+    more rows than are wanted. Where already the most frequent rows are more than that, as in small tables whose
+    words are all as rare, the first of them by number and then by the other columns are taken.
     """
     step = F.floor(F.log("n") / F.log(F.lit(1.02)))
     sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
@@ -211,7 +212,10 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = at
-    return counts.where(step >= F.lit(least)) if least is not None else counts.limit(0)
+    if least is not None:
+        return counts.where(step >= F.lit(least))
+    top = counts.where(step == F.lit(sizes[0][0])) if sizes else counts
+    return top.orderBy(F.desc("n"), *(c for c in counts.columns if c != "n")).limit(most)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from folia.llm import bpe, capfilters, classlm, fingerprints, jaccard, languages, mixing, privacy, toolcalls, urls
-from folia.llm.common import connected_components
+from folia.llm import bpe, capfilters, classlm, common, fingerprints, jaccard, languages, mixing, privacy, toolcalls, urls
+from folia.llm.common import connected_components, most_frequent
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -609,6 +611,36 @@ def test_repeated_ids_null_ids_and_kept_columns(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_frequent_rows_where_all_are_as_rare(spark):
+    counts = spark.createDataFrame([(f"w{i:02}", 1) for i in range(50)], "word string, n long")
+    assert sorted(r.word for r in most_frequent(counts, 40).collect()) == [f"w{i:02}" for i in range(40)]
+    assert most_frequent(counts.limit(0), 40).count() == 0
+    more = counts.unionByName(spark.createDataFrame([("x", 9), ("y", 7)], counts.schema))
+    assert {r.word for r in most_frequent(more, 40).collect()} == {"x", "y"}
+
+
+def test_slices_are_bounded_by_rows_and_bytes(monkeypatch):
+    texts = [None, "", "a" * 50, "b" * 5, "c" * 200, "d", "é" * 30, *["e"] * 9]
+    monkeypatch.setattr(common, "SLICE_BYTES", 60)
+    pieces = list(common.text_slices([pa.RecordBatch.from_pydict({"text": texts})], rows=4))
+    assert [t for _, held in pieces for t in held] == [(t or "").encode() for t in texts]
+    assert all(p.num_rows == len(held) <= 4 and (len(held) == 1 or sum(map(len, held)) <= 60) for p, held in pieces)
+
+
+def test_a_scope_frees_what_is_not_kept(spark):
+    exists = lambda df: bool(spark.read.parquet(df.staged_at).columns)
+    with common.scope() as outer:
+        with common.scope() as inner:
+            a, b = common.stage(spark.range(2), "scope-a"), inner(common.stage(spark.range(3), "scope-b"))
+        assert exists(b)
+        with pytest.raises(AnalysisException):
+            exists(a)
+        c = outer(common.stage(spark.range(4), "scope-c"))
+    assert c.count() == 4
+    with pytest.raises(AnalysisException):
+        exists(b)
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(60))
     random.Random(1).shuffle(order)
