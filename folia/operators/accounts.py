@@ -50,6 +50,24 @@ def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
+def update_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """The rows with new values where a condition is met; an unknown one leaves its row. Values see the row as it was."""
+    met = F.coalesce(condition, F.lit(False))
+    return rows.withColumns({c: F.when(met, v).otherwise(F.col(c)).cast(rows.schema[c].dataType) for c, v in values.items()})
+
+
+def update_from(rows: DataFrame, changes: DataFrame, keys: list[str], order: list[Column], values: list[str], condition: Column | None = None) -> DataFrame:
+    """The rows after the first change of their keys in the given order; keys that no row has change nothing.
+
+    A null in a change leaves the value that was. A condition may look at the row (as ``old``) and the change (as ``new``).
+    """
+    first = latest(changes, keys, order).select(*keys, *values).alias("new")
+    joined = rows.alias("old").join(first, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys], "left")
+    met = F.col(f"new.{keys[0]}").isNotNull() if condition is None else F.coalesce(condition, F.lit(False))
+    kept = {c: F.when(met & F.col(f"new.{c}").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in values}
+    return joined.select(*[kept.get(c, F.col(f"old.{c}")).alias(c) for c in rows.columns])
+
+
 def page(rows: DataFrame, order: list[Column], limit: int, conditions: dict[str, object] | None = None, members: dict[str, list[object]] | None = None) -> DataFrame:
     """The first rows in an order, where columns equal the conditions given and are among the members given.
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import BooleanType, StringType, StructType
 
 from folia.functions.fields import dictionary_norm
 from folia.functions.text import WHITE, let, nfkc, quoted, trimmed
+from folia.session import written
 
 # Pages an entry may take, lines a heading may take, the longest title, the tail of the page before.
 MOST_PAGES, HEADING_LINES, MOST_TITLE, TAIL = 8, 4, 80, 12
@@ -302,11 +303,12 @@ def build_dictionary(index: DataFrame, pages: DataFrame, name: str, cited: str =
     index and pages: source_file, page (printed), text, null texts being empty. An entry goes from its title to the next
     title of its pages, over eight pages after its own at most. Entries whose title isn't found begin at their page's first
     paragraph; without any line they are empty. issues are sorted. Slugs are numbered from 2 where title and page agree.
+    Lines, entries, headings and starts are written once and read where they are needed.
     """
-    lines = body_lines(pages.where(F.col("page").between(2, last_page)), name)
-    entries = index_entries(index, name, last_page, notes)
-    found = headings(entries, lines)
-    starts, own = _starts(entries, lines, found), ["source_file", "entry"]
+    lines = written(body_lines(pages.where(F.col("page").between(2, last_page)), name))
+    entries = written(index_entries(index, name, last_page, notes))
+    found = written(headings(entries, lines))
+    starts, own = written(_starts(entries, lines, found)), ["source_file", "entry"]
     spans = starts.withColumn("page", F.explode(F.sequence(F.col("from_page"), F.col("start_page") + MOST_PAGES)))
     heads = found.where("page = start_page AND (kind = 0 AND foreign OR kind = 1)").select("source_file", "page", F.col("pos").alias("head"), F.col("title").alias("other")).distinct()
     nexts = spans.where("page >= start_page").join(heads, ["source_file", "page"]).where("head > starts AND other != title").groupBy(*own).agg(F.min("head").alias("next"))

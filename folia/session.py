@@ -63,3 +63,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
         _stored[key] = path
     return spark.read.schema(df.schema).parquet(_stored[key])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for what a query reads several times; it stays until the folder is cleared."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

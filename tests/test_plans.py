@@ -11,9 +11,10 @@ from folia.operators import planner
 from folia.plans import accounts as account_plans
 from folia.plans import dictionary as dictionary_plans
 from folia.plans import fields as field_plans
+from folia.plans import stores as store_plans
 
 FOLDER = "/root/testdata/sf0.001"
-PLANS = {name: (plan.QUERIES[name], plan.ORACLE_SQL[name]) for plan in (field_plans, account_plans, dictionary_plans) for name in plan.ORACLE_SQL}
+PLANS = {name: (plan.QUERIES[name], plan.ORACLE_SQL[name]) for plan in (field_plans, account_plans, dictionary_plans, store_plans) for name in plan.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
