@@ -1,7 +1,8 @@
-"""Queries of updates and ordered hashes over the test tables, and their SQL."""
+"""Queries of updates, ordered hashes and deliveries over the test tables, and their SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from folia.operators import accounts
 from folia.plans.shared import rows, with_inputs
+from folia.session import shared_dir
 from folia.sources import sinks
+from folia.streaming import delivery
 
 ORDERS = "SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, CAST(NULL AS STRING) AS note FROM {orders}"
 #: What items say of their orders: a status for some, a day for others.
@@ -36,7 +39,23 @@ def ordered_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.ordered_hashes(pages)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"x_update_where": update_where, "x_update_from": update_from, "k_ordered_hashes": ordered_hashes}
+def _refuse(message_id: str, digest_id: str, address: str) -> str | None:
+    return "refused" if address.startswith("user3") else None
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's digest to each user of that day, as a stream that is replayed from its start: nothing is sent twice."""
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    table, files = spark.read.parquet(f"{sf_dir}/events.parquet").schema, f"{sf_dir}/events*.parquet"
+    for run in ("first", "again"):
+        events = spark.readStream.schema(table).option("maxFilesPerTrigger", 1).parquet(files)
+        mails = events.select(F.date_format("ts", "yyyy-MM-dd").alias("digest_id"), F.expr("if(user_id % 7 = 0, ' ', concat(' User', user_id, '@Example.org'))").alias("email"))
+        query = mails.writeStream.foreachBatch(delivery.deliver(f"{base}/ledger", run, _refuse)).option("checkpointLocation", f"{base}/{run}").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return delivery.deliveries(delivery.ledger(spark, f"{base}/ledger"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"x_update_where": update_where, "x_update_from": update_from, "k_ordered_hashes": ordered_hashes, "r_deliveries": delivered}
 
 ORACLE_SQL: dict[str, str] = {
     "x_update_where": with_inputs(
@@ -47,4 +66,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM o LEFT JOIN (SELECT f.*, coalesce(f.day IS NULL OR f.day > o2.day, FALSE) AS m
                           FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY nr DESC, status ASC NULLS LAST, day ASC NULLS LAST) = 1) f
                           JOIN o o2 ON o2.order_id = f.order_id) n ON n.order_id = o.order_id""", o=ORDERS, c=CHANGES),
+    "r_deliveries": """SELECT digest_id, email, CASE WHEN email LIKE 'user3%' THEN 'failed' ELSE 'sent' END AS status,
+        CASE WHEN email LIKE 'user3%' THEN 'refused' END AS error, CASE WHEN email LIKE 'user3%' THEN 0 ELSE 1 END AS times_sent
+      FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS digest_id, 'user' || user_id || '@example.org' AS email FROM events WHERE user_id % 7 <> 0)""",
 }
