@@ -44,7 +44,8 @@ def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = rows(spark, sf_dir, PAGES)
     text = F.expr(f"concat(n, ' {NAME}\\n', if(n % 3 = 1, concat(title, ' (', english, ')\\n'), ''), '文', said, '。\\n　　又', said, '马克恩 。')")
     pages = body.select("source_file", F.col("n").alias("page"), text.alias("text"))
-    return dictionary.build_dictionary(_index(body), pages, NAME, CITED, 3002, ("【说明】",))
+    entries = dictionary.build_dictionary(_index(body), pages, NAME, CITED, 3002, ("【说明】",))
+    return entries.withColumn("issues", F.array_join("issues", ", "))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"b_dictionary_index": dictionary_index, "b_dictionary_entries": dictionary_entries}
@@ -59,6 +60,6 @@ ORACLE_SQL: dict[str, str] = {
       FROM e JOIN p ON p.source_file = e.source_file AND p.n BETWEEN e.n AND e.n + 2 GROUP BY e.source_file, e.n)
     SELECT source_file, sort_order, title || '-' || n AS slug, title, title AS index_title, title AS norm_title, 'L' AS letter, english, content, n AS start_page, end_page,
            '{CITED}第 ' || CASE WHEN n = end_page THEN CAST(n AS VARCHAR) ELSE n || '-' || end_page END || ' 页。' AS citation, CAST(0.78 AS DOUBLE) AS confidence, FALSE AS needs_review,
-           CASE WHEN next IS NULL THEN ['auto_fix:马克恩->马克思', 'next_heading_not_found'] ELSE ['auto_fix:马克恩->马克思'] END AS issues
+           'auto_fix:马克恩->马克思' || CASE WHEN next IS NULL THEN ', next_heading_not_found' ELSE '' END AS issues
     FROM e JOIN held USING (source_file, n)""",
 }

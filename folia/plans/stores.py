@@ -67,6 +67,6 @@ ORACLE_SQL: dict[str, str] = {
                           FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY nr DESC, status ASC NULLS LAST, day ASC NULLS LAST) = 1) f
                           JOIN o o2 ON o2.order_id = f.order_id) n ON n.order_id = o.order_id""", o=ORDERS, c=CHANGES),
     "r_deliveries": """SELECT digest_id, email, CASE WHEN email LIKE 'user3%' THEN 'failed' ELSE 'sent' END AS status,
-        CASE WHEN email LIKE 'user3%' THEN 'refused' END AS error, CASE WHEN email LIKE 'user3%' THEN 0 ELSE 1 END AS times_sent
+        CASE WHEN email LIKE 'user3%' THEN 'refused' END AS error, CAST(CASE WHEN email LIKE 'user3%' THEN 0 ELSE 1 END AS BIGINT) AS times_sent
       FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS digest_id, 'user' || user_id || '@example.org' AS email FROM events WHERE user_id % 7 <> 0)""",
 }
