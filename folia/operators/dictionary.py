@@ -1,7 +1,8 @@
 """A dictionary from its pages: the index of its headings, where they stand, their texts, glosses and what needs review.
 
 Pages have source_file (a dictionary), page (the printed number) and text. Headings meet lines on a page and a key that
-both must share (a first character, a name after a dot, the characters before a bracket), never by trying all of them.
+both must share (a first character, a name after a dot, the characters before a bracket), never by trying all of them. All
+sides grow with the pages, so joins are merge joins: no table is sent to every executor for being small when compressed.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def _foreign(text: Column) -> Column:
 
 def _at_line_start(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """Titles at the start of a line, over up to four lines; a long one may have a wrong character, but at its ends."""
-    rows = wanted.join(lines.withColumn("key", F.left("ahead_core", F.lit(1))), ["source_file", "page", "key"])
+    rows = wanted.join(lines.withColumn("key", F.left("ahead_core", F.lit(1))).hint("merge"), ["source_file", "page", "key"])
     n, seen = F.length("core"), F.left("ahead_core", F.length("core"))
     han = f"^[{HAN}]$"
     differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(seen, i, F.lit(1)) != F.substring("core", i, F.lit(1)))
@@ -228,7 +229,7 @@ def _at_line_start(wanted: DataFrame, lines: DataFrame) -> DataFrame:
 def _persons(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """Family names after the dot of a whole name with a foreign name in brackets, in the line or the next."""
     rows = lines.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("compact", F.lit(rf"[·・•]([{HAN}]{{2,8}})(?=[(（]|$)"), 1))))
-    rows = wanted.withColumn("key", F.col("title")).join(rows, ["source_file", "page", "key"])
+    rows = wanted.withColumn("key", F.col("title")).join(rows.hint("merge"), ["source_file", "page", "key"])
     following = F.coalesce(F.get(F.split("ahead", "\n"), F.lit(1)), F.lit(""))
 
     def named(dot: str) -> Column:
@@ -245,7 +246,7 @@ def _within_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """Titles of three characters and more within the first of a line, before a bracket."""
     plain = F.regexp_replace("title", f"(?U){WHITE}+", "")
     rows = lines.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("compact", F.lit("(?<=(.{3}))[(（]"), 1))))
-    rows = wanted.withColumn("plain", plain).where(F.length("plain") >= 3).withColumn("key", F.right("plain", F.lit(3))).join(rows, ["source_file", "page", "key"])
+    rows = wanted.withColumn("plain", plain).where(F.length("plain") >= 3).withColumn("key", F.right("plain", F.lit(3))).join(rows.hint("merge"), ["source_file", "page", "key"])
     at = F.instr("compact", F.col("plain"))
     size = at - 1 + F.length("plain")
     rows = rows.where(at.between(2, 25) & F.substring("compact", size + 1, F.lit(1)).isin("(", "（"))
@@ -272,12 +273,12 @@ def _starts(entries: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame
     chosen = first.groupBy(*own).agg(best(F.col("m.page") >= F.col("m.start_page")).alias("here"), best(F.col("m.page") < F.col("m.start_page")).alias("before"))
     late = F.col("before.nth") + F.col("before.starts") - F.col("before.pos") >= F.col("before.held") - TAIL
     chosen = chosen.select(*own, F.coalesce("here", F.when(late & (F.col("before.start_page") > 2), F.col("before"))).alias("m")).where("m IS NOT NULL")
-    rows = entries.withColumnRenamed("sort_order", "entry").join(chosen, own, "left")
+    rows = entries.withColumnRenamed("sort_order", "entry").join(chosen.hint("merge"), own, "left")
     # of entries without a title only those lines are looked at that their pages hold
     lost = rows.where("m IS NULL").select(*own, F.explode(F.sequence(F.col("start_page"), F.col("start_page") + MOST_PAGES)).alias("page"))
     heads = lines.groupBy("source_file", "page").agg(F.min("pos").alias("first"), F.min(F.when(F.col("para"), F.col("pos"))).alias("para"))
-    lost = lost.join(heads, ["source_file", "page"]).groupBy(*own).agg(F.coalesce(F.min("para"), F.min("first")).alias("lost"))
-    rows = rows.join(lost, own, "left")
+    lost = lost.join(heads.hint("merge"), ["source_file", "page"]).groupBy(*own).agg(F.coalesce(F.min("para"), F.min("first")).alias("lost"))
+    rows = rows.join(lost.hint("merge"), own, "left")
     return rows.select(*own, "title", "letter", "start_page", F.coalesce("m.starts", "lost").alias("starts"), F.coalesce("m.page", "start_page").alias("from_page"), F.nullif("m.rest", F.lit("")).alias("rest"), F.col("m").isNotNull().alias("found"), F.coalesce("m.marked", F.lit(False)).alias("marked"))
 
 
@@ -311,12 +312,12 @@ def build_dictionary(index: DataFrame, pages: DataFrame, name: str, cited: str =
     starts, own = written(_starts(entries, lines, found)), ["source_file", "entry"]
     spans = starts.withColumn("page", F.explode(F.sequence(F.col("from_page"), F.col("start_page") + MOST_PAGES)))
     heads = found.where("page = start_page AND (kind = 0 AND foreign OR kind = 1)").select("source_file", "page", F.col("pos").alias("head"), F.col("title").alias("other")).distinct()
-    nexts = spans.where("page >= start_page").join(heads, ["source_file", "page"]).where("head > starts AND other != title").groupBy(*own).agg(F.min("head").alias("next"))
-    held = spans.join(nexts, own, "left").join(lines.select("source_file", "page", "pos", "text", "para"), ["source_file", "page"]).where("pos >= starts AND (next IS NULL OR pos < next)")
+    nexts = spans.where("page >= start_page").join(heads.hint("merge"), ["source_file", "page"]).where("head > starts AND other != title").groupBy(*own).agg(F.min("head").alias("next"))
+    held = spans.join(nexts.hint("merge"), own, "left").join(lines.select("source_file", "page", "pos", "text", "para").hint("merge"), ["source_file", "page"]).where("pos >= starts AND (next IS NULL OR pos < next)")
     text = F.when((F.col("pos") == F.col("starts")) & F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("text"))
     line = F.struct("pos", text.alias("text"), (F.col("para") | (F.col("pos") == F.col("starts")) & F.col("found")).alias("para"))
     contents = held.groupBy(*own).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("page").alias("end_page"))
-    rows = starts.join(nexts, own, "left").join(contents, own, "left").withColumn("end_page", F.coalesce("end_page", "start_page"))
+    rows = starts.join(nexts.hint("merge"), own, "left").join(contents.hint("merge"), own, "left").withColumn("end_page", F.coalesce("end_page", "start_page"))
     rows = rows.withColumn("mended", polished(_joined(F.coalesce("lines", F.array().cast("array<struct<pos:int,text:string,para:boolean>>")))))
     rows = rows.withColumn("named", gloss(F.col("mended.text")))
     given = F.when(F.col("marked") & ~F.startswith("title", F.lit("《")), F.concat(F.lit("《"), "title", F.lit("》"))).otherwise(F.col("title"))
