@@ -41,7 +41,7 @@ def anchors(pages: DataFrame, contains: str = "", most: int = PER_PAGE) -> DataF
 
 def find_date(text: Column) -> Column:
     """yyyy-mm-dd of the first full date in a text, else of the first month, else of the first year."""
-    full, month, year = r"((?:19|20)\d{2})[-/.](\d{1,2})[-/.](\d{1,2})", r"((?:19|20)\d{2})[-/.](\d{1,2})", r"((?:19|20)\d{2})"
+    full, month, year = r"((?:19|20)\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})", r"((?:19|20)\d{2})[-/.年](\d{1,2})", r"((?:19|20)\d{2})"
     part = lambda p, i: F.lpad(F.regexp_extract(text, p, i), 2, "0")
     return (
         F.when(text.rlike(full), F.concat(F.regexp_extract(text, full, 1), F.lit("-"), part(full, 2), F.lit("-"), part(full, 3)))
