@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.session import written
+
 #: What is compared: Chinese characters.
 HAN = "[一-鿿]"
 #: Characters of an anchor; one in how many of a text's grams can be one; characters of a piece, of a part of a run, and of a stretch.
-GRAM, DENSITY, PIECE, PART, STRETCH = 12, 16, 1024, 4096, 500
+GRAM, DENSITY, PIECE, PART, STRETCH = 12, 16, 1024, 4096, 4096
 #: Longest substitution, and characters about it that are told.
 LONGEST, ABOUT = 2, 3
 _EDGE = LONGEST + ABOUT
@@ -34,11 +37,29 @@ def _grams(texts: DataFrame, at: str) -> DataFrame:
     """Chosen grams that stand once in their volume, by hash, and where. A hash that lies costs an anchor, no result: texts are compared."""
     # a place in a text is found by walking there, so long texts are cut first
     cut = F.expr(f"if(length(text) < {GRAM}, array(), transform(sequence(1, length(text) - {GRAM - 1}, {STRETCH}), p -> struct(at + p - 1 AS at, substring(text, p, {STRETCH + GRAM - 1}) AS text)))")
-    texts = texts.select("volume", F.explode(cut).alias("s")).select("volume", "s.at", "s.text")
-    places = F.expr(f"if(length(text) < {GRAM}, array(), transform(sequence(1, length(text) - {GRAM - 1}), p -> struct(at + p - 1 AS at, xxhash64(substring(text, p, {GRAM})) AS gram)))")
-    chosen = F.filter(places, lambda x: F.pmod(x["gram"], F.lit(DENSITY)) == 0)
-    rows = texts.select("volume", F.explode(chosen).alias("g")).select("volume", "g.gram", "g.at")
-    return rows.groupBy("volume", "gram").agg(F.min("at").alias(at), F.count("*").alias("n")).where("n = 1").drop("n")
+    stretches = texts.select("volume", F.explode(cut).alias("s")).select("volume", "s.at", "s.text")
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = [(at, h, np.flatnonzero(h % np.uint64(DENSITY) == 0)) for at, h in ((at, _hashes(text)) for at, text in zip(frame["at"], frame["text"], strict=True))]
+            if kept:
+                grams, places = np.concatenate([h[c] for _, h, c in kept]).view(np.int64), np.concatenate([at + c for at, _, c in kept])
+                yield pd.DataFrame({"volume": np.repeat(frame["volume"].to_numpy(), [len(c) for _, _, c in kept]), "gram": grams, "at": places})
+
+    found = stretches.mapInPandas(f, f"volume {texts.schema['volume'].dataType.simpleString()}, gram long, at long")
+    return found.groupBy("volume", "gram").agg(F.min("at").alias(at), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+def _hashes(text: str) -> np.ndarray:
+    """A hash of each gram of a text: a polynomial over its characters, mixed."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = len(codes) - GRAM + 1
+    total = np.zeros(size, np.uint64)
+    for k in range(GRAM):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + size]
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ total >> np.uint64(29)
 
 
 def runs(ocr: DataFrame, authority: DataFrame) -> DataFrame:
@@ -152,10 +173,11 @@ def substitutions(ocr_units: DataFrame, authority_units: DataFrame, member: str
     Both tables have volume, unit (their order, different in a volume) and text, of which characters of a class count.
     ``at`` is the first such place in the volume; find and replace have three characters about it. A change that
     a unit tells twice with the same characters about it is told once. Volumes without a common unique gram give
-    nothing; null and empty texts hold no place; moved units count as left out and put in.
+    nothing; null and empty texts hold no place; moved units count as left out and put in. Placed texts, the chain and
+    what is to be compared are written once and read where they are needed.
     """
-    ocr, authority = placed(ocr_units, member), placed(authority_units, member)
-    wanted = work(chained(runs(ocr, authority)), ocr, authority).withColumn("id", F.xxhash64("a", "b", "c", "d", "own_a", "own_b"))
+    ocr, authority = written(placed(ocr_units, member)), written(placed(authority_units, member))
+    wanted = written(work(written(chained(runs(ocr, authority))), ocr, authority)).withColumn("id", F.xxhash64("a", "b", "c", "d", "own_a", "own_b"))
     both = _cut_out(_cut_out(wanted, ocr, "a", "b", "one"), authority, "c", "d", "other")
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
