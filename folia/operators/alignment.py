@@ -173,7 +173,8 @@ def substitutions(ocr_units: DataFrame, authority_units: DataFrame, member: str
     Both tables have volume, unit (their order, different in a volume) and text, of which characters of a class count.
     ``at`` is the first such place in the volume; find and replace have three characters about it. A change that
     a unit tells twice with the same characters about it is told once. Volumes without a common unique gram give
-    nothing; null and empty texts hold no place; moved units count as left out and put in. Placed texts, the chain and
+    nothing; null and empty texts hold no place; moved units count as left out and put in, and of
+    units that passed each other those with more chosen anchors stay. Placed texts, the chain and
     what is to be compared are written once and read where they are needed.
     """
     ocr, authority = written(placed(ocr_units, member)), written(placed(authority_units, member))
