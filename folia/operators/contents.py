@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from folia.functions.fields import carries_on, clean_title, contents_line, is_noise, is_numeric_title, page_token, ratio
 from folia.functions.text import normalize, trimmed
+from folia.functions.windows import following_known
+from folia.session import written
 
 # The word that heads contents, pages that are looked through, pages that follow the first, lines with a
 # page number on the first and on others, and the marks that are good enough: how many, and which share of all.
@@ -109,7 +111,8 @@ def chosen_contents(entries: DataFrame, pages: DataFrame, marks: DataFrame) -> D
     marks, then entries parsed from contents pages, then its marks after all.
     """
     clean = marks.select("source_file", "mark_no", clean_title(F.col("title")).alias("title"), "pdf_page", F.greatest(F.col("level"), F.lit(1)).alias("level")).where("title <> '' AND pdf_page >= 1")
-    clean = clean.groupBy("source_file", "level", "pdf_page", "title").agg(F.min("mark_no").alias("mark_no"))
+    # written, as Spark can't plan functions in Python over groups whose keys are such functions themselves
+    clean = written(clean.groupBy("source_file", "level", "pdf_page", "title").agg(F.min("mark_no").alias("mark_no")))
     titles = clean.withColumn("titled", ~is_numeric_title(F.col("title")))
     good = titles.groupBy("source_file").agg(F.sum(F.col("titled").cast("int")).alias("n"), F.count("*").alias("every"))
     good = good.where(f"n >= {GOOD_MARKS} AND n >= {GOOD_SHARE} * every").select("source_file")
@@ -263,7 +266,7 @@ def located_entries(entries: DataFrame, pages: DataFrame) -> DataFrame:
     known = titles.join(found, ["source_file", "entry_no"], "left")
     order = Window.partitionBy("source_file").orderBy("entry_no")
     known = known.withColumn("low", F.last("page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    known = known.withColumn("high", F.first("page", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    known = known.withColumn("high", following_known("page", "source_file", "entry_no"))
     missed = known.where(f"page IS NULL AND length(whole) >= {LEAST_LIKE}").select("source_file", "entry_no", "whole", "low", "high")
     near = missed.join(heads, (missed["source_file"] == heads["source_file"]) & ((heads["page"] > missed["low"]) | missed["low"].isNull()) & ((heads["page"] < missed["high"]) | missed["high"].isNull()))
     near = near.select(missed["source_file"], "entry_no", "page", "whole", F.left("head", F.length("whole") + 10).alias("top"))
@@ -297,7 +300,7 @@ def placed_contents(entries: DataFrame, pages: DataFrame, synthesise: bool = Tru
         guess = F.col("page") + F.col("offset")
         rows = rows.withColumn("pdf_page", F.coalesce("pdf_page", F.when((F.col("kind") == "body") & (guess > F.col("ends_at")) & (guess <= F.col("pages")), guess)))
     order = Window.partitionBy("source_file").orderBy("entry_no")
-    following = F.first("pdf_page", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    following = following_known("pdf_page", "source_file", "entry_no")
     rows = rows.withColumn("pdf_page", F.when(F.col("kind") == "section", following).otherwise(F.col("pdf_page"))).where("pdf_page IS NOT NULL")
     highest = F.max("pdf_page").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("highest", highest).where("highest IS NULL OR pdf_page >= highest").select("source_file", "entry_no", "kind", "title", "pdf_page")
@@ -373,7 +376,7 @@ def merged_contents(detected: DataFrame, printed: DataFrame, pages: DataFrame, l
     known = printed.join(pairs, ["source_file", "title_no"], "left").join(det.select("source_file", "mark_no", F.col("pdf_page").cast("long").alias("page")), ["source_file", "mark_no"], "left")
     order = Window.partitionBy("source_file").orderBy("title_no")
     known = known.withColumn("low", F.last("page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    known = known.withColumn("high", F.first("page", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    known = known.withColumn("high", following_known("page", "source_file", "title_no"))
     missed = known.where("mark_no IS NULL").select("source_file", "title_no", "title", F.left(normalize(F.col("title")), F.lit(10)).alias("key"), "low", "high").where("key <> ''")
     flat = F.left(F.regexp_replace(F.coalesce("raw_text", F.lit("")), _WHITE, ""), F.lit(70))
     heads = pages.where("printed_page <> ''").select(F.col("source_file").alias("file"), F.col("pdf_page").cast("long").alias("at"), F.left(normalize(flat), F.lit(44)).alias("head"))

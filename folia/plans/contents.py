@@ -38,7 +38,8 @@ def contents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = F.expr("CASE WHEN n % 5 <> 0 THEN CAST(n AS STRING) END")
     pages = body.select("source_file", F.expr(f"CAST(n + {FRONT} AS INT)").alias("pdf_page"), F.col("text").alias("raw_text"), printed.alias("printed_page"))
     pages = pages.unionByName(front.withColumn("printed_page", F.lit(None).cast("string")))
-    marks = body.where("n % 10 = 0").select("source_file", F.col("n").cast("int").alias("mark_no"), F.concat(F.lit("（"), F.col("n"), F.lit("）")).alias("title"), F.expr(f"CAST(n + {FRONT} AS INT)").alias("pdf_page"), F.lit(1).alias("level"))
+    # numbers and dashes alone are no titles, so that marks are not taken for the contents, however many there are
+    marks = body.where("n % 10 = 0").select("source_file", F.col("n").cast("int").alias("mark_no"), F.concat(F.lit("— "), F.col("n"), F.lit(" —")).alias("title"), F.expr(f"CAST(n + {FRONT} AS INT)").alias("pdf_page"), F.lit(1).alias("level"))
     entries = spark.createDataFrame([], "source_file string, title string, pdf_page int, level int, sort_order int")
     return contents.chosen_contents(entries, pages, marks)
 
