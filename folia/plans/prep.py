@@ -53,7 +53,7 @@ def f_undelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = F.element_at(F.array(*[F.lit(t) for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]), (F.col("c_nationkey") % 5 + 1).cast("int"))
     subscriptions = users.select(F.col("c_custkey").alias("subscription_id"), topics.alias("topic"), F.lit("1997-01-01").cast("timestamp_ntz").alias("confirmed"))
     log = orders.select(F.col("o_orderkey").alias("article_id"), F.col("o_custkey").alias("subscription_id"), F.when(F.col("o_orderkey") % 2 == 0, "sent").otherwise("failed").alias("status"))
-    return feeds.undelivered(articles, subscriptions, log).groupBy("subscription_id").agg(F.count("*").alias("articles"), F.min("article_id").alias("first"))
+    return feeds.undelivered_counts(articles, subscriptions, log)
 
 
 NAMES = """
