@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions.text import disjoint_count, trimmed
+from folia.functions.windows import following_known
 
 
 def fill_printed_pages(pages: DataFrame) -> DataFrame:
@@ -19,18 +20,18 @@ def fill_printed_pages(pages: DataFrame) -> DataFrame:
     and roman labels stay.
     """
     order = Window.partitionBy("source_file").orderBy("pdf_page")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     number = F.expr("try_cast(printed_page AS INT)")
     known = F.when(number.isNotNull(), F.struct(F.col("pdf_page").alias("at"), number.alias("number"), F.col("__texts").alias("texts")))
     rows = pages.withColumn("__text", (F.length(trimmed("raw_text")) > 0).cast("int"))
     rows = rows.withColumn("__texts", F.sum("__text").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("__k", known)
-    rows = rows.withColumn("__a", F.last("__k", ignorenulls=True).over(before)).withColumn("__b", F.first("__k", ignorenulls=True).over(after))
+    rows = rows.withColumn("__a", F.last("__k", ignorenulls=True).over(before)).withColumn("__b", following_known("__k", "source_file", "pdf_page"))
     delta = F.col("__b.number") - F.col("__a.number")
     strict = delta == F.col("__b.at") - F.col("__a.at")
     # pages with text strictly between the neighbours
     inside = F.col("__b.texts") - F.col("__a.texts") - F.expr("CASE WHEN __b.at IS NULL THEN 0 ELSE __b_text END")
-    rows = rows.withColumn("__kt", F.when(number.isNotNull(), F.col("__text"))).withColumn("__b_text", F.first("__kt", ignorenulls=True).over(after))
+    rows = rows.withColumn("__kt", F.when(number.isNotNull(), F.col("__text"))).withColumn("__b_text", following_known("__kt", "source_file", "pdf_page"))
     loose = (delta == inside + 1) & (F.col("__text") == 1)
     filled = F.when(number.isNotNull() | F.col("printed_page").isNotNull(), F.col("printed_page"))
     filled = filled.when(strict, (F.col("__a.number") + F.col("pdf_page") - F.col("__a.at")).cast("string"))
@@ -95,7 +96,7 @@ def interpolated(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("source_file").orderBy("sort_order")
     known = F.when(F.col("known").isNotNull(), F.struct("sort_order", "known"))
     out = rows.withColumn("__k", known)
-    out = out.withColumn("__a", F.last("__k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__k", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    out = out.withColumn("__a", F.last("__k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", following_known("__k", "source_file", "sort_order", own=True))
     line = F.col("__a.known") + F.bround((F.col("__b.known") - F.col("__a.known")) * (F.col("sort_order") - F.col("__a.sort_order")) / (F.col("__b.sort_order") - F.col("__a.sort_order")))
     return out.withColumn("page", F.coalesce("known", line.cast("int"))).drop("__k", "__a", "__b")
 
@@ -158,7 +159,7 @@ def number_pages(detected: DataFrame, least: int = 20, share: float = 0.6) -> Da
     rows = rows.join(sizes, ["source_file", "__o"], "left").join(best, "source_file", "left").withColumn("__t", F.when(F.col("__n") >= 3, F.col("__o")))
     order = Window.partitionBy("source_file").orderBy("pdf_page")
     rows = rows.withColumn("__a", F.last("__t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__b", F.first("__t", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("__b", following_known("__t", "source_file", "pdf_page"))
     near = F.when(F.col("__a").isNull() | F.col("__b").isNull() | (F.col("__a") == F.col("__b")), F.coalesce("__a", "__b"))
     number = F.when(F.coalesce("__constant", F.lit(False)), F.col("pdf_page") - F.col("__best")).otherwise(F.coalesce("detected", F.col("pdf_page") - near))
     return rows.select("source_file", "pdf_page", F.when(number >= 1, number).cast("long").alias("number"))
