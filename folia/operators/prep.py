@@ -61,8 +61,8 @@ def page_offsets(pages: DataFrame, least: int = 20, share: float = 0.6) -> DataF
 
 
 def monotone_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose page does not go back behind one before them (by sort_order)."""
-    highest = F.max("pdf_page").over(Window.partitionBy("source_file").orderBy("sort_order").rowsBetween(Window.unboundedPreceding, -1))
+    """Entries whose page does not go back behind one before them (by sort_order, then page)."""
+    highest = F.max("pdf_page").over(Window.partitionBy("source_file").orderBy("sort_order", "pdf_page").rowsBetween(Window.unboundedPreceding, -1))
     return entries.withColumn("__h", highest).where("__h IS NULL OR pdf_page >= __h").drop("__h")
 
 
