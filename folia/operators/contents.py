@@ -7,11 +7,14 @@ over all pages is joined on keys.
 
 from __future__ import annotations
 
+import difflib
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,9 @@ SECTION, TITLE_END, PAGE_END, CONTENTS_HEAD = r"[一二三四五六七八九十]
 # A date in brackets within a page's head, and characters that a chapter's title does not have.
 DATE, NO_TITLE = r"[（(]\s*[一二三四五六七八九十百零〇○二〇\d]{2,}\s*年[^）)]{0,16}?[日月][^）)]{0,12}[)）]", r"[。！？；，、⋯…·.0123456789—–\-]"
 
+#: Titles or marks of a file that are compared as one block.
+BLOCK = 1024
+
 _LINES, _WHITE = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]", r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -321,22 +327,75 @@ def detected_chapters(pages: DataFrame) -> DataFrame:
     return found.withColumn("before", before).where("before IS NULL OR before <> title").select("source_file", "pdf_page", "title")
 
 
+def _blocks(df: DataFrame, number: str, name: str) -> DataFrame:
+    """source_file, a block's number, and its rows (number, norm): about BLOCK rows of a file by their hash."""
+    df = df.where("norm <> ''").select("source_file", number, "norm").distinct()
+    sizes = df.groupBy("source_file").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = df.join(sizes, "source_file").withColumn(f"{name}_block", F.pmod(F.xxhash64(number), F.col("blocks")))
+    return rows.groupBy("source_file", f"{name}_block").agg(F.collect_list(F.struct(F.col(number).alias("number"), "norm")).alias(name))
+
+
+def _common_bits(masks: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """The length of the longest common subsequence of a text (where each character stands, in bits) and others, a place a step."""
+    free = np.full(places.shape[1], ~np.uint64(0))
+    for codes in places:
+        met = free & masks[codes]
+        free = (free + met) | (free - met)
+    return size - np.bitwise_count(free & np.uint64((1 << size) - 1)).astype(np.int64)
+
+
+def _common(a: str, b: str) -> int:
+    """The same of two texts of any length."""
+    every, held = (1 << len(a)) - 1, {}
+    for i, c in enumerate(a):
+        held[c] = held.get(c, 0) | 1 << i
+    free = every
+    for c in b:
+        met = free & held.get(c, 0)
+        free = ((free + met) | (free - met)) & every
+    return len(a) - free.bit_count()
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block of titles and a block of marks of at least this likeness."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            marks = [m["norm"] for m in row["marks"]]
+            sizes = np.array([len(m) for m in marks])
+            # characters as numbers, 0 for none; longer ones are compared one by one
+            short = np.flatnonzero(sizes <= 256)
+            codes = {c: i + 1 for i, c in enumerate({c for i in short for c in marks[i]})}
+            places = np.zeros((int(sizes[short].max(initial=0)), len(short)), np.uint32)
+            for k, i in enumerate(short):
+                places[: sizes[i], k] = [codes[c] for c in marks[i]]
+            out = []
+            for title in row["titles"]:
+                text, shared = title["norm"], np.minimum(sizes, len(title["norm"]))
+                if len(text) <= 64:
+                    masks = np.zeros(len(codes) + 1, np.uint64)
+                    for i, c in enumerate(text):
+                        if c in codes:
+                            masks[codes[c]] |= np.uint64(1 << i)
+                    shared[short] = _common_bits(masks, places, len(text))
+                for i in np.flatnonzero(2 * shared >= least * (sizes + len(text))).tolist():
+                    if (len(text) > 64 or sizes[i] > 256) and 2 * _common(text, marks[i]) < least * (sizes[i] + len(text)):
+                        continue
+                    likeness = difflib.SequenceMatcher(None, text, marks[i], autojunk=False).ratio()
+                    if likeness >= least:
+                        out.append((title["number"], row["marks"][i]["number"], likeness))
+            columns = [pa.array([row["source_file"]] * len(out), pa.string()), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["source_file", "title_no", "mark_no", "likeness"])
+
+
 def _candidates(titles: DataFrame, marks: DataFrame, least: float) -> DataFrame:
     """Pairs (source_file, title_no, mark_no, likeness) of titles and marks (source_file, number, norm) of at least this likeness.
 
-    Pairs meet on their characters: the number that they share, each as often as both have it, bounds the
-    likeness, so nothing is lost, and only pairs within the bound are compared.
+    Blocks of a file's titles and marks meet in tasks. The longest common subsequence bounds the likeness, so nothing is
+    lost, and only pairs within the bound are compared; no pair but those found leaves its task.
     """
-
-    def chars(df: DataFrame, number: str, name: str) -> DataFrame:
-        rows = df.select("source_file", number, F.col("norm").alias(name), F.explode(F.split("norm", "")).alias("char")).where("char <> ''")
-        rows = rows.groupBy("source_file", number, name, "char").agg(F.count("*").alias("n"))
-        return rows.select("source_file", number, name, "char", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
-
-    both = chars(titles, "title_no", "a").join(chars(marks, "mark_no", "b"), ["source_file", "char", "nth"])
-    both = both.groupBy("source_file", "title_no", "mark_no", "a", "b").agg(F.count("*").alias("shared"))
-    both = both.where(2 * F.col("shared") >= least * (F.length("a") + F.length("b")))
-    return both.withColumn("likeness", ratio(F.col("a"), F.col("b"))).where(F.col("likeness") >= least)
+    both = _blocks(titles, "title_no", "titles").join(_blocks(marks, "mark_no", "marks"), "source_file")
+    both = both.repartition("source_file", "titles_block", "marks_block").select("source_file", "titles", "marks")
+    return both.mapInArrow(lambda batches: _alike(batches, least), "source_file string, title_no long, mark_no long, likeness double")
 
 
 def greedy_pairs(candidates: Iterable[tuple[int, int, float]]) -> list[tuple[int, int]]:
