@@ -32,6 +32,9 @@ BLOCK = 1 << 20
 _WORDS = bytes((b | 32) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
+#: Blocks that are written, and so read, at a time: Spark reads up to 4096 rows of a row group at once.
+GROUP = 8
+
 _BLOCKS = "doc_ids array<long>, n_words array<long>, row_ends binary, steps binary, counts binary"
 
 
@@ -109,7 +112,7 @@ def count_matrix(texts: DataFrame, id_column: str, name: str) -> DataFrame:
     (each as the step from the one before it in its row) and the counts.
     """
     rows = texts.select(F.col(id_column).cast("long").alias("doc_id"), "text")
-    return stage(rows.mapInArrow(_blocks, _BLOCKS), name, compression="zstd")
+    return stage(rows.mapInArrow(_blocks, _BLOCKS), name, compression="zstd", **{"parquet.block.row.count.limit": str(GROUP)})
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:

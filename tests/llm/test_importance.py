@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from folia.llm import importance
@@ -77,3 +78,12 @@ def test_empty_tables(spark):
     assert importance.op11_importance(df.limit(0), wanted).count() == 0
     got = importance.op11_importance(df, wanted.limit(0)).collect()
     assert sorted(repr(tuple(r)) for r in got) == brute_force(docs, [])
+
+
+def test_blocks_are_written_a_few_at_a_time(spark):
+    docs = spark.range(40).repartition(1).selectExpr("id AS doc_id", "repeat('some words of a text ', 60000) AS text")
+    matrix = importance.count_matrix(docs, "doc_id", "blocks-a-few")
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in matrix.inputFiles()]
+    sizes = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    # a task reads a row group's rows at once, so their number bounds its memory whatever the input
+    assert sum(sizes) == 40 and max(sizes) <= importance.GROUP
