@@ -733,6 +733,25 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert [(r.n_calls, r.n_linked) for r in got if r.conv_id is None] == [(1, 0)]
 
 
+def test_calls_are_validated_by_the_tools_that_conversations_declare(spark):
+    tools = lambda *told: f"<tools>{json.dumps(told)}</tools>"
+    f, g = {"name": "f", "parameters": SCHEMAS["f"]}, {"name": "g"}
+    rows = [
+        (1, 0, "system", "Use" + tools(f, g)), (1, 1, "assistant", call("a", x=1) + call("b", x="no") + call("c", "g", y=2) + call("d", "h")), (1, 2, "system", tools({"name": "f", "parameters": False})),
+        (2, 0, "assistant", call("a", x=1)), (3, 0, "assistant", call("a", x=1)), (3, 1, "system", tools(f)), (None, 0, "system", tools(f)), (None, 1, "assistant", call("a", x=1)),
+        *((4, i, "system", tools({"name": "f", "parameters": p})) for i, p in enumerate([5, {"type": [{}]}, {"required": 1}, {"required": [[]]}, {"enum": 1}, {"properties": []}, {"items": []}, {"properties": {"x": None}}])), (4, 9, "system", '<tools>{"name": "f"}</tools>'),
+        (4, 10, "assistant", call("a", x=1)),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in toolcalls.op10_tool_calls(turns).collect()}
+    assert len(got) == len(rows)
+    assert {k: (r.n_calls, r.n_valid) for k, r in got.items() if r.n_calls} == {(1, 1): (4, 2), (2, 0): (1, 0), (3, 0): (1, 1), (None, 1): (1, 0), (4, 10): (1, 0)}
+    assert json.loads(got[1, 0].message) == {"content": "Use", "role": "system", "tools": [f, g | {"parameters": True}]}
+    assert all(got[4, i].n_malformed == 1 for i in (*range(8), 9)) and json.loads(got[4, 9].message)["content"] == rows[-2][3]
+    # schemas that are given decide for all conversations
+    assert {r.conv_id: r.n_valid for r in toolcalls.format_chats(turns, SCHEMAS).collect() if r.conv_id and r.n_calls} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_schema_checks():
     schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["a"]}
     assert toolcalls.valid({"a": [1, 2], "z": 0}, schema)
