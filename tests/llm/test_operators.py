@@ -349,6 +349,26 @@ def test_joined_windows_are_those_of_the_whole():
         assert (got.starts == want.starts).all() and (got.kinds == want.kinds).all() and (got.hashes == want.hashes).all()
 
 
+def test_windows_are_measured_as_told_and_only_chosen_ones_hashed(monkeypatch):
+    rng = random.Random(6)
+    hashed, hashes = [], fingerprints._hashes
+    monkeypatch.setattr(fingerprints, "_hashes", lambda data, starts: hashed.append(len(starts)) or hashes(data, starts))
+    rank = np.array(rng.sample(range(fingerprints.CLASSES), fingerprints.CLASSES))
+    for text in (b"", b"short", b"a" * 300, bytes(rng.randrange(256) for _ in range(9000)), "".join(rng.choice("abcdé \n") for _ in range(30000)).encode()):
+        hashed.clear()
+        found = fingerprints.windows(text)
+        assert not hashed
+        held = [text[s : s + 64].ljust(64, b"\0") for s in found.starts]
+        kinds = [min(fingerprints.CLASSES - 1, int(32 * math.fsum(-n / 64 * math.log2(n / 64) for n in Counter(w).values()) + 1e-9)) for w in held]
+        assert found.kinds.tolist() == kinds
+        order, chosen = rank[kinds].tolist() if kinds else [], Counter()
+        for i in range(len(order) - 7):
+            chosen[min(range(i, i + 8), key=order.__getitem__)] += 1
+        want = [i for i in range(len(order)) if len(order) <= 8 or chosen[i] >= 3]
+        got = fingerprints.features(found, rank)
+        assert hashed == [len(want)] and got.tolist() == fingerprints.windows(text).hashes[want].tolist()
+
+
 def test_one_row_is_its_own_next(spark, empty):
     one = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
     row = fingerprints.op5_fingerprints(one).first()
