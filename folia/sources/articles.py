@@ -29,6 +29,8 @@ WORK_TYPES = {WORKS: ("article", "journal-article", "review"), ITEMS_API: ("jour
 LOOKUPS = 15
 #: Characters about a link that are searched for its date, and after a journal page's record for what belongs to it.
 BEFORE, AFTER, RECORD = 240, 360, 600
+#: Links, at least as long as this, that hold all that is searched before the next one.
+MATCHES = -(-BEFORE // len("<a></a>"))
 
 _ITEM = "title: string, link: array<struct<_VALUE: string, _href: string>>, description: string, summary: string, content: string, pubDate: string, published: string, updated: string"
 _FEED = f"channel struct<item: array<struct<{_ITEM}>>>, item array<struct<{_ITEM}>>, entry array<struct<{_ITEM}>>, _broken string"
@@ -117,17 +119,23 @@ def _matches(pattern: str, **groups: int) -> Column:
 
 def _of_lists(rows: DataFrame) -> DataFrame:
     """Links of list pages whose label can be an article's title and whose target holds the selector, with dates about them."""
-    pattern = rf"(?is)(?=<a\b)(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))<a\b([^>]*)>(.*?)</a>(?=(.{{0,{AFTER}}}))"
-    rows = rows.withColumn("__i", _matches(pattern, before=1, attrs=2, label=3, after=4))
+    # each match begins where the one before ends, so what stands before a link is told by matches, without looking back in the text
+    pattern = rf"(?is)\G(.*?)<a\b([^>]*)>(.*?)</a>(?=(.{{0,{AFTER}}}))"
+    rows = rows.withColumn("__i", _matches(pattern, whole=0, gap=1, attrs=2, label=3, after=4))
+    rows = rows.withColumn("__e", F.transform("__i", lambda x: F.right(x["whole"], F.lit(BEFORE))))
+    ended = lambda i: F.array_join(F.slice("__e", F.greatest(i - MATCHES, F.lit(0)) + 1, F.least(i, F.lit(MATCHES))), "")
+    rows = rows.withColumn("__i", F.transform("__i", lambda x, i: x.withField("before", F.right(F.concat(ended(i), x["gap"]), F.lit(BEFORE)))))
     href = lambda x: F.regexp_extract(x["attrs"], r"""(?i)href\s*=\s*["']([^"']+)["']""", 1)
     rows = rows.withColumn("__i", F.filter("__i", lambda x: href(x) != ""))
     rows = rows.withColumn("__h", F.transform(_each_unescaped(F.transform("__i", href)), trimmed))
     rows = rows.withColumn("__t", F.transform(_each_unescaped(F.transform("__i", lambda x: strip_tags(x["label"]))), trimmed)).withColumn("__u", resolved("url", "__h"))
     near = lambda x: F.concat(x["before"], x["attrs"], F.lit(">"), x["label"], x["after"])
-    made = lambda x, i: F.struct(F.get("__h", i).alias("href"), _article(title=F.get("__t", i), url=F.get("__u", i), published_at=find_date(near(x)), journal=F.col("name")).alias("a"))
-    fits = lambda x: is_article_title(x["a"]["title"]) & F.contains(x["href"], F.coalesce(given(F.col("__c.link_selector")), F.lit("")))
-    kept = _first_distinct(F.filter(F.transform("__i", made), fits), lambda x: x["a"]["url"])
-    return rows.withColumn("articles", F.transform(kept, lambda x: x["a"])).withColumn("serves", F.size("articles") > 0)
+    made = lambda x, i: F.struct(F.get("__h", i).alias("href"), F.get("__t", i).alias("title"), F.get("__u", i).alias("url"), near(x).alias("near"))
+    fits = lambda x: is_article_title(x["title"]) & F.contains(x["href"], F.coalesce(given(F.col("__c.link_selector")), F.lit("")))
+    kept = _first_distinct(F.filter(F.transform("__i", made), fits), lambda x: x["url"])
+    # only links that are kept are searched for dates
+    articles = F.transform(kept, lambda x: _article(title=x["title"], url=x["url"], published_at=find_date(x["near"]), journal=F.col("name")))
+    return rows.withColumn("articles", articles).withColumn("serves", F.size("articles") > 0)
 
 
 def _of_journal_pages(rows: DataFrame) -> DataFrame:

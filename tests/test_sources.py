@@ -1,6 +1,7 @@
 """Sources by type: candidates, forms, the first that serves, outcomes, abstracts looked up."""
 
 import json
+import re
 
 from folia.sources import articles
 
@@ -92,6 +93,25 @@ def test_web_pages(spark):
     assert records == [(["张三", "李四"], "3", "3-12"), (["王五"], "", "9")]
 
 
+def test_dates_of_links_are_searched_as_far_as_told_before_and_after_them(spark):
+    link = lambda n: f"<a href='/{n}'>Title {n}</a>"
+    bodies = [
+        # wide characters before a link once hid it
+        "é😀" * 200 + "2021-02-03" + link(0) + "😀" * 400 + link(1), "2020-01-02" + "x" * 230 + link(0), "2020-01-02" + "x" * 231 + link(0), link(0) + "x" * 350 + "2019-05-06", link(0) + "x" * 351 + "2019-05-06",
+        # over several links before
+        "2018-07-08" + link(0) + link(1) + link(2), "2018-07-08" + "x" * 190 + link(0) + link(1) + link(2), "2018-07-08" + "<a></a>" * 32 + link(0), "2018-07-08" + "<a></a>" * 33 + link(0),
+    ]
+    sources = [(i, "web_html", f"http://w/{i}", None, "N", None, None) for i in range(len(bodies))]
+    _, got = run(spark, sources, [(f"http://w/{i}", b) for i, b in enumerate(bodies)])
+    want = {}
+    for i, body in enumerate(bodies):
+        for n, m in enumerate(re.finditer("<a href='[^']*'>[^<]*</a>", body)):
+            near = body[max(0, m.start() - 240) : m.start()] + m[0] + body[m.end() : m.end() + 360]
+            day = re.search(r"(20\d\d)-(\d\d)-(\d{1,2})", near)
+            want[i, n] = (f"Title {n}", f"{day[1]}-{day[2]}-{day[3]:0>2}" if day else "")
+    assert {(r["source"], r["n"]): (r["title"], r["published_at"]) for r in got} == want
+
+
 def test_works_of_services_and_abstracts_looked_up(spark):
     work = {
         "id": "https://w/1", "doi": "https://doi.org/10.1/A", "title": " Value form ", "type": "article", "publication_date": "2024-01-02", "abstract_inverted_index": {"b": [1], "a": [0, 2]},
