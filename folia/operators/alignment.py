@@ -34,7 +34,7 @@ def placed(units: DataFrame, member: str = HAN) -> DataFrame:
 
 
 def _grams(texts: DataFrame, at: str) -> DataFrame:
-    """Chosen grams that stand once in their volume, by hash, and where. A hash that lies costs an anchor, no result: texts are compared."""
+    """Chosen grams of volumes, by hash, and where. A hash that lies costs an anchor, no result: texts are compared."""
     # a place in a text is found by walking there, so long texts are cut first
     cut = F.expr(f"if(length(text) < {GRAM}, array(), transform(sequence(1, length(text) - {GRAM - 1}, {STRETCH}), p -> struct(at + p - 1 AS at, substring(text, p, {STRETCH + GRAM - 1}) AS text)))")
     stretches = texts.select("volume", F.explode(cut).alias("s")).select("volume", "s.at", "s.text")
@@ -44,10 +44,9 @@ def _grams(texts: DataFrame, at: str) -> DataFrame:
             kept = [(at, h, np.flatnonzero(h % np.uint64(DENSITY) == 0)) for at, h in ((at, _hashes(text)) for at, text in zip(frame["at"], frame["text"], strict=True))]
             if kept:
                 grams, places = np.concatenate([h[c] for _, h, c in kept]).view(np.int64), np.concatenate([at + c for at, _, c in kept])
-                yield pd.DataFrame({"volume": np.repeat(frame["volume"].to_numpy(), [len(c) for _, _, c in kept]), "gram": grams, "at": places})
+                yield pd.DataFrame({"volume": np.repeat(frame["volume"].to_numpy(), [len(c) for _, _, c in kept]), "gram": grams, at: places})
 
-    found = stretches.mapInPandas(f, f"volume {texts.schema['volume'].dataType.simpleString()}, gram long, at long")
-    return found.groupBy("volume", "gram").agg(F.min("at").alias(at), F.count("*").alias("n")).where("n = 1").drop("n")
+    return stretches.mapInPandas(f, f"volume {texts.schema['volume'].dataType.simpleString()}, gram long, {at} long")
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -64,7 +63,10 @@ def _hashes(text: str) -> np.ndarray:
 
 def runs(ocr: DataFrame, authority: DataFrame) -> DataFrame:
     """volume, a, b (exclusive), shift and n: neighbouring anchors with one shift, as places of the first text."""
-    anchors = _grams(ocr, "i").join(_grams(authority, "j").hint("merge"), ["volume", "gram"]).select("volume", "i", (F.col("j") - F.col("i")).alias("shift"))
+    # anchors stand once on each side
+    both = _grams(ocr, "i").unionByName(_grams(authority, "j"), allowMissingColumns=True)
+    once = both.groupBy("volume", "gram").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("i").alias("n"), F.count("j").alias("m")).where("n = 1 AND m = 1 AND volume IS NOT NULL")
+    anchors = once.select("volume", "i", (F.col("j") - F.col("i")).alias("shift"))
     order = Window.partitionBy("volume").orderBy("i")
     new = F.coalesce((F.lag("shift").over(order) != F.col("shift")).cast("int"), F.lit(1))
     numbered = anchors.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -150,17 +152,12 @@ def _cut_out(wanted: DataFrame, texts: DataFrame, a: str, b: str, name: str) ->
 def _replaced(one: str, other: str) -> Iterator[tuple[int, int, int]]:
     """Places in both and length of what is replaced by as many characters."""
     if len(one) == len(other):
-        differs = [x != y for x, y in zip(one, other, strict=True)]
+        differs = np.flatnonzero(np.frombuffer(one.encode("utf-32-le"), np.uint32) != np.frombuffer(other.encode("utf-32-le"), np.uint32))
         # texts of one length that mostly agree are compared place by place
-        if 4 * sum(differs) <= len(one):
-            a = 0
-            while a < len(one):
-                b = a
-                while b < len(one) and differs[b]:
-                    b += 1
-                if b > a:
-                    yield a, a, b - a
-                a = b + 1
+        if 4 * len(differs) <= len(one):
+            first = np.flatnonzero(np.diff(differs, prepend=-2) != 1)
+            for a, n in zip(differs[first].tolist(), np.diff(first, append=len(differs)).tolist(), strict=True):
+                yield a, a, n
             return
     for tag, a, b, c, d in SequenceMatcher(None, one, other, autojunk=False).get_opcodes():
         if tag == "replace" and b - a == d - c:

@@ -90,3 +90,17 @@ def test_the_heaviest_chain_rises_in_both(spark):
         got.setdefault(r["volume"], []).append(r)
     assert {v: sum(r["n"] for r in rs) for v, rs in got.items()} == want
     assert all(x["b"] + x["shift"] <= y["a"] + y["shift"] + alignment.GRAM - 1 for rs in got.values() for x, y in zip(rs, rs[1:], strict=False))
+
+
+def test_anchors_meet_in_one_grouping(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "DENSITY", 1)
+    rng = random.Random(9)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    rows = [("v", 0, text), ("w", 0, text[:50] * 2), (None, 0, text)]
+    other = [("v", 0, text[:80]), ("v", 1, "x" + text[90:]), ("w", 0, text[:50]), (None, 0, text)]
+    placed = [alignment.placed(spark.createDataFrame(r, UNIT)) for r in (rows, other)]
+    found = alignment.runs(*placed)
+    # grams are grouped once for both sides and never sorted to be joined
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[1].split("MapInPandas")[0]
+    # a gram that stands twice on one side is no anchor; what crosses the repeat stands on one side alone
+    assert {(r.volume, r.a, r.b, r["shift"], r.n) for r in found.collect()} == {("v", 0, 80, 0, 69), ("v", 90, 200, -10, 99)}
