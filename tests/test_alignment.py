@@ -99,8 +99,8 @@ def test_anchors_meet_in_one_grouping(spark, monkeypatch):
     rows = [("v", 0, text), ("w", 0, text[:50] * 2), (None, 0, text)]
     other = [("v", 0, text[:80]), ("v", 1, "x" + text[90:]), ("w", 0, text[:50]), (None, 0, text)]
     placed = [alignment.placed(spark.createDataFrame(r, UNIT)) for r in (rows, other)]
-    found = alignment.runs(*placed)
+    found = alignment.runs(*[spark.createDataFrame(p.collect(), p.schema) for p in placed])
     # grams are grouped once for both sides and never sorted to be joined
-    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[1].split("MapInPandas")[0]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     # a gram that stands twice on one side is no anchor; what crosses the repeat stands on one side alone
     assert {(r.volume, r.a, r.b, r["shift"], r.n) for r in found.collect()} == {("v", 0, 80, 0, 69), ("v", 90, 200, -10, 99)}
