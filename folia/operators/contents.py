@@ -409,11 +409,28 @@ def greedy_pairs(candidates: Iterable[tuple[int, int, float]]) -> list[tuple[int
     return out
 
 
-def paired_titles(titles: DataFrame, marks: DataFrame, least: float = LIKE) -> DataFrame:
-    """(source_file, title_no, mark_no): titles of a file paired with its marks one to one, as greedy_pairs() does."""
+def likest_pairs(candidates: Iterable[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """(title, mark): the likest pair of all that are left comes next, so that no title takes a mark from one that is more like it."""
+    titles: set[int] = set()
+    marks: set[int] = set()
+    out: list[tuple[int, int]] = []
+    for title, mark, _ in sorted(candidates, key=lambda c: (-c[2], c[0], c[1])):
+        if title not in titles and mark not in marks:
+            titles.add(title)
+            marks.add(mark)
+            out.append((title, mark))
+    return out
+
+
+def paired_titles(titles: DataFrame, marks: DataFrame, least: float = LIKE, likest_first: bool = False) -> DataFrame:
+    """(source_file, title_no, mark_no): titles of a file paired with its marks one to one, as greedy_pairs() does.
+
+    In the order of titles, one whose own mark is missing may take that of a later title by a chance likeness;
+    ``likest_first`` pairs as likest_pairs() does.
+    """
     named = lambda df, number: df.select("source_file", F.col(number).cast("long").alias(number), normalize(F.col("title")).alias("norm"))
     found = _candidates(named(titles, "title_no"), named(marks, "mark_no"), least)
-    return _per_file(found, greedy_pairs, ("title_no", "mark_no", "likeness"))
+    return _per_file(found, likest_pairs if likest_first else greedy_pairs, ("title_no", "mark_no", "likeness"))
 
 
 def merged_contents(detected: DataFrame, printed: DataFrame, pages: DataFrame, least: float = 0.75) -> DataFrame:

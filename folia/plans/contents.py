@@ -58,7 +58,8 @@ def titles_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = rows(spark, sf_dir, PAGES).where("n % 3 = 1")
     titles = body.select("source_file", F.col("n").alias("title_no"), F.col("name").alias("title"))
     marks = body.where("n % 4 <> 0").select("source_file", (10_000_000 - F.col("n")).alias("mark_no"), F.concat(F.lit("x"), F.expr("substring(name, 2)")).alias("title"))
-    return contents.paired_titles(titles, marks)
+    # each mark belongs to one title, which must not lose it to a title without any
+    return contents.paired_titles(titles, marks, likest_first=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
