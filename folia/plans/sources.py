@@ -46,7 +46,7 @@ def source_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All articles that the sources give."""
     pages = rows(spark, sf_dir, PAGES)
     sources = pages.select(*[F.expr(sql).alias(name) for name, sql in _SOURCES.items()])
-    found = articles.articles(sources, articles.outcomes(sources, _responses(pages)))
+    found = articles.articles(sources, articles.outcomes(sources, _responses(pages), most=None))
     return found.withColumn("authors", F.array_join("authors", "; "))
 
 

@@ -90,34 +90,39 @@ def _article(**values: Column) -> Column:
     )
 
 
-def _first_distinct(items: Column, key: Callable[[Column], Column]) -> Column:
-    """The first items that differ in a key, at most 25: no step looks at more than these."""
-    held = lambda had, x: (F.size(had) >= ITEMS) | F.exists(had, lambda y: key(y) == key(x))
-    return F.aggregate(items, F.slice(items, 1, 0), lambda had, x: F.when(held(had, x), had).otherwise(F.concat(had, F.array(x))))
-
-
-def _of_feeds(rows: DataFrame) -> DataFrame:
+def _first_distinct(items: Column, key: Callable[[Column], Column], most: int | None) -> Column:
+    """The first items that differ in a key: with ``most`` no step looks at more than these, else keys are sorted, so that many items take no squares."""
+    if most is not None:
+        held = lambda had, x: (F.size(had) >= most) | F.exists(had, lambda y: key(y) == key(x))
+        return F.aggregate(items, F.slice(items, 1, 0), lambda had, x: F.when(held(had, x), had).otherwise(F.concat(had, F.array(x))))
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(keyed, lambda y: y["k"]))
+    firsts = F.zip_with(keyed, before, lambda y, k: F.when(y["i"].isNotNull() & ~y["k"].eqNullSafe(k), F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+    return F.transform(F.sort_array(F.filter(firsts, lambda y: y.isNotNull())), lambda y: y["x"])
+
+
+def _of_feeds(rows: DataFrame, most: int | None) -> DataFrame:
     xml = F.from_xml("body", _FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     rows = rows.withColumn("__x", xml).withColumn("__ok", F.col("__x").isNotNull() & F.col("__x._broken").isNull())
     items = F.concat(*[F.coalesce(x, F.slice("__x.entry", 1, 0), F.from_json(F.lit("[]"), f"array<struct<{_ITEM}>>")) for x in ("__x.channel.item", "__x.item")])
     items = F.when(F.size(items) > 0, items).otherwise(F.coalesce("__x.entry", items))
-    rows = rows.withColumn("__i", F.filter(F.slice(items, 1, ITEMS), lambda x: x["title"] != ""))
+    rows = rows.withColumn("__i", F.filter(items if most is None else F.slice(items, 1, most), lambda x: x["title"] != ""))
     some = lambda x, *names: F.coalesce(*[F.nullif(x[c], F.lit("")) for c in names], F.lit(""))
     link = lambda x: F.coalesce(F.nullif(F.get(x["link"], F.lit(0))["_VALUE"], F.lit("")), F.get(x["link"], F.lit(0))["_href"], F.lit(""))
     rows = rows.withColumn("__u", resolved("url", F.transform("__i", lambda x: trimmed(link(x)))))
     rows = rows.withColumn("__t", _each_unescaped(F.transform("__i", lambda x: trimmed(x["title"]))))
     rows = rows.withColumn("__s", _each_unescaped(F.transform("__i", lambda x: trimmed(some(x, "description", "summary", "content")))))
     day = lambda x: trimmed(some(x, "pubDate", "published", "updated"))
-    made = lambda x, i: _article(title=F.get("__t", i), url=F.get("__u", i), published_at=day(x), abstract=strip_tags(F.get("__s", i)), journal=F.col("name"))
-    # a feed that can be read serves, even if it is empty
-    return rows.withColumn("articles", F.transform("__i", made)).withColumn("serves", F.col("__ok"))
+    made = lambda x: _article(title=x["__t"], url=x["__u"], published_at=day(x["__i"]), abstract=strip_tags(x["__s"]), journal=F.col("name"))
+    # zipped, as a text taken from its array item by item may be made anew for each; a feed that can be read serves, even if it is empty
+    return rows.withColumn("articles", F.transform(F.arrays_zip("__i", "__t", "__s", "__u"), made)).withColumn("serves", F.col("__ok"))
 
 
 def _matches(pattern: str, **groups: int) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), F.lit(i)).alias(name) for name, i in groups.items()])
 
 
-def _of_lists(rows: DataFrame) -> DataFrame:
+def _of_lists(rows: DataFrame, most: int | None) -> DataFrame:
     """Links of list pages whose label can be an article's title and whose target holds the selector, with dates about them."""
     # each match begins where the one before ends, so what stands before a link is told by matches, without looking back in the text
     pattern = rf"(?is)\G(.*?)<a\b([^>]*)>(.*?)</a>(?=(.{{0,{AFTER}}}))"
@@ -132,13 +137,13 @@ def _of_lists(rows: DataFrame) -> DataFrame:
     near = lambda x: F.concat(x["before"], x["attrs"], F.lit(">"), x["label"], x["after"])
     made = lambda x, i: F.struct(F.get("__h", i).alias("href"), F.get("__t", i).alias("title"), F.get("__u", i).alias("url"), near(x).alias("near"))
     fits = lambda x: is_article_title(x["title"]) & F.contains(x["href"], F.coalesce(given(F.col("__c.link_selector")), F.lit("")))
-    kept = _first_distinct(F.filter(F.transform("__i", made), fits), lambda x: x["url"])
+    kept = _first_distinct(F.filter(F.transform("__i", made), fits), lambda x: x["url"], most)
     # only links that are kept are searched for dates
     articles = F.transform(kept, lambda x: _article(title=x["title"], url=x["url"], published_at=find_date(x["near"]), journal=F.col("name")))
     return rows.withColumn("articles", articles).withColumn("serves", F.size("articles") > 0)
 
 
-def _of_journal_pages(rows: DataFrame) -> DataFrame:
+def _of_journal_pages(rows: DataFrame, most: int | None) -> DataFrame:
     """Records of journal pages; the year and issue stand in an article's number, authors and pages after its record."""
     pattern = rf"(?s)openDetail\('(/Literature/articleinfo\?id=([A-Za-z0-9]+)[^']*)'\).*?title='([^']*)'(?=(.{{0,{RECORD}}}))"
     rows = rows.withColumn("__i", _matches(pattern, href=1, id=2, title=3, after=4))
@@ -155,7 +160,7 @@ def _of_journal_pages(rows: DataFrame) -> DataFrame:
             authors=split_authors(strip_tags(F.get("__w", i))), pages=pages(x), journal=F.col("name"),
         ).alias("a"),
     )
-    kept = _first_distinct(F.filter(F.transform("__i", made), lambda x: is_article_title(x["a"]["title"])), lambda x: x["id"])
+    kept = _first_distinct(F.filter(F.transform("__i", made), lambda x: is_article_title(x["a"]["title"])), lambda x: x["id"], most)
     return rows.withColumn("articles", F.transform(kept, lambda x: x["a"])).withColumn("serves", F.size("articles") > 0)
 
 
@@ -163,14 +168,14 @@ def _json(schema: str) -> Column:
     return F.from_json("body", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
 
 
-def _answered(rows: DataFrame, items: str, made: Callable[[Column], Column], kinds: tuple[str, ...]) -> DataFrame:
+def _answered(rows: DataFrame, items: str, made: Callable[[Column], Column], kinds: tuple[str, ...], most: int | None) -> DataFrame:
     ok = F.col("__x").isNotNull() & F.col("__x._broken").isNull()
     kept = F.filter(items, lambda x: x.isNotNull() & is_allowed_type(x["type"], kinds))
     articles = F.filter(F.transform(kept, made), lambda a: is_article_title(a["title"]))
-    return rows.withColumn("articles", F.slice(articles, 1, ITEMS)).withColumn("serves", ok)
+    return rows.withColumn("articles", articles if most is None else F.slice(articles, 1, most)).withColumn("serves", ok)
 
 
-def _of_works(rows: DataFrame) -> DataFrame:
+def _of_works(rows: DataFrame, most: int | None) -> DataFrame:
     def made(x: Column) -> Column:
         place, bib = x["primary_location"], x["biblio"]
         names = F.transform(x["authorships"], lambda a: given(a["author"]["display_name"]))
@@ -181,10 +186,10 @@ def _of_works(rows: DataFrame) -> DataFrame:
             journal=F.coalesce(given(place["source"]["display_name"]), F.col("name")), authors=F.filter(names, lambda n: n.isNotNull()),
         )
 
-    return _answered(rows.withColumn("__x", _json(_WORKS)), "__x.results", made, WORK_TYPES[WORKS])
+    return _answered(rows.withColumn("__x", _json(_WORKS)), "__x.results", made, WORK_TYPES[WORKS], most)
 
 
-def _of_items(rows: DataFrame) -> DataFrame:
+def _of_items(rows: DataFrame, most: int | None) -> DataFrame:
     def made(x: Column) -> Column:
         day = iso_date(*[F.get(x[c]["date-parts"], F.lit(0)) for c in ("published-print", "published-online", "published", "created")])
         return _article(
@@ -193,10 +198,10 @@ def _of_items(rows: DataFrame) -> DataFrame:
             authors=F.filter(F.transform(x["author"], lambda a: given(author_name(a["family"], a["given"]))), lambda n: n.isNotNull()),
         )
 
-    return _answered(rows.withColumn("__x", _json(_ITEMS)), "__x.message.items", made, WORK_TYPES[ITEMS_API])
+    return _answered(rows.withColumn("__x", _json(_ITEMS)), "__x.message.items", made, WORK_TYPES[ITEMS_API], most)
 
 
-def _answers(sources: DataFrame, responses: DataFrame, journal_base: str) -> DataFrame:
+def _answers(sources: DataFrame, responses: DataFrame, journal_base: str, most: int | None) -> DataFrame:
     """source, source_type, n, url, came, serves and articles of each candidate: one join on urls, no text is moved again."""
     told = sources.select("source", "name", F.lower(trimmed("source_type")).alias("source_type"), F.from_json(F.coalesce("config", F.lit("{}")), CONFIG).alias("__c"))
     # a url that answered more than once counts with its greatest body
@@ -208,22 +213,22 @@ def _answers(sources: DataFrame, responses: DataFrame, journal_base: str) -> Dat
         ((F.col("source_type") == WEB) & lists, _of_lists), ((F.col("source_type") == WEB) & ~lists, _of_journal_pages),
     )
     came = rows.withColumn("came", F.col("body").isNotNull())
-    made = [form(came.where(kind)).select("source", "source_type", "n", "url", "came", F.coalesce(F.col("serves") & F.col("came"), F.lit(False)).alias("serves"), "articles") for kind, form in forms]
+    made = [form(came.where(kind), most).select("source", "source_type", "n", "url", "came", F.coalesce(F.col("serves") & F.col("came"), F.lit(False)).alias("serves"), "articles") for kind, form in forms]
     every = made[0]
     for one in made[1:]:
         every = every.unionByName(one)
     return every
 
 
-def outcomes(sources: DataFrame, responses: DataFrame, journal_base: str = "") -> DataFrame:
+def outcomes(sources: DataFrame, responses: DataFrame, journal_base: str = "", most: int | None = ITEMS) -> DataFrame:
     """source, outcome, url, errors and articles (an array): what became of each source.
 
     The first candidate that serves counts: a web page that gives an article, a feed or an answer that can be read.
     ``served`` names its url; without one a source is ``failed`` if any candidate didn't come or couldn't be read (errors
     counts those tried), else ``empty``; ``none`` where it has no candidate, as sources kept by hand. Sources are rows with
-    different source.
+    different source. Each gives its first ``most`` articles, or all of them for None.
     """
-    answers = _answers(sources, responses, journal_base)
+    answers = _answers(sources, responses, journal_base, most)
     bad = ~F.col("came") | ~F.col("serves") & (F.col("source_type") != WEB)
     best = F.when(F.col("serves"), F.col("n"))
     told = answers.groupBy("source").agg(F.min_by(F.struct("url", "articles"), best).alias("b"), F.min(best).alias("__n"), F.collect_list(F.when(bad, F.col("n"))).alias("__bad"))
